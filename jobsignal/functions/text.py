@@ -259,9 +259,9 @@ class sql:  # noqa: N801 - namespace
 
     @staticmethod
     def join_text(list_expr: str, sep: str = " ") -> str:
-        comp = f"list_transform({list_expr}, v -> {sql.compact_text('v')})"
-        nonempty = f"list_filter({comp}, v -> v <> '')"
-        firsts = f"list_filter({nonempty}, (v, i) -> list_position({nonempty}, v) = i)"
+        comp = f"list_transform({list_expr}, lambda v: {sql.compact_text('v')})"
+        nonempty = f"list_filter({comp}, lambda v: v <> '')"
+        firsts = f"list_filter({nonempty}, lambda v, i: list_position({nonempty}, v) = i)"
         return f"coalesce(array_to_string({firsts}, {q(sep)}), '')"
 
     @staticmethod

@@ -38,13 +38,16 @@ def _label_score(pt: Column, full: Column, keywords) -> Column:
     return in_title * 3 + in_full
 
 
-def _best(cols: dict[str, str], default: str) -> tuple[Column, Column]:
-    """Arg-max with strict '>' (first label reaching the maximum wins); none -> default."""
-    best = F.greatest(F.lit(0), *[F.col(c) for c in cols.values()])
-    label = F.when(best == 0, F.lit(default))
-    for lab, c in cols.items():
-        label = label.when(F.col(c) == best, F.lit(lab))
-    return label.otherwise(F.lit(default)), best
+def _best(scores: Column, labels, default: str) -> tuple[Column, Column]:
+    """Arg-max with strict '>' (first label reaching the maximum wins); none -> default.
+
+    ``scores`` is one array column; each output references it a bounded number of
+    times, so optimizer rewrites that inline aliases (filter pushdown) stay linear.
+    """
+    best = F.greatest(F.lit(0), F.array_max(scores))
+    label = F.when(best == 0, F.lit(default)).otherwise(
+        F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position(scores, best).cast("int")))
+    return label, best
 
 
 def _seniority_hit(full: Column) -> Column:
@@ -81,10 +84,9 @@ def location_fit(norm_loc: Column, us: Column | None = None, non_us: Column | No
 
 
 def _points(c: Column, table: dict[str, int]) -> Column:
-    expr = None
-    for k, v in table.items():
-        expr = F.when(c == k, F.lit(v)) if expr is None else expr.when(c == k, F.lit(v))
-    return expr.otherwise(F.lit(0))
+    """Point table lookup (one reference to ``c``); labels outside the table score 0."""
+    m = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.try_element_at(m, c), F.lit(0))
 
 
 def relevance(family: Column, rtype: Column, seniority: Column, fit: Column, fs: Column, ts: Column) -> Column:
@@ -132,23 +134,25 @@ def classify(df: DataFrame, rules: R.Rules = R.DEFAULT_RULES, title: str = "titl
         P.non_us_hint(F.col("_l")).alias("_nonus"),
     )
     pt, full = F.col("_pt"), F.col("_full")
-    fam = {lab: f"_f{i}" for i, lab in enumerate(rules.families)}
-    typ = {lab: f"_y{i}" for i, lab in enumerate(rules.types)}
+    fam_labels, typ_labels = list(rules.families), list(rules.types)
     scored = base.select(
         "*",
-        *[_label_score(pt, full, rules.families[lab]).alias(c) for lab, c in fam.items()],
-        *[_label_score(pt, full, rules.types[lab]).alias(c) for lab, c in typ.items()],
+        F.array(*[_label_score(pt, full, rules.families[lab]) for lab in fam_labels]).alias("_fam"),
+        F.array(*[_label_score(pt, full, rules.types[lab]) for lab in typ_labels]).alias("_typ"),
         _seniority_hit(full).alias("_sen"),
         location_fit(F.col("_l"), F.col("_us"), F.col("_nonus")).alias("location_fit"),
     )
-    fl, fs = _best(fam, "other")
-    tl, ts = _best(typ, "other")
+    fl, fs = _best(F.col("_fam"), fam_labels, "other")
+    tl, ts = _best(F.col("_typ"), typ_labels, "other")
     sl, ss = _seniority(F.col("_pt"), F.col("_sen"))
-    out = scored.select(
+    out = scored.select("*", fs.alias("family_score"), ts.alias("type_score"), ss.alias("seniority_score"))
+    out = out.select(
         "*",
-        fl.alias("role_family"), fs.alias("family_score"),
-        tl.alias("role_type"), ts.alias("type_score"),
-        sl.alias("seniority"), ss.alias("seniority_score"),
+        F.when(F.col("family_score") == 0, F.lit("other")).otherwise(
+            F.element_at(F.array(*[F.lit(x) for x in fam_labels]), F.array_position("_fam", F.col("family_score")).cast("int"))).alias("role_family"),
+        F.when(F.col("type_score") == 0, F.lit("other")).otherwise(
+            F.element_at(F.array(*[F.lit(x) for x in typ_labels]), F.array_position("_typ", F.col("type_score")).cast("int"))).alias("role_type"),
+        sl.alias("seniority"),
     )
     out = out.select(
         "*",
@@ -164,7 +168,7 @@ def classify(df: DataFrame, rules: R.Rules = R.DEFAULT_RULES, title: str = "titl
                F.col("relevance_score"), F.col("_h")).alias("reason"),
         F.lit(rules.model).alias("model"),
     )
-    drop = set(_HELPERS) | set(fam.values()) | set(typ.values())
+    drop = set(_HELPERS) | {"_fam", "_typ"}
     keep = [c for c in df.columns] + [c for c in OUTPUT_COLUMNS]
     return out.select(*[c for c in keep if c not in drop])
 

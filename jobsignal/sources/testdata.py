@@ -5,7 +5,9 @@ view derived from them by the same definition in Spark and in DuckDB:
 
 * ``v_postings``   documents     -> postings (title/location from fixed lists)
 * ``v_status_log`` events        -> poll outcomes per (service, source)
-* ``v_versions``   orders        -> posting versions per (provider, external id)
+* ``v_versions``   orders        -> posting versions per (provider, external id);
+  title/location picked from the fixed lists by (custkey + priority digit)
+  and (custkey + status index), so one key sees several content versions
 * ``v_cycles``     v_status_log  -> hourly cycle summaries per service
 * ``v_search_hits`` pages        -> search-result links
 * ``v_html``       pages         -> raw HTML
@@ -108,6 +110,10 @@ def v_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _status_idx() -> Column:
+    return F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+
+
 def v_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     company = F.concat(F.lit("co-"), (F.col("o_custkey") % 50).cast("string"))
@@ -117,8 +123,8 @@ def v_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         provider_of(F.col("o_custkey")).alias("provider"),
         ext.alias("external_job_id"),
         company.alias("company"),
-        F.col("o_orderpriority").alias("title"),
-        F.col("o_orderstatus").alias("location"),
+        _pick(TITLES, (F.col("o_custkey") + F.substring("o_orderpriority", 1, 1).cast("int")) % len(TITLES)).alias("title"),
+        _pick(LOCATIONS, (F.col("o_custkey") + _status_idx()) % len(LOCATIONS)).alias("location"),
         F.concat(F.lit("https://jobs.example.org/"), company, F.lit("/"), ext).alias("url"),
         F.lit("").alias("description"),
         epoch_seconds("o_orderdate").alias("observed_ts"),
@@ -201,7 +207,8 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         {_sec('ts')} AS checked_ts FROM events"""),
     "v_versions": ((), f"""SELECT o_orderkey AS seq, {_p3('o_custkey')} AS provider,
         CAST(o_custkey AS VARCHAR) AS external_job_id, 'co-' || CAST(o_custkey % 50 AS VARCHAR) AS company,
-        o_orderpriority AS title, o_orderstatus AS location,
+        {_case("(o_custkey + CAST(substring(o_orderpriority, 1, 1) AS INTEGER))", len(TITLES), TITLES)} AS title,
+        {_case("(o_custkey + CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END)", len(LOCATIONS), LOCATIONS)} AS location,
         'https://jobs.example.org/co-' || CAST(o_custkey % 50 AS VARCHAR) || '/' || CAST(o_custkey AS VARCHAR) AS url,
         '' AS description, {_sec('o_orderdate')} AS observed_ts FROM orders"""),
     "v_cycles": (("v_status_log",), f"""SELECT service, cycle_ts, status, n,
