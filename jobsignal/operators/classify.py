@@ -168,9 +168,12 @@ def classify(df: DataFrame, rules: R.Rules = R.DEFAULT_RULES, title: str = "titl
                F.col("relevance_score"), F.col("_h")).alias("reason"),
         F.lit(rules.model).alias("model"),
     )
-    drop = set(_HELPERS) | {"_fam", "_typ"}
-    keep = [c for c in df.columns] + [c for c in OUTPUT_COLUMNS]
-    return out.select(*[c for c in keep if c not in drop])
+    # The results leave through a one-element Generate: Catalyst never pushes a
+    # predicate on generator output below it, so a downstream filter such as
+    # ``relevance_score >= 75`` cannot be inlined into (and re-evaluate) the
+    # keyword scoring above.
+    result = F.struct(*[F.col(c).alias(c) for c in OUTPUT_COLUMNS])
+    return out.select(*df.columns, F.inline(F.array(result)))
 
 
 # ---------------------------------------------------------------------------

@@ -4,3 +4,4 @@ from jobsignal.plans import registry  # noqa: F401
 from jobsignal.plans import postings  # noqa: F401
 from jobsignal.plans import store  # noqa: F401
 from jobsignal.plans import health  # noqa: F401
+from jobsignal.plans import alerts  # noqa: F401
