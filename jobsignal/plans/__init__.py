@@ -6,3 +6,4 @@ from jobsignal.plans import store  # noqa: F401
 from jobsignal.plans import health  # noqa: F401
 from jobsignal.plans import alerts  # noqa: F401
 from jobsignal.plans import discovery  # noqa: F401
+from jobsignal.plans import sources  # noqa: F401
