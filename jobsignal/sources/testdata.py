@@ -65,6 +65,15 @@ OTHER_STATUS = "timeout"
 CYCLE_SECONDS = 3600
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy narrow work (regex scoring, JSON parsing, hashing) all cores when
+    the input arrives in fewer splits than the cluster's parallelism (e.g. one large
+    single-row-group file).  At scale the scan already yields thousands of splits and
+    this is a no-op — no extra shuffle."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,7 +91,7 @@ def _pick(values, idx: Column) -> Column:
 
 
 def v_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return d.select(
         "doc_id",
         provider_of(F.col("doc_id")).alias("provider"),
@@ -96,7 +105,7 @@ def v_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
     status = F.lit(OTHER_STATUS)
     for k, v in reversed(list(EVENT_STATUS.items())):
         status = F.when(F.col("event_type") == k, F.lit(v)).otherwise(status)
@@ -115,7 +124,7 @@ def _status_idx() -> Column:
 
 
 def v_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
     company = F.concat(F.lit("co-"), (F.col("o_custkey") % 50).cast("string"))
     ext = F.col("o_custkey").cast("string")
     return o.select(
@@ -159,11 +168,11 @@ def v_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", "html")
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html"))
 
 
 def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     return c.select("conv_id", "turn", F.split(F.col("text"), "\n", -1).alias("lines"))
 
 
