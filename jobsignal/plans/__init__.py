@@ -8,3 +8,4 @@ from jobsignal.plans import alerts  # noqa: F401
 from jobsignal.plans import discovery  # noqa: F401
 from jobsignal.plans import sources  # noqa: F401
 from jobsignal.plans import streams  # noqa: F401
+from jobsignal.plans import extras  # noqa: F401

@@ -181,3 +181,34 @@ def first_alerts_stream(spark: SparkSession, observations: DataFrame, cuts: list
 
     _run(spark, observations.schema, landing, f"{root}/chk", apply)
     return spark.read.parquet(notified).drop("v")
+
+
+# --- R3: classify only new/changed content ---------------------------------------------------------
+
+
+def classify_stream(spark: SparkSession, versions: DataFrame, cuts: list[int], root: str | None = None) -> DataFrame:
+    """Inside the same micro-batch as the upsert, classify each (job, content hash)
+    not classified before (J2 anti join against the classification table)."""
+    from jobsignal.operators import classify as C
+
+    root = root or _scratch(spark, "classify")
+    landing, snaps, cls = f"{root}/landing", f"{root}/jobs", f"{root}/classifications"
+    land_slices(versions, landing, "observed_ts", cuts)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        state = read_latest(spark, snaps, batch_id)
+        feed = S.change_feed(batch, state).where(F.col("changed") & (F.col("_v") == 1))
+        first = feed.groupBy(*S.KEY, "content_hash").agg(
+            F.min_by(F.struct(*S.ATTRS, F.col("observed_ts").alias("ts")), F.struct("observed_ts", "seq")).alias("_a"))
+        flat = first.select(*S.KEY, "content_hash", *[F.col(f"_a.{c}").alias(c) for c in S.ATTRS],
+                            F.col("_a.ts").alias("classified_ts"))
+        done = versions_below(spark, cls, batch_id)
+        if done:
+            cache = spark.read.parquet(*[f"{cls}/v={v}" for v in done]).select(*S.KEY, "content_hash")
+            flat = flat.join(cache, S.KEY + ["content_hash"], "left_anti")
+        # raw save precedes classification (R10): the snapshot is written first
+        S.upsert(batch, state).write.mode("overwrite").parquet(f"{snaps}/v={batch_id}")
+        S.to_classification_rows(C.classify(flat)).write.mode("overwrite").parquet(f"{cls}/v={batch_id}")
+
+    _run(spark, versions.schema, landing, f"{root}/chk", apply)
+    return spark.read.parquet(cls).drop("v")
