@@ -160,7 +160,7 @@ def sink_snapshot_json(spark, sf):
 # --- R3: classify new/changed content inside the stream ------------------------------------------------
 
 
-@register("stream_classify", ids="R3 C9 J2", sql=lambda: QUERIES["tbl_classifications"].oracle())
+@register("stream_classify", ids="R3 R10 C9 J2", sql=lambda: QUERIES["tbl_classifications"].oracle())
 def stream_classify(spark, sf):
     from jobsignal.plans.streams import YEAR_CUTS
 

@@ -100,7 +100,7 @@ def source_status_latest(spark, sf):
     return _status(spark, sf)
 
 
-@register("event_retention", ids="T8", sql=lambda: hsql("SELECT * FROM retained", "retained"))
+@register("event_retention", ids="T8 J8", sql=lambda: hsql("SELECT * FROM retained", "retained"))
 def event_retention(spark, sf):
     return H.newest(_events(spark, sf), R.EVENT_RETENTION, F.desc("seq"))
 
@@ -235,7 +235,7 @@ def cycle_history_window(spark, sf):
     return H.history_window(_history(spark, sf)).orderBy("service", "last_cycle_ts")
 
 
-@register("cycle_retention", ids="T9",
+@register("cycle_retention", ids="T9 J8",
           sql=lambda: hsql(f"SELECT service, last_cycle_ts, status FROM hist ORDER BY last_cycle_ts DESC, service DESC LIMIT {R.CYCLE_RETENTION}", "hist"))
 def cycle_retention(spark, sf):
     h = _history(spark, sf).select("service", "last_cycle_ts", "status")

@@ -156,3 +156,20 @@ def test_chunking_golden(spark):
 
 def test_threshold_clamp():
     assert R.clamp_threshold("150") == 100 and R.clamp_threshold("-3") == 0 and R.clamp_threshold("x") == 75
+
+
+def test_failure_isolation_retries_classification(spark):
+    """The raw job is saved first; with no classification stored (a failed
+    classifier run), the next pass sees a cache miss and classifies it."""
+    df = spark.createDataFrame([{**SMOKE, "seq": 1, "observed_ts": 0, "raw_json": "{}"}])
+    jobs = S.upsert(df)
+    assert jobs.count() == 1
+    batch = S.with_hash(df).select(*S.KEY, "content_hash", *S.ATTRS, "observed_ts")
+    empty_cache = spark.createDataFrame([], "provider string, external_job_id string, content_hash string, model string")
+    hits, misses = S.cache_split(batch, empty_cache, R.DEFAULT_MODEL)
+    assert hits.count() == 0 and misses.count() == 1
+    cls = S.classify_if_needed(batch, S.to_classification_rows(C.classify(batch.withColumn("classified_ts", F.lit(5)))).limit(0))
+    row = cls.collect()[0]
+    assert row.cache_hit is False and row.relevance_score == 100
+    again = S.classify_if_needed(batch, S.to_classification_rows(C.classify(batch.withColumn("classified_ts", F.lit(5))))).collect()[0]
+    assert again.cache_hit is True
