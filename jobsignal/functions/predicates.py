@@ -10,6 +10,15 @@ from jobsignal.functions import text as X
 from jobsignal.functions.text import q
 
 
+def fenced_where(df, cond: Column):
+    """``df.where(cond)`` evaluated where it stands in the plan.
+
+    The condition leaves through a one-element Generate, so Catalyst cannot push
+    an expensive predicate (big regex alternations) below a preceding exchange;
+    it still runs before any later shuffle."""
+    return df.select("*", F.inline(F.array(F.struct(cond.alias("_keep"))))).where("_keep").drop("_keep")
+
+
 def title_matches(title: Column, level_gate: bool = False) -> Column:
     """F1 (+F2 when ``level_gate``): exclude list first, then need an include pattern."""
     t = X.normalize_title(title)

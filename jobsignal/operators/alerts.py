@@ -31,7 +31,7 @@ def deterministic_matches(obs: DataFrame, level_gate: bool = False) -> DataFrame
     """title rule, non-empty id and US location."""
     cond = (P.title_matches(F.col("title"), level_gate) & P.nonempty_id(F.col("external_job_id"))
             & P.is_us_location(F.col("location")))
-    return obs.where(cond)
+    return P.fenced_where(obs, cond)
 
 
 def response_dedupe(obs: DataFrame, response: list[str], pos: str = "seq") -> DataFrame:

@@ -71,7 +71,13 @@ def spread(df: DataFrame) -> DataFrame:
     single-row-group file).  At scale the scan already yields thousands of splits and
     this is a no-op — no extra shuffle."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    # Hash on the row id: rows land in the same partition on a retry (stable scan
+    # order) without the sort a round-robin repartition needs for that.  Expensive
+    # predicates downstream use ``functions.predicates.fenced_where`` so Catalyst
+    # does not push them back below this exchange into the one-split scan.
+    return df.repartition(par, F.monotonically_increasing_id())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
