@@ -64,12 +64,12 @@ def notified_union(notified: DataFrame, new_matches: DataFrame) -> DataFrame:
 def ranked(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     """Rank inside each group; ``shown`` marks the first n (planned as a group limit)."""
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).withColumn("shown", F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("shown", F.col("rank") <= n)
 
 
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
 def provider_order(service: str) -> list[Column]:

@@ -186,7 +186,7 @@ def _chunk_sql(lines: str, max_len: int = R.MESSAGE_MAX_LEN) -> str:
 def message_chunks(spark, sf):
     m = v_messages(spark, sf).select("conv_id", "turn", A.chunk_lines(F.col("lines")).alias("chunks"))
     return m.select("conv_id", "turn", F.posexplode("chunks").alias("pos", "text")).select(
-        "conv_id", "turn", (F.col("pos") + 1).alias("chunk_no"), "text")
+        "conv_id", "turn", (F.col("pos") + 1).cast("long").alias("chunk_no"), "text")
 
 
 @register("sink_alerts", ids="S14 W13 P16",
@@ -196,7 +196,7 @@ def message_chunks(spark, sf):
 def sink_alerts(spark, sf):
     m = _message_lines(spark, sf).select("service", "source", "cycle_ts", A.chunk_lines(F.col("lines")).alias("chunks"))
     return m.select("service", "source", "cycle_ts", F.posexplode("chunks").alias("pos", "text")).select(
-        "service", "source", "cycle_ts", (F.col("pos") + 1).alias("chunk_no"), "text")
+        "service", "source", "cycle_ts", (F.col("pos") + 1).cast("long").alias("chunk_no"), "text")
 
 
 # --- classified (relevance) alert path ------------------------------------------------------

@@ -110,7 +110,7 @@ def _board_result_body() -> str:
 
 
 @register("notified_ids_json", ids="U5",
-          sql=lambda: PA.asql("SELECT service, source, to_json(list(external_job_id ORDER BY external_job_id)) AS notified_job_ids_json "
+          sql=lambda: PA.asql("SELECT service, source, CAST(to_json(list(external_job_id ORDER BY external_job_id)) AS VARCHAR) AS notified_job_ids_json "
                               "FROM (SELECT service, source, external_job_id FROM notified UNION SELECT service, source, external_job_id FROM batch) u "
                               "GROUP BY service, source", "notified", "batch"))
 def notified_ids_json(spark, sf):

@@ -131,7 +131,7 @@ def error_groups(spark, sf):
 
     w = Window.partitionBy("service").orderBy(F.desc("last_error_ts"), "source")
     a = H.active_errors(_status(spark, sf))
-    return a.select("service", F.row_number().over(w).alias("position"), "source", "status", "consecutive_errors")
+    return a.select("service", F.row_number().over(w).cast("long").alias("position"), "source", "status", "consecutive_errors")
 
 
 @register("latest_sources", ids="T5",

@@ -175,7 +175,7 @@ def clean(spark, sf):
           sql=lambda: with_views(["v_postings"], f"SELECT doc_id, {X.sql.truncate('description', R.DESCRIPTION_LIMIT)} AS desc_head, length({X.sql.truncate('description', R.DESCRIPTION_LIMIT)}) AS n FROM v_postings"))
 def truncate_text(spark, sf):
     t = X.truncate(F.col("description"), R.DESCRIPTION_LIMIT)
-    return _p(spark, sf).select("doc_id", t.alias("desc_head"), F.length(t).alias("n"))
+    return _p(spark, sf).select("doc_id", t.alias("desc_head"), F.length(t).cast("long").alias("n"))
 
 
 @register("content_hash", ids="X7",

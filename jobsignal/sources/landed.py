@@ -119,7 +119,7 @@ def explode_postings(resp: DataFrame) -> DataFrame:
     ok = parsed(resp).where((F.col("http_status") == 200) & F.col("v").isNotNull())
     ok = ok.where(~((F.col("service") == "ashby") & gql_error(F.col("v")).isNotNull()))
     return ok.select("seq", "service", "source", "fetched_ts",
-                     F.posexplode(postings_array(F.col("service"), F.col("v"))).alias("pos", "p"))
+                     F.posexplode(postings_array(F.col("service"), F.col("v"))).alias("pos", "p")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def gql_error(v: Column) -> Column:
