@@ -48,7 +48,7 @@ _LINE = ("CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '[' || CAST(user_id AS
 
 
 def log_lines(spark, sf):
-    e = spread(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "props"))
+    e = spread(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "props"), "event_id")
     line = (F.when(F.col("event_id") % 4 == 0, F.col("props"))
             .when(F.col("event_id") % 4 == 1, F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit("]")))
             .when(F.col("event_id") % 4 == 2, F.lit("   "))
@@ -78,7 +78,7 @@ def src_log_lines(spark, sf):
               'event', event_type, 'field_service', CASE user_id % 3 WHEN 0 THEN 'ashby' WHEN 1 THEN 'greenhouse' ELSE 'lever' END,
               'user_id', user_id) AS VARCHAR) AS row FROM events""")
 def log_rows(spark, sf):
-    e = spread(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"))
+    e = spread(table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"), "event_id")
     row = LG.log_row(F.col("ts"), "INFO", F.lit("tracker"), F.col("event_type"),
                      [("service", provider_of(F.col("user_id"))), ("user_id", F.col("user_id")),
                       ("note", F.lit(None).cast("string"))])

@@ -65,7 +65,7 @@ OTHER_STATUS = "timeout"
 CYCLE_SECONDS = 3600
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """Give CPU-heavy narrow work (regex scoring, JSON parsing, hashing) all cores when
     the input arrives in fewer splits than the cluster's parallelism (e.g. one large
     single-row-group file).  At scale the scan already yields thousands of splits and
@@ -73,11 +73,11 @@ def spread(df: DataFrame) -> DataFrame:
     par = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= par:
         return df
-    # Hash on the row id: rows land in the same partition on a retry (stable scan
-    # order) without the sort a round-robin repartition needs for that.  Expensive
-    # predicates downstream use ``functions.predicates.fenced_where`` so Catalyst
-    # does not push them back below this exchange into the one-split scan.
-    return df.repartition(par, F.monotonically_increasing_id())
+    # Hash on the table's unique key: even, deterministic (a retry places rows
+    # identically, identical branches share the exchange) and needs no sort.
+    # Expensive predicates downstream use ``functions.predicates.fenced_where`` so
+    # Catalyst does not push them back below this exchange into the one-split scan.
+    return df.repartition(par, *key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,7 +97,7 @@ def _pick(values, idx: Column) -> Column:
 
 
 def v_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     return d.select(
         "doc_id",
         provider_of(F.col("doc_id")).alias("provider"),
@@ -111,7 +111,7 @@ def v_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"), "event_id")
     status = F.lit(OTHER_STATUS)
     for k, v in reversed(list(EVENT_STATUS.items())):
         status = F.when(F.col("event_type") == k, F.lit(v)).otherwise(status)
@@ -130,7 +130,7 @@ def _status_idx() -> Column:
 
 
 def v_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"), "o_orderkey")
     company = F.concat(F.lit("co-"), (F.col("o_custkey") % 50).cast("string"))
     ext = F.col("o_custkey").cast("string")
     return o.select(
@@ -174,11 +174,11 @@ def v_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
 
 
 def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
     return c.select("conv_id", "turn", F.split(F.col("text"), "\n", -1).alias("lines"))
 
 
