@@ -173,3 +173,38 @@ def test_failure_isolation_retries_classification(spark):
     assert row.cache_hit is False and row.relevance_score == 100
     again = S.classify_if_needed(batch, S.to_classification_rows(C.classify(batch.withColumn("classified_ts", F.lit(5))))).collect()[0]
     assert again.cache_hit is True
+
+
+def test_board_state_golden(spark):
+    """A 200 replaces etag even with null; 304 / 5xx / timeout keep it; last_seen always moves."""
+    from jobsignal.operators import normalize as N
+
+    rows = [(1, 200, None, 'W/"a"', 10, '{"jobs":[]}'), (2, 200, None, None, 20, '{"jobs":[]}'),
+            (3, 304, None, None, 30, None), (4, 500, None, None, 40, None), (5, None, "timeout", None, 50, None)]
+    df = spark.createDataFrame([(s, "greenhouse", "acme", c, k, None, e, None, t, b) for s, c, k, e, t, b in rows],
+                               "seq long, service string, source string, http_status int, error_kind string, error_message string, "
+                               "etag string, last_modified string, fetched_ts long, body string")
+    st = N.board_state(df.where("seq <= 1")).collect()[0]
+    assert (st.etag, st.last_seen_ts) == ('W/"a"', 10)
+    st = N.board_state(df).collect()[0]
+    assert (st.etag, st.last_seen_ts) == (None, 50)
+    statuses = [r.status for r in N.poll_status(df).orderBy("seq").collect()]
+    assert statuses == ["ok", "ok", "unchanged (304)", "error HTTP 500", "timeout"]
+
+
+def test_stream_equals_batch_small(spark):
+    """Micro-batch application equals the one-shot result (sf0.001)."""
+    from jobsignal.plans import store as PS
+    from jobsignal.operators import health as H
+    from jobsignal.sources.testdata import v_status_log
+    from jobsignal.streaming import pipeline as SP
+
+    sf = "/root/testdata/sf0.001"
+    v = PS.versions(spark, sf)
+    jobs, _ = SP.job_upsert_stream(spark, v, [852076800, 915148800])
+    one_shot = S.upsert(v)
+    assert jobs.exceptAll(one_shot).count() == 0 and one_shot.exceptAll(jobs).count() == 0
+    log = v_status_log(spark, sf)
+    status, _ = SP.health_stream(spark, log, [1704067200 + 10 * 86400, 1704067200 + 20 * 86400])
+    batch = H.source_status(log)
+    assert status.exceptAll(batch).count() == 0 and batch.exceptAll(status).count() == 0
