@@ -59,19 +59,21 @@ def latest_high_relevance(classifications: DataFrame, jobs: DataFrame, threshold
 
 def intelligence_snapshot(classifications: DataFrame, jobs: DataFrame, threshold: int, limit: int = 20,
                           model: str | None = None) -> DataFrame:
-    """One row; list sections are bounded (top-k / label domains) before nesting."""
-    def as_list(df: DataFrame, name: str, order) -> DataFrame:
-        return df.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("r")))),
-                                            lambda x: x["r"])).alias(name))
+    """One row; list sections are bounded (top-k / label domains) before nesting.
+    The sections are scalar subqueries of the one-row total (no joins)."""
+    def as_list(df: DataFrame, order) -> DataFrame:
+        row = F.struct(*df.columns).alias("r")
+        return df.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(*order, row))), lambda x: x["r"])))
 
     latest = latest_high_relevance(classifications, jobs, threshold, limit, model)
-    latest = latest.select("*", (-F.col("classified_ts")).alias("_k1"), (-F.col("relevance_score")).alias("_k2"))
-    roles = distribution(classifications, jobs, "role_type", model).select("*", (-F.col("count")).alias("_k"))
-    sen = distribution(classifications, jobs, "seniority", model).select("*", (-F.col("count")).alias("_k"))
-    out = (total_jobs(jobs)
-           .crossJoin(classified_jobs(classifications))
-           .crossJoin(high_relevance_jobs(classifications, jobs, threshold, model))
-           .crossJoin(as_list(latest.drop("_k1", "_k2").withColumn("_k1", -F.col("classified_ts")), "latest_high_relevance_jobs", [F.col("_k1")]))
-           .crossJoin(as_list(roles.drop("_k").withColumn("_k", -F.col("count")), "role_type_distribution", [F.col("_k"), F.col("role_type")]))
-           .crossJoin(as_list(sen.drop("_k").withColumn("_k", -F.col("count")), "seniority_distribution", [F.col("_k"), F.col("seniority")])))
-    return out
+    roles = distribution(classifications, jobs, "role_type", model)
+    sen = distribution(classifications, jobs, "seniority", model)
+    return total_jobs(jobs).select(
+        "total_jobs",
+        classified_jobs(classifications).scalar().alias("classified_jobs"),
+        high_relevance_jobs(classifications, jobs, threshold, model).scalar().alias("high_relevance_jobs"),
+        as_list(latest, [(-F.col("classified_ts")).alias("k1"), (-F.col("relevance_score")).alias("k2"),
+                         F.col("company"), F.col("title")]).scalar().alias("latest_high_relevance_jobs"),
+        as_list(roles, [(-F.col("count")).alias("k"), F.col("role_type")]).scalar().alias("role_type_distribution"),
+        as_list(sen, [(-F.col("count")).alias("k"), F.col("seniority")]).scalar().alias("seniority_distribution"),
+    )

@@ -150,10 +150,11 @@ def sink_snapshot_json(spark, sf):
     def section(df, name, key):
         return df.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*key, F.struct(*df.columns).alias("r"))))).alias(name))
 
-    doc = (section(services, "services", [F.col("service")])
-           .crossJoin(section(events, "recent_events", [(-F.col("seq")).alias("k")]))
-           .crossJoin(section(hist, "history_by_service", [F.col("service")]))
-           .crossJoin(intel.select(F.to_json(F.struct(*intel.columns)).alias("intelligence"))))
+    doc = section(services, "services", [F.col("service")]).select(
+        "services",
+        section(events, "recent_events", [(-F.col("seq")).alias("k")]).scalar().alias("recent_events"),
+        section(hist, "history_by_service", [F.col("service")]).scalar().alias("history_by_service"),
+        intel.select(F.to_json(F.struct(*intel.columns))).scalar().alias("intelligence"))
     return doc.select(F.to_json(F.struct(*[F.col(c) for c in doc.columns])).alias("snapshot"))
 
 

@@ -83,8 +83,8 @@ def metric_series(spark, sf):
               WHERE window_start >= (SELECT max(checked_ts) FROM v_status_log) - {LOOKBACK} GROUP BY service""", "f"))
 def series_last_and_max(spark, sf):
     s = _series(spark, sf)
-    end = v_status_log(spark, sf).agg(F.max("checked_ts").alias("_end"))
-    recent = s.crossJoin(end).where(F.col("window_start") >= F.col("_end") - LOOKBACK)   # one-row side
+    end = v_status_log(spark, sf).select(F.max("checked_ts")).scalar()   # scalar subquery
+    recent = s.where(F.col("window_start") >= end - LOOKBACK)
     return recent.groupBy("service").agg(
         F.max_by("error_ratio", F.when(F.col("error_ratio").isNotNull(), F.col("window_start"))).alias("last_value"),
         F.max("error_ratio").alias("max_value"))
