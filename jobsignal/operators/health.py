@@ -1,9 +1,11 @@
 """Board health state and cycle history.
 
 Poll outcomes are rows ``(seq, service, source, status, detail, checked_ts)``.
-Per-board ordered state is expressed as windows over ``(service, source)``
-ordered by ``(checked_ts, seq)``; board-level roll-ups are aggregations, so
-a board with a huge history costs one partial row per task.  Global top-N
+Per-board ordered state (W1, W2) is two-level: windows over ``(service,
+source, day bucket)`` ordered by ``(checked_ts, seq)`` plus a carry computed on
+one summary row per bucket, so a board holding a large share of all polls is
+spread over many tasks.  Board-level roll-ups are aggregations (one partial
+row per task).  Global top-N
 cuts (retention, recent events, history window) use ``orderBy().limit()``,
 which plans as TakeOrderedAndProject (per-partition top-N, bounded merge),
 never an unpartitioned window.
@@ -29,28 +31,57 @@ def with_error_flag(log: DataFrame) -> DataFrame:
     return log.withColumn("is_error", P.is_error_status(F.col("status")).cast("int"))
 
 
-def consecutive_errors(log: DataFrame) -> DataFrame:
-    """+1 on error, reset on non-error (gaps-and-islands: islands start at non-errors)."""
-    f = with_error_flag(log)
-    w = Window.partitionBy(*BOARD).orderBy(*_order()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    f = f.withColumn("_grp", F.sum(1 - F.col("is_error")).over(w))
-    wi = Window.partitionBy(*BOARD, "_grp").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return f.withColumn("consecutive_errors", F.sum("is_error").over(wi).cast("int")).drop("_grp")
+BUCKET_SECONDS = 86400
+
+
+def _bucketed(log: DataFrame, bucket_seconds: int) -> DataFrame:
+    return with_error_flag(log).withColumn("_b", F.floor(F.col("checked_ts") / bucket_seconds))
+
+
+def consecutive_errors(log: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """+1 on error, reset on non-error.
 
+    Two levels so a hot board is not one task: inside each (board, time bucket)
+    a gaps-and-islands run count; across buckets a carry = the error run open at
+    the end of the previous bucket, computed on one summary row per bucket
+    (islands of buckets that start at a bucket containing a non-error)."""
+    f = _bucketed(log, bucket_seconds)
+    run = Window.partitionBy(*BOARD, "_b").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f = f.withColumn("_grp", F.sum(1 - F.col("is_error")).over(run))
+    wi = Window.partitionBy(*BOARD, "_b", "_grp").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f = f.withColumn("_local", F.sum("is_error").over(wi))
+    summ = f.groupBy(*BOARD, "_b").agg(
+        F.max_by("_local", F.struct(*_order())).alias("_last_local"),
+        F.max(1 - F.col("is_error")).alias("_has_ok"))
+    wb = Window.partitionBy(*BOARD).orderBy("_b")
+    wbr = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summ = summ.withColumn("_isl", F.sum("_has_ok").over(wbr))
+    wisl = Window.partitionBy(*BOARD, "_isl").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summ = summ.withColumn("_end", F.sum("_last_local").over(wisl))
+    summ = summ.select(*BOARD, "_b", F.coalesce(F.lag("_end").over(wb), F.lit(0)).alias("_carry"))
+    f = f.join(summ, BOARD + ["_b"], "left")
+    consec = F.when(F.col("_grp") == 0, F.col("_carry") + F.col("_local")).otherwise(F.col("_local"))
+    return f.withColumn("consecutive_errors", consec.cast("int")).drop("_b", "_grp", "_local", "_carry")
 
-def change_events(log: DataFrame) -> DataFrame:
+
+def change_events(log: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """An event when the row is an error or differs from the board's previous row
-    (status, detail with null = '', error flag); the first sighting always emits."""
-    f = with_error_flag(log)
-    w = Window.partitionBy(*BOARD).orderBy(*_order())
+    (status, detail with null = '', error flag); the first sighting always emits.
+
+    The previous row comes from a window inside (board, time bucket); the first row
+    of a bucket takes the last row of the board's previous non-empty bucket, found
+    on one summary row per bucket."""
+    f = _bucketed(log, bucket_seconds)
+    w = Window.partitionBy(*BOARD, "_b").orderBy(*_order())
     det = F.coalesce(F.col("detail"), F.lit(""))
-    f = f.select(
-        "*",
-        F.lag("seq").over(w).alias("_pseq"), F.lag("status").over(w).alias("_ps"),
-        F.lag(det).over(w).alias("_pd"), F.lag("is_error").over(w).alias("_pe"),
-    )
-    emit = (F.col("_pseq").isNull() | (F.col("is_error") == 1) | (F.col("_ps") != F.col("status"))
-            | (F.col("_pd") != det) | (F.col("_pe") != F.col("is_error")))
+    f = f.select("*", det.alias("_det"), F.lag(F.struct(F.col("seq"), F.col("status"), det.alias("d"), F.col("is_error"))).over(w).alias("_prev"))
+    last = f.groupBy(*BOARD, "_b").agg(
+        F.max_by(F.struct(F.col("seq"), F.col("status"), F.col("_det").alias("d"), F.col("is_error")), F.struct(*_order())).alias("_last"))
+    wb = Window.partitionBy(*BOARD).orderBy("_b")
+    last = last.select(*BOARD, "_b", F.lag("_last").over(wb).alias("_before"))
+    f = f.join(last, BOARD + ["_b"], "left").withColumn("_p", F.coalesce(F.col("_prev"), F.col("_before")))
+    emit = (F.col("_p").isNull() | (F.col("is_error") == 1) | (F.col("_p.status") != F.col("status"))
+            | (F.col("_p.d") != F.col("_det")) | (F.col("_p.is_error") != F.col("is_error")))
     return f.where(emit).select("seq", *BOARD, "status", "detail", "is_error", F.col("checked_ts").alias("created_ts"))
 
 

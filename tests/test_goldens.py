@@ -208,3 +208,15 @@ def test_stream_equals_batch_small(spark):
     status, _ = SP.health_stream(spark, log, [1704067200 + 10 * 86400, 1704067200 + 20 * 86400])
     batch = H.source_status(log)
     assert status.exceptAll(batch).count() == 0 and batch.exceptAll(status).count() == 0
+
+
+def test_health_carries_across_buckets(spark):
+    """W1/W2 two-level form: the same answers when every row sits in its own bucket."""
+    statuses = ["ok", "ok", "error HTTP 500", "error HTTP 500", "timeout", "ok", "timeout", "timeout"]
+    df = spark.createDataFrame([(i, "greenhouse", "b", s, "same", i * 10) for i, s in enumerate(statuses)],
+                               "seq long, service string, source string, status string, detail string, checked_ts long")
+    for bucket in (1, 15, 25, 1000):
+        got = [r.consecutive_errors for r in H.consecutive_errors(df, bucket).orderBy("seq").collect()]
+        assert got == [0, 0, 1, 2, 3, 0, 1, 2], bucket
+        emitted = sorted(r.seq for r in H.change_events(df, bucket).collect())
+        assert emitted == [0, 2, 3, 4, 5, 6, 7], bucket
