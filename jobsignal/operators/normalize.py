@@ -150,16 +150,23 @@ def board_state(resp: DataFrame) -> DataFrame:
                     F.col("_s.fingerprint").alias("fingerprint"), "last_seen_ts")
 
 
-def skip_unchanged(resp: DataFrame) -> DataFrame:
+def skip_unchanged(resp: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
     """Responses that need no processing: 304, or the same fingerprint as the board's
-    previous successful response."""
-    s = poll_status(resp)
-    w = Window.partitionBy("service", "source").orderBy("seq")
-    prev_fp = F.last(F.when(F.col("status") == "ok", F.col("fingerprint")), ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumn("prev_fingerprint", prev_fp)
+    previous successful response.
+
+    Two-level like W2: the previous successful fingerprint comes from a window inside
+    (board, day bucket), else from the board's earlier buckets via one summary row
+    per bucket — a board with a huge polling history is not one task."""
+    s = poll_status(resp).withColumn("_b", F.floor(F.col("fetched_ts") / bucket_seconds))
+    ok_fp = F.when(F.col("status") == "ok", F.col("fingerprint"))
+    w = Window.partitionBy("service", "source", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_in", F.last(ok_fp, ignorenulls=True).over(w))
+    summ = s.groupBy("service", "source", "_b").agg(F.max_by(ok_fp, F.when(ok_fp.isNotNull(), F.col("seq"))).alias("_last_ok"))
+    wb = Window.partitionBy("service", "source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select("service", "source", "_b", F.last("_last_ok", ignorenulls=True).over(wb).alias("_before"))
+    s = s.join(summ, ["service", "source", "_b"], "left").withColumn("prev_fingerprint", F.coalesce(F.col("_in"), F.col("_before")))
     skip = (F.col("http_status") == 304) | ((F.col("status") == "ok") & (F.col("fingerprint") == F.col("prev_fingerprint")))
-    return s.withColumn("skip", F.coalesce(skip, F.lit(False)))
+    return s.withColumn("skip", F.coalesce(skip, F.lit(False))).drop("_b", "_in", "_before")
 
 
 def api_url(service: Column, source: Column) -> Column:

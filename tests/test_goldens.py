@@ -220,3 +220,17 @@ def test_health_carries_across_buckets(spark):
         assert got == [0, 0, 1, 2, 3, 0, 1, 2], bucket
         emitted = sorted(r.seq for r in H.change_events(df, bucket).collect())
         assert emitted == [0, 2, 3, 4, 5, 6, 7], bucket
+
+
+def test_skip_unchanged_same_fingerprint(spark):
+    """A 200 with the same fingerprint as the board's previous successful
+    response is skipped, also across day buckets and across failed polls."""
+    from jobsignal.operators import normalize as N
+
+    a, b = '{"jobs":[{"id":1,"updated_at":"x"}]}', '{"jobs":[{"id":1,"updated_at":"y"}]}'
+    rows = [(1, 200, a, 0), (2, 200, a, 10), (3, 500, None, 90000), (4, 200, a, 200000), (5, 200, b, 200010), (6, 304, None, 300000)]
+    df = spark.createDataFrame([(s, "greenhouse", "acme", c, None, None, None, None, t, body) for s, c, body, t in rows],
+                               "seq long, service string, source string, http_status int, error_kind string, error_message string, "
+                               "etag string, last_modified string, fetched_ts long, body string")
+    got = {r.seq: r.skip for r in N.skip_unchanged(df).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True}
