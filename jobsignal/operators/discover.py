@@ -32,26 +32,30 @@ def search_yield(hits: DataFrame, n_queries: int, existing: DataFrame | None = N
     without a new board.  The seen-set is per platform and carries across queries;
     pages that are never read contribute nothing.
     """
-    hb = with_slug(hits)
+    hb = with_slug(hits).where(F.col("start") <= max_start)
     seen = existing.select("platform", "base") if existing is not None else None
-    pw = Window.partitionBy("platform").orderBy("start")
+    # Pages read before the first missing (empty) page, for every query at once.
+    pw = Window.partitionBy("platform", "query_idx").orderBy("start")
+    cand_all = (hb.select("platform", "query_idx", "start").distinct()
+                .withColumn("_rn", F.row_number().over(pw)).where(F.col("start") == (F.col("_rn") - 1) * 10))
+    links_all = hb.where(F.col("base").isNotNull()).join(cand_all.select("platform", "query_idx", "start"),
+                                                         ["platform", "query_idx", "start"], "left_semi")
     accepted_parts = []
     for q in range(n_queries):
-        hq = hb.where((F.col("query_idx") == q) & (F.col("start") <= max_start))
-        pages = hq.select("platform", "start").distinct()
-        cand = pages.withColumn("_rn", F.row_number().over(pw)).where(F.col("start") == (F.col("_rn") - 1) * 10).drop("_rn")
-        links = hq.where(F.col("base").isNotNull()).join(cand, ["platform", "start"], "left_semi")
+        cand = cand_all.where(F.col("query_idx") == q).select("platform", "start", "_rn")
+        links = links_all.where(F.col("query_idx") == q)
         if seen is not None:
             links = links.join(seen, ["platform", "base"], "left_anti")
         firsts = links.groupBy("platform", "base").agg(F.min("start").alias("start"))
         per_page = cand.join(firsts.groupBy("platform", "start").agg(F.count(F.lit(1)).alias("new_boards")),
                              ["platform", "start"], "left").fillna(0, ["new_boards"])
-        run = pw.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        per_page = per_page.withColumn("_grp", F.sum(F.when(F.col("new_boards") > 0, 1).otherwise(0)).over(run))
-        gw = Window.partitionBy("platform", "_grp").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        per_page = per_page.withColumn("_streak", F.sum(F.when(F.col("new_boards") == 0, 1).otherwise(0)).over(gw))
-        stop = per_page.where(F.col("_streak") >= streak).groupBy("platform").agg(F.min("start").alias("_stop"))
-        acc = per_page.join(stop, "platform", "left").where(F.col("_stop").isNull() | (F.col("start") <= F.col("_stop")))
+        # streak of pages without a new board = pages since the last productive one
+        w = Window.partitionBy("platform").orderBy("start")
+        last_hit = F.last(F.when(F.col("new_boards") > 0, F.col("_rn")), ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        per_page = per_page.withColumn("_streak", F.col("_rn") - F.coalesce(last_hit, F.lit(0)))
+        stop = F.min(F.when(F.col("_streak") >= streak, F.col("start"))).over(Window.partitionBy("platform"))
+        acc = per_page.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("start") <= F.col("_stop")))
         acc = acc.select("platform", F.lit(q).alias("query_idx"), "start", F.col("new_boards").cast("long").alias("new_boards"))
         accepted_parts.append(acc)
         new_bases = firsts.join(acc.select("platform", "start"), ["platform", "start"], "left_semi").select("platform", "base")
