@@ -104,16 +104,21 @@ def ashby_workplace(workplace: Column, location: Column) -> Column:
     )
 
 
+def utc_wall_time(ts: Column) -> Column:
+    """Epoch seconds as a TIMESTAMP_NTZ holding the UTC wall time (no session-zone shift)."""
+    return F.timestamp_add("SECOND", ts, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def format_ts(ts: Column) -> Column:
-    """X14: 'yyyy-MM-dd HH:mm:ss' (session zone, UTC by default); '-' for null/0."""
+    """X14: 'yyyy-MM-dd HH:mm:ss' in UTC; '-' for null/0."""
     return F.when(F.coalesce(ts, F.lit(0)) == 0, F.lit("-")).otherwise(
-        F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd HH:mm:ss")
+        F.date_format(utc_wall_time(ts), "yyyy-MM-dd HH:mm:ss")
     )
 
 
 def short_ts(ts: Column) -> Column:
-    """X15: 'HH:mm:ss'."""
-    return F.date_format(F.timestamp_seconds(ts), "HH:mm:ss")
+    """X15: 'HH:mm:ss' in UTC."""
+    return F.date_format(utc_wall_time(ts), "HH:mm:ss")
 
 
 def _url_path(raw: Column) -> Column:
