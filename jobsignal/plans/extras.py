@@ -5,11 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobsignal.functions import text as X
 from jobsignal.functions.text import q
-from jobsignal.operators import health as H
 from jobsignal.operators import metrics as M
-from jobsignal.operators import normalize as N
 from jobsignal.plans import alerts as PA
 from jobsignal.plans import health as PH
 from jobsignal.plans import sources as PSRC
