@@ -84,15 +84,31 @@ def _throttle(arr: Column, interval: int) -> Column:
 
 
 def upsert(versions: DataFrame, state: DataFrame | None = None, rules: R.Rules = R.DEFAULT_RULES,
-           ts: str = "observed_ts") -> DataFrame:
-    """New jobs snapshot after applying ``versions`` to ``state``."""
+           ts: str = "observed_ts", fold_max_rows: int | None = None) -> DataFrame:
+    """New jobs snapshot after applying ``versions`` to ``state``.
+
+    W6 folds one (posting, content version) group's sorted observations.  With
+    ``fold_max_rows`` set, groups larger than that take the distributed
+    ``throttle_chain_end`` path instead (decided with one small aggregate action),
+    so no group is ever collected beyond that size."""
     feed = change_feed(versions, state, ts)
     order = F.struct(F.col("_v"), F.col(ts).alias("ts"), F.col("seq"))
+    attrs = [F.min_by(F.struct(*ATTRS, "content_hash", "raw_json"), order).alias("_a"), F.min("_first").alias("_first")]
+    big = None
+    if fold_max_rows is not None:
+        feed = feed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEY, "island")))
+        big = feed.where(F.col("_n") > fold_max_rows)
+        if big.limit(1).count() == 0:
+            big = None
+        else:
+            feed = feed.where(F.col("_n") <= fold_max_rows)
     per_island = feed.groupBy(*KEY, "island").agg(
-        F.min_by(F.struct(*ATTRS, "content_hash", "raw_json"), order).alias("_a"),
-        _throttle(F.array_sort(F.collect_list(order)), rules.last_seen_interval).alias("_last"),
-        F.min("_first").alias("_first"),
-    )
+        *attrs, _throttle(F.array_sort(F.collect_list(order)), rules.last_seen_interval).alias("_last"))
+    if big is not None:
+        big_last = throttle_chain_end(big.withColumn("_ts", F.col(ts)), rules.last_seen_interval,
+                                      KEY + ["island"], ts="_ts", eid="seq")
+        big_rows = big.groupBy(*KEY, "island").agg(*attrs).join(big_last, KEY + ["island"])
+        per_island = per_island.unionByName(big_rows)
     per_key = per_island.groupBy(*KEY).agg(
         F.max_by(F.struct("_a", "_last"), "island").alias("_k"),
         F.min("_first").alias("first_seen_ts"),
@@ -161,3 +177,54 @@ def current_classifications(classifications: DataFrame, jobs: DataFrame) -> Data
     return classifications.join(jobs.select(*KEY, "content_hash", "company", "title", "url",
                                             F.col("location").alias("job_location")),
                                 KEY + ["content_hash"], "inner")
+
+
+# --- W6 for very large content versions -------------------------------------------------
+
+FOLD_MAX_ROWS = 100_000   # larger (posting, version) groups take the distributed path
+
+
+def throttle_chain_end(obs: DataFrame, interval: int, group: list[str], ts: str = "ts", eid: str = "seq") -> DataFrame:
+    """Exact W6 result (the last recorded ``ts``) per group without collecting a group.
+
+    Recorded values form the chain start -> next(start) -> ..., where next(e) is the
+    first observation with ts >= ts(e) + interval.  With time buckets of length
+    ``interval`` next(e) lies in bucket(e)+1 (an as-of window inside that bucket) or
+    is the first observation of the next non-empty bucket (one summary row per
+    bucket).  The chain end is then found by pointer jumping: joins on element ids,
+    one checkpoint per round, about log2(chain length) rounds."""
+    from jobsignal.session import state_root
+
+    o = obs.select(*group, F.col(ts).alias("_t"), F.col(eid).alias("_e"), F.floor(F.col(ts) / interval).alias("_b"))
+    # as-of: queries (t + interval) into the following bucket, ordered before data at equal time
+    q = o.select(*group, (F.col("_b") + 1).alias("_b"), (F.col("_t") + interval).alias("_t"), F.lit(0).alias("_k"),
+                 F.col("_e").alias("_q"), F.lit(None).cast("long").alias("_d"))
+    d = o.select(*group, "_b", "_t", F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_q"), F.col("_e").alias("_d"))
+    w = Window.partitionBy(*group, "_b").orderBy("_t", "_k", "_d").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    asof = q.unionByName(d).withColumn("_n", F.first("_d", ignorenulls=True).over(w)).where(F.col("_k") == 0) \
+        .select(*group, F.col("_q").alias("_e"), F.col("_n").alias("_in_next"))
+    # first observation of the next non-empty buckets
+    summ = o.groupBy(*group, "_b").agg(F.min_by("_e", F.struct("_t", "_e")).alias("_first"))
+    wb = Window.partitionBy(*group).orderBy("_b")
+    summ = summ.select(*group, "_b", F.lead("_b").over(wb).alias("_nb1"), F.lead("_first").over(wb).alias("_f1"),
+                       F.lead("_first", 2).over(wb).alias("_f2"))
+    nxt = (o.join(asof, group + ["_e"], "left").join(summ, group + ["_b"], "left")
+           .select(*group, "_e", "_t",
+                   F.when(F.col("_nb1") == F.col("_b") + 1, F.coalesce(F.col("_in_next"), F.col("_f2")))
+                   .otherwise(F.col("_f1")).alias("_nx")))
+    # pointer jumping: L(e) = chain end reachable from e
+    root = state_root(obs.sparkSession)  # noqa: F841 - checkpoint folder must exist
+    jump = nxt.select(*group, "_e", F.coalesce("_nx", "_e").alias("_l")).checkpoint()
+    while True:
+        step = jump.alias("a").join(jump.alias("b"), [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
+                                    + [F.col("a._l") == F.col("b._e")], "left") \
+            .select(*[F.col(f"a.{g}").alias(g) for g in group], F.col("a._e").alias("_e"),
+                    F.coalesce(F.col("b._l"), F.col("a._l")).alias("_l"), (F.col("b._l") != F.col("a._l")).alias("_moved"))
+        step = step.checkpoint()
+        moved = step.where(F.coalesce(F.col("_moved"), F.lit(False))).limit(1).count()
+        jump = step.drop("_moved")
+        if moved == 0:
+            break
+    start = o.groupBy(*group).agg(F.min_by("_e", F.struct("_t", "_e")).alias("_e"))
+    end = start.join(jump, group + ["_e"]).join(o.select(*group, F.col("_e").alias("_l"), F.col("_t").alias("_last")), group + ["_l"])
+    return end.select(*group, "_last")

@@ -79,7 +79,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def job_upsert_stream(spark: SparkSession, versions: DataFrame, cuts: list[int], late: DataFrame | None = None,
-                      root: str | None = None) -> tuple[DataFrame, DataFrame]:
+                      root: str | None = None, fold_max_rows: int | None = S.FOLD_MAX_ROWS) -> tuple[DataFrame, DataFrame]:
     """Apply landed versions micro-batch by micro-batch; returns (jobs, late rows).
 
     Rows older than the key's recorded ``last_seen_ts`` are late: they are kept
@@ -98,7 +98,7 @@ def job_upsert_stream(spark: SparkSession, versions: DataFrame, cuts: list[int],
             is_late = F.col("observed_ts") < F.coalesce(F.col("_seen"), F.lit(-(2 ** 62)))
             tagged.where(is_late).drop("_seen").write.mode("overwrite").parquet(f"{late_dir}/v={batch_id}")
             batch = tagged.where(~is_late).drop("_seen")
-        S.upsert(batch, state).write.mode("overwrite").parquet(f"{snaps}/v={batch_id}")
+        S.upsert(batch, state, fold_max_rows=fold_max_rows).write.mode("overwrite").parquet(f"{snaps}/v={batch_id}")
 
     _run(spark, versions.schema, landing, f"{root}/chk", apply)
     jobs = read_latest(spark, snaps)

@@ -234,3 +234,25 @@ def test_skip_unchanged_same_fingerprint(spark):
                                "etag string, last_modified string, fetched_ts long, body string")
     got = {r.seq: r.skip for r in N.skip_unchanged(df).collect()}
     assert got == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True}
+
+
+def test_throttle_distributed_equals_fold(spark):
+    """The distributed chain end equals the fold; upsert routes big versions to it."""
+    import random
+
+    rnd = random.Random(11)
+    rows, seq = [], 0
+    for g in range(25):
+        t = rnd.randint(0, 50000)
+        for _ in range(rnd.randint(1, 40)):
+            t += rnd.choice([0, 1, 100, 5000, 21599, 21600, 21601, 40000, 90000])
+            seq += 1
+            rows.append((f"k{g}", seq, t))
+    df = spark.createDataFrame(rows, "k string, seq long, ts long")
+    fold = df.groupBy("k").agg(S._throttle(F.array_sort(F.collect_list(F.struct("ts", "seq"))), 21600).alias("_last"))
+    assert sorted(map(tuple, fold.collect())) == sorted(map(tuple, S.throttle_chain_end(df, 21600, ["k"]).collect()))
+    v = spark.createDataFrame([(s_, "lever", k, "co", "t", "", "", "same", t, "{}") for k, s_, t in rows],
+                              "seq long, provider string, external_job_id string, company string, title string, location string, "
+                              "url string, description string, observed_ts long, raw_json string")
+    a, b = S.upsert(v), S.upsert(v, fold_max_rows=5)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
