@@ -1,8 +1,10 @@
 """Rule classifier (C1-C8) as one narrow projection.
 
-No shuffle and no Python: every keyword test is an ``instr`` on a padded,
-normalised string computed once per row, so the whole operator stays in a
-whole-stage-codegen span and scales linearly with the input partitions.
+No shuffle and no Python.  The padded, normalised strings are computed once
+per row; each label's score is a higher-order ``filter`` over a literal needle
+array (evaluated JVM-side, without codegen: one flat ``instr`` per keyword
+overflows Janino's 64 KB method limit and falls back anyway, after a long
+failed compile).  Work scales linearly with the input partitions.
 """
 
 from __future__ import annotations
