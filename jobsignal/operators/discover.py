@@ -105,3 +105,16 @@ def board_list(lines: DataFrame, provider: str, limit: int = 0) -> DataFrame:
 def read_board_file(spark, path: str) -> DataFrame:
     """S4 from text: one line per row with its position in the file."""
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+
+
+def append_boards(new: DataFrame, path: str) -> None:
+    """S6 sink: add newly discovered boards to the known-board table (append only)."""
+    new.select("platform", "base").write.mode("append").parquet(path)
+
+
+def read_known_boards(spark, path: str) -> DataFrame:
+    """S6 source: known boards (empty when the table does not exist yet)."""
+    try:
+        return spark.read.parquet(path).select("platform", "base")
+    except Exception:  # noqa: BLE001 - first run: no table yet
+        return spark.createDataFrame([], "platform string, base string")

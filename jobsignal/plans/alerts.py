@@ -207,8 +207,7 @@ _CLS = lambda: C.sql_classify("v_postings")
 
 @register("alert_candidates", ids="F16 F8 F6",
           sql=lambda: with_views(["v_postings"], f"SELECT doc_id, company, relevance_score FROM ({_CLS()}) c WHERE relevance_score >= {TH}"))
-def alert_candidates(spark, sf):
-    rules = R.DEFAULT_RULES
+def alert_candidates(spark, sf, rules: R.Rules = R.DEFAULT_RULES):
     p = v_postings(spark, sf)
     if rules.classification_enabled:
         c = C.classify(p).withColumn("_ok", F.col("relevance_score") >= TH)

@@ -256,3 +256,33 @@ def test_throttle_distributed_equals_fold(spark):
                               "url string, description string, observed_ts long, raw_json string")
     a, b = S.upsert(v), S.upsert(v, fold_max_rows=5)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_level_gate_and_alert_path_switch(spark):
+    """F2 (off by default) and F16: relevance alerts when classification is on,
+    deterministic title/location alerts when it is off."""
+    from jobsignal.plans import alerts as PA
+
+    df = one_col(spark, ["Software Engineer I", "Backend Engineer", "Software Developer Intern"], "title")
+    gated = {r.title: r.m for r in df.select("title", P.title_matches(F.col("title"), level_gate=True).alias("m")).collect()}
+    assert gated == {"Software Engineer I": True, "Backend Engineer": False, "Software Developer Intern": True}
+    sf = "/root/testdata/sf0.001"
+    on = PA.alert_candidates(spark, sf)
+    off = PA.alert_candidates(spark, sf, R.Rules(classification_enabled=False))
+    assert on.where("relevance_score < 75").count() == 0 and on.count() > 0
+    from jobsignal.plans.registry import QUERIES
+
+    det = QUERIES["deterministic_match"].build(spark, sf)
+    assert off.count() == det.count() > 0
+
+
+def test_known_boards_append(spark, tmp_path):
+    """New boards are appended; a second run finds nothing new."""
+    from jobsignal.operators import discover as D
+
+    path = str(tmp_path / "known")
+    found = spark.createDataFrame([("h", "https://h/a"), ("h", "https://h/b"), ("h", "https://h/a")], "platform string, base string")
+    new = D.new_boards(found, D.read_known_boards(spark, path))
+    assert new.count() == 2
+    D.append_boards(new, path)
+    assert D.new_boards(found, D.read_known_boards(spark, path)).count() == 0
