@@ -49,7 +49,8 @@ def with_hash(df: DataFrame) -> DataFrame:
     return out.withColumn("content_hash", X.content_hash(*[F.col(c) for c in ("company", "title", "location", "url", "description")]))
 
 
-def change_feed(versions: DataFrame, state: DataFrame | None = None, ts: str = "observed_ts") -> DataFrame:
+def change_feed(versions: DataFrame, state: DataFrame | None = None, ts: str = "observed_ts",
+                bucket_seconds: int | None = None) -> DataFrame:
     """is_new / changed per observation, ordered by (ts, seq) per key.
 
     ``state`` is the current jobs snapshot; its row acts as version 0 of a key.
@@ -65,6 +66,8 @@ def change_feed(versions: DataFrame, state: DataFrame | None = None, ts: str = "
         h = h.withColumn("_first", F.col(ts)).unionByName(s, allowMissingColumns=True)
     else:
         h = h.withColumn("_first", F.col(ts))
+    if bucket_seconds is not None:
+        return _change_feed_bucketed(h, ts, bucket_seconds)
     w = Window.partitionBy(*KEY).orderBy("_v", ts, "seq")
     prev = F.lag("content_hash").over(w)
     out = h.select("*", prev.alias("_prev"))
@@ -77,6 +80,28 @@ def change_feed(versions: DataFrame, state: DataFrame | None = None, ts: str = "
     return out.withColumn("island", F.sum(F.col("changed").cast("int")).over(running)).drop("_prev")
 
 
+def _change_feed_bucketed(h: DataFrame, ts: str, bucket_seconds: int) -> DataFrame:
+    """Two-level W4 for postings observed very often: ``lag`` and the running change
+    count inside (posting, time bucket); the previous hash and the change count
+    carried into a bucket come from one summary row per bucket."""
+    order = F.struct(F.col("_v"), F.col(ts), F.col("seq"))
+    h = h.withColumn("_b", F.when(F.col("_v") == 0, F.lit(-(2 ** 40))).otherwise(F.floor(F.col(ts) / bucket_seconds)))
+    w_in = Window.partitionBy(*KEY, "_b").orderBy("_v", ts, "seq")
+    h = h.withColumn("_prev_in", F.lag("content_hash").over(w_in))
+    wb = Window.partitionBy(*KEY).orderBy("_b")
+    last = h.groupBy(*KEY, "_b").agg(F.max_by("content_hash", order).alias("_last"))
+    last = last.select(*KEY, "_b", F.lag("_last").over(wb).alias("_before"))
+    h = h.join(last, KEY + ["_b"], "left").withColumn("_prev", F.coalesce(F.col("_prev_in"), F.col("_before")))
+    h = h.select("*", (F.col("_prev").isNull() & (F.col("_v") == 1)).alias("is_new"),
+                 (F.col("_prev").isNull() | (F.col("content_hash") != F.col("_prev"))).alias("changed"))
+    run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = h.withColumn("_local", F.sum(F.col("changed").cast("int")).over(run))
+    cnt = h.groupBy(*KEY, "_b").agg(F.sum(F.col("changed").cast("int")).alias("_n"))
+    cnt = cnt.select(*KEY, "_b", F.coalesce(F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry"))
+    h = h.join(cnt, KEY + ["_b"], "left").withColumn("island", (F.col("_carry") + F.col("_local")).cast("long"))
+    return h.drop("_b", "_prev_in", "_before", "_prev", "_local", "_carry")
+
+
 def _throttle(arr: Column, interval: int) -> Column:
     """W6 fold over one version's sorted observations: the first one always records;
     later ones record only when >= ``interval`` seconds after the recorded value."""
@@ -84,14 +109,14 @@ def _throttle(arr: Column, interval: int) -> Column:
 
 
 def upsert(versions: DataFrame, state: DataFrame | None = None, rules: R.Rules = R.DEFAULT_RULES,
-           ts: str = "observed_ts", fold_max_rows: int | None = None) -> DataFrame:
+           ts: str = "observed_ts", fold_max_rows: int | None = None, bucket_seconds: int | None = None) -> DataFrame:
     """New jobs snapshot after applying ``versions`` to ``state``.
 
     W6 folds one (posting, content version) group's sorted observations.  With
     ``fold_max_rows`` set, groups larger than that take the distributed
     ``throttle_chain_end`` path instead (decided with one small aggregate action),
     so no group is ever collected beyond that size."""
-    feed = change_feed(versions, state, ts)
+    feed = change_feed(versions, state, ts, bucket_seconds)
     order = F.struct(F.col("_v"), F.col(ts).alias("ts"), F.col("seq"))
     attrs = [F.min_by(F.struct(*ATTRS, "content_hash", "raw_json"), order).alias("_a"), F.min("_first").alias("_first")]
     big = None

@@ -286,3 +286,25 @@ def test_known_boards_append(spark, tmp_path):
     assert new.count() == 2
     D.append_boards(new, path)
     assert D.new_boards(found, D.read_known_boards(spark, path)).count() == 0
+
+
+def test_change_feed_two_level_equals_single(spark):
+    """W4 two-level form (per posting and time bucket + bucket summaries) == one window."""
+    from jobsignal.plans import store as PS
+
+    v = PS.versions(spark, "/root/testdata/sf0.001")
+    cols = ["seq", "provider", "external_job_id", "is_new", "changed", "island"]
+    one = S.change_feed(v).select(*cols)
+    for bucket in (86400, 86400 * 365):
+        two = S.change_feed(v, bucket_seconds=bucket).select(*cols)
+        assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0, bucket
+    state = S.upsert(v.where("observed_ts < 883612800"))
+    batch = v.where("observed_ts >= 883612800")
+    a = S.upsert(batch, state)
+    b = S.upsert(batch, state, bucket_seconds=86400 * 30)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    rows = [(1, 0, "h1"), (2, 100, "h1"), (3, 21600, "h1"), (4, 21700, "h2"), (5, 30000, "h1")]
+    df = spark.createDataFrame([(s_, "greenhouse", "k", "co", "t", "", "", d, t, "{}") for s_, t, d in rows],
+                               "seq long, provider string, external_job_id string, company string, title string, location string, url string, description string, observed_ts long, raw_json string")
+    got = [(r.is_new, r.changed, r.island) for r in S.change_feed(df, bucket_seconds=50).orderBy("seq").collect()]
+    assert got == [(True, True, 1), (False, False, 1), (False, False, 1), (False, True, 2), (False, True, 3)]
