@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from jobsignal.llm import sentencepiece_codec
-from jobsignal.llm.common import Tables
+from jobsignal.llm.common import Tables, workers_import
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every remaining document."""
+    workers_import(spark)
     return sentencepiece_codec.round_trip(docs)
 
 

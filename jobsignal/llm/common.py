@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,18 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let local Python workers import this package wherever the session was started (on a cluster it is installed or shipped)."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
 class Tables:
     """Tables written in the shared folder to cut lineage; ``drop`` removes what only finished steps read."""
 
     def __init__(self, spark: SparkSession, name: str):
+        workers_import(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0

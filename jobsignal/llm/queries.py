@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsignal.llm import sentencepiece_codec
-from jobsignal.llm.common import read_table
+from jobsignal.llm import ngram_join, sentencepiece_codec
+from jobsignal.llm.common import read_table, workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -15,7 +15,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            workers_import(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql:
             ORACLE_SQL[name] = sql
         return fn
@@ -27,3 +31,9 @@ def query(name: str, sql: str | None = None):
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, decoded again and compared with the text."""
     return sentencepiece_codec.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+@query("op3_ngram_jaccard")
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets reach a Jaccard similarity of 0.9."""
+    return ngram_join.components(spark, read_table(spark, sf_dir, "documents"), 3, 90, 100)

@@ -323,16 +323,23 @@ class Encoder:
         return self.flat[_spans(self.start[number], size)], np.diff(ends[np.append(0, np.cumsum(count))])
 
 
-def vocabulary_source(df: DataFrame, model: str, kind: str):
-    """The model file (about half a megabyte, whatever the data) read on the driver and sent once to each worker."""
+_ENCODERS: dict[tuple[int, str], Encoder] = {}
+
+
+def encoder_source(df: DataFrame, model: str, kind: str):
+    """A function giving a worker's encoder, kept from task to task.
+
+    The model file (about half a megabyte, whatever the data) is read on the
+    driver and sent once to each worker.
+    """
     with open(model, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
-    cache: dict[str, Vocabulary] = {}
 
-    def get() -> Vocabulary:
-        if "v" not in cache:
-            cache["v"] = Vocabulary.load(sent.value, kind)
-        return cache["v"]
+    def get() -> Encoder:
+        key = (hash(sent.value), kind)
+        if key not in _ENCODERS:
+            _ENCODERS[key] = Encoder(Vocabulary.load(sent.value, kind))
+        return _ENCODERS[key]
 
     return get
 
@@ -341,10 +348,10 @@ def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe", text: str = "
     """``docs`` with ``ids`` (array of int) and ``n_tokens``; see the module for defined cases."""
     keep = [c for c in docs.columns if c not in ("ids", "n_tokens")]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
-    get = vocabulary_source(docs, model, kind)
+    get = encoder_source(docs, model, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(get())
+        enc = get()
         for batch in batches:
             for part in blocks(batch, text):
                 texts = part.column(part.schema.get_field_index(text))
@@ -360,10 +367,10 @@ def decode(tokens: DataFrame, model: str = MODEL, kind: str = "bpe", ids: str =
     """``tokens`` with the text of its ids in column ``to``; null ids give null."""
     keep = [c for c in tokens.columns if c != to]
     schema = T.StructType([*tokens.select(*keep).schema.fields, T.StructField(to, T.StringType())])
-    get = vocabulary_source(tokens, model, kind)
+    get = encoder_source(tokens, model, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = get()
+        v = get().v
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids))
             for a in range(0, batch.num_rows, 500):
