@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsignal.llm import ngram_join, sentencepiece_codec
+from jobsignal.llm import ngram_join, sentencepiece_codec, toxicity
 from jobsignal.llm.common import read_table, workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,9 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets reach a Jaccard similarity of 0.9."""
     return ngram_join.components(spark, read_table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels.toxic."""
+    return toxicity.score(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
