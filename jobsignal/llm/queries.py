@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsignal.llm import ngram_join, quality, sentencepiece_codec, toxicity
+from jobsignal.llm import decontaminate, ngram_join, oracles, quality, sentencepiece_codec, toxicity
 from jobsignal.llm.common import read_table, workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +33,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(read_table(spark, sf_dir, "documents"))
 
 
-@query("op3_ngram_jaccard")
+@query("op3_ngram_jaccard", oracles.NGRAM_JACCARD)
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets reach a Jaccard similarity of 0.9."""
     return ngram_join.components(spark, read_table(spark, sf_dir, "documents"), 3, 90, 100)
@@ -49,3 +49,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from labels.quality."""
     return quality.score(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op8_decontaminate", oracles.DECONTAMINATE)
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 13 words in every document."""
+    return decontaminate.contamination(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
