@@ -200,7 +200,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows; every row is judged by its own text."""
-    bad = _judged(spark, docs, benchmark, WINDOW, 0).where("contaminated").select(F.col("kid").alias("_kid"), F.col("h").alias("_h")).distinct()
+    bad = _judged(spark, docs, benchmark, WINDOW, 0).where("contaminated").select(F.col("kid").alias("_dc_kid"), F.col("h").alias("_dc_h")).distinct()
     text = F.col("text").cast("string")
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == F.col("_kid")) & (F.xxhash64(text, F.length(text)) == F.col("_h"))
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(-1)) == F.col("_dc_kid")) & (F.xxhash64(text, F.length(text)) == F.col("_dc_h"))
     return docs.join(bad, same, "left_anti")

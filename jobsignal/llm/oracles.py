@@ -11,10 +11,10 @@ smallest AS (SELECT id, min(r) AS component FROM reach GROUP BY id)
 
 NGRAM_JACCARD = rf"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i+2], ' ')) END) AS s FROM w),
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
 link AS (
   SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id AND 90 * greatest(x.n, y.n) <= 100 * least(x.n, y.n)
@@ -28,21 +28,34 @@ DECONTAMINATE = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 win AS (SELECT DISTINCT item, w[i:i+12] AS p FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 11, 2))) AS i FROM b WHERE len(w) > 0)),
-n AS (SELECT DISTINCT len(p) AS n FROM win),
-place AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-hit AS (SELECT place.doc_id, place.i, n.n, win.item FROM place CROSS JOIN n JOIN win ON len(win.p) = n.n AND place.w[place.i:place.i + n.n - 1] = win.p),
-word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
-item AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id),
-corpus AS (SELECT doc_id, i, w[i] AS t FROM place),
+corpus AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM d),
 freq AS (SELECT t, count(*) AS c FROM corpus GROUP BY t),
 term AS (SELECT p, o, p[o] AS t FROM (SELECT p, unnest(range(1, len(p) + 1)) AS o FROM (SELECT DISTINCT p FROM win))),
 ranked AS (SELECT term.p, term.o, term.t, row_number() OVER (PARTITION BY term.p ORDER BY freq.c, term.o) AS k FROM term JOIN freq ON freq.t = term.t),
-whole AS (SELECT p FROM ranked GROUP BY p HAVING count(*) = len(p)),
-near AS (
-  SELECT DISTINCT x.doc_id, r1.p FROM whole JOIN ranked r1 ON r1.p = whole.p AND r1.k = 1 JOIN ranked r2 ON r2.p = r1.p AND r2.k = least(2, len(r1.p))
-  JOIN corpus x ON x.t = r1.t JOIN corpus y ON y.t = r2.t AND y.doc_id = x.doc_id AND abs((x.i - r1.o) - (y.i - r2.o)) <= 2),
+whole AS (SELECT p, row_number() OVER () AS id FROM ranked GROUP BY p HAVING count(*) = len(p)),
+at1 AS (SELECT whole.id, x.doc_id, x.i - r.o AS s FROM whole JOIN ranked r ON r.p = whole.p AND r.k = 1 JOIN corpus x ON x.t = r.t),
+at2 AS (SELECT whole.id, x.doc_id, x.i - r.o AS s FROM whole JOIN ranked r ON r.p = whole.p AND r.k = least(2, len(r.p)) JOIN corpus x ON x.t = r.t),
+same AS (
+  SELECT at1.id, at1.doc_id, at1.s, count(*) AS n FROM at1 JOIN whole ON whole.id = at1.id JOIN term ON term.p = whole.p
+  JOIN corpus c ON c.doc_id = at1.doc_id AND c.i = at1.s + term.o AND c.t = term.t GROUP BY at1.id, at1.doc_id, at1.s),
+hit AS (SELECT same.doc_id, same.s, same.n, whole.p FROM same JOIN whole ON whole.id = same.id AND same.n = len(whole.p)),
+word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS k FROM (SELECT DISTINCT doc_id, s, n FROM hit)) GROUP BY doc_id),
+item AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, p FROM hit) h JOIN win ON win.p = h.p GROUP BY doc_id),
+near AS (SELECT DISTINCT at1.doc_id, whole.p FROM at1 JOIN at2 ON at1.id = at2.id AND at1.doc_id = at2.doc_id AND abs(at1.s - at2.s) <= 2 JOIN whole ON whole.id = at1.id),
 close AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM near JOIN win ON win.p = near.p GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, coalesce(n_near, 0) AS n_near
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id) LEFT JOIN close USING (doc_id)
 """
+
+LINE_DEDUP = r"""
+WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+h AS (SELECT doc_id, line, i, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS v FROM x),
+c AS (SELECT doc_id, line, i, coalesce((31 * lag(v) OVER (PARTITION BY doc_id ORDER BY i) + v) % 3 = 0, false) AS ends FROM h),
+k AS (SELECT doc_id, line, i, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM c),
+chunk AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS txt FROM k GROUP BY doc_id, chunk),
+ranked AS (SELECT *, n > 1 AND regexp_matches(txt, '[^ \t\n\x0B\f\r]') AND row_number() OVER (PARTITION BY txt ORDER BY doc_id, chunk) > 1 AS gone FROM chunk)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(string_agg(r.txt, chr(10) ORDER BY r.chunk) FILTER (NOT r.gone), '') END AS text,
+  count(r.chunk) AS n_chunks, count(*) FILTER (r.gone) AS n_removed
+FROM documents d LEFT JOIN ranked r USING (doc_id) GROUP BY d.doc_id, d.text
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsignal.llm import decontaminate, ngram_join, oracles, quality, sentencepiece_codec, toxicity
+from jobsignal.llm import decontaminate, line_dedup, ngram_join, oracles, quality, sentencepiece_codec, toxicity
 from jobsignal.llm.common import read_table, workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 13 words in every document."""
     return decontaminate.contamination(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_line_dedup", oracles.LINE_DEDUP)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without repeated chunks of lines."""
+    return line_dedup.dedup(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)

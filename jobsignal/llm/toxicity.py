@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobsignal.llm.common import blocks, mix64
 from jobsignal.llm.labelled import held_out, sample
@@ -173,15 +174,27 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]), share)
 
 
-def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted (1 if score >= threshold) of every row of ``docs``."""
-    model = spark.sparkContext.broadcast(train(sample(docs, labels, "toxic", TAUGHT)))
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    return train(sample(docs, labels, "toxic", TAUGHT))
+
+
+def scored(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``_toxic_score`` of each row's text."""
+    sent = spark.sparkContext.broadcast(model)
+    keep = [c for c in docs.columns if c != "_toxic_score"]
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_toxic_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.value.score(part.column(1)), pa.float64())], names=["doc_id", "score"])
+                texts = part.column(part.schema.get_field_index("text"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sent.value.score(texts), pa.float64())], names=[*keep, "_toxic_score"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return docs.select(*keep).mapInArrow(run, schema)
+
+
+def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, held_out, score (0 to 1) and predicted (1 if score >= threshold) of every row of ``docs``."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    out = scored(spark, docs, learn(docs, labels)).withColumnRenamed("_toxic_score", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
