@@ -15,8 +15,10 @@ large enough to reach the threshold with a heavy one.  The boundary is the size
 at which the written rows plus the expected scan of lists cost least, from the
 histogram of set sizes.
 
-*Links.*  In each bucket (one subset or one list) every member is compared with
-one pivot, drawn anew per bucket; verified links give components.  Then, in
+*Links.*  A pair is compared only where its bucket's shingles may be the first it
+has in common: what follows them must leave room for the overlap it needs.  In
+each bucket (one subset or one list) every member is compared with one pivot,
+the member with the most room; verified links give components.  Then, in
 buckets that still hold several components, all remaining pairs of different
 components are compared.  So every pair that could join two components has been
 compared, while a group of near copies costs rows in proportion to its size.
@@ -153,21 +155,27 @@ def boundary(levels: np.ndarray, sizes: np.ndarray, num: int, den: int) -> int:
     return int(min(choices)[1])
 
 
-def signatures(s: np.ndarray, levels: np.ndarray, light: int, num: int, den: int) -> np.ndarray:
-    """Buckets of one set (sorted distinct hashes), as signed 64-bit numbers."""
+def signatures(s: np.ndarray, levels: np.ndarray, light: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of one set of sorted distinct hashes, as signed 64-bit numbers; the most that can overlap from there).
+
+    If a bucket's shingles are the first ones, in the order, that two sets have
+    in common, then their overlap is at most the smaller of the two ``room``s.
+    """
     n = len(s)
     if n < 2:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = (levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
     p = n - needed(n, num, den)
     prefix = s[np.argsort(key, kind="stable")[: p + 2]]
-    out = []
+    sigs, room = [], []
     if n <= light:
         i, j = np.triu_indices(len(prefix), 1)
-        out.append(mix64(prefix[i] * np.uint64(0x9E3779B97F4A7C15) + mix64(prefix[j])))
+        sigs.append(mix64(prefix[i] * np.uint64(0x9E3779B97F4A7C15) + mix64(prefix[j])))
+        room.append(n - j + 1)
     if n > light or n * den >= num * (light + 1):
-        out.append(mix64(prefix[: p + 1] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-    return np.concatenate(out).view(np.int64)
+        sigs.append(mix64(prefix[: p + 1] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+        room.append(n - np.arange(p + 1))
+    return np.concatenate(sigs).view(np.int64), np.concatenate(room)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -208,40 +216,44 @@ def components(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80,
         order = sent.value
         for batch in batches:
             for part in blocks(batch, "text"):
-                size, digest, sigs = [], [], []
+                size, digest, sigs, room = [], [], [], []
                 for s in shingle_sets(_texts(part), n):
                     size.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    sigs.append(signatures(s, order, light, num, den))
-                flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
-                offsets = np.append(0, np.cumsum([len(x) for x in sigs])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_texts(part, "doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
-                                                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "digest", "sigs"])
-
-    sets = tables.save(docs.mapInArrow(describe, "doc_id long, n long, digest binary, sigs array<long>"))
+                    own = signatures(s, order, light, num, den)
+                    sigs.append(own[0])
+                    room.append(own[1])
+                offsets = pa.array(np.append(0, np.cumsum([len(x) for x in sigs])).astype(np.int32))
+                sigs, room = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int64())) for x in (sigs, room))
+                yield pa.RecordBatch.from_arrays([_texts(part, "doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), sigs, room],
+                                                 names=["doc_id", "n", "digest", "sigs", "room"])
+
+    sets = tables.save(docs.mapInArrow(describe, "doc_id long, n long, digest binary, sigs array<long>, room array<long>"))
     classes = tables.save(sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")))
     # one posting per class and bucket: only the row that names the class has postings
-    postings = (sets.where("digest is not null and size(sigs) > 0").select("doc_id", "n", "digest", "sigs")
+    postings = (sets.where("digest is not null and size(sigs) > 0").select("doc_id", "n", "digest", "sigs", "room")
                 .join(classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi")
-                .select(F.col("doc_id").alias("node"), "n", F.explode("sigs").alias("sig")))
-    draw = F.xxhash64("node", F.pmod("sig", F.lit(8)))
-    pivots = (postings.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", draw).alias("pivot"), F.min_by("n", draw).alias("pivot_n"))
+                .select(F.col("doc_id").alias("node"), "n", F.inline(F.arrays_zip(F.col("sigs").alias("sig"), F.col("room").alias("room")))))
+    # the pivot has the most room: of near copies, the one with the fewest shingles of its own
+    draw = F.shiftleft(-F.col("room"), 32) + F.pmod(F.xxhash64("node", "sig"), F.lit(1 << 32))
+    pivots = (postings.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", draw).alias("pivot"), F.min_by("n", draw).alias("pivot_n"),
+                                          F.min_by("room", draw).alias("pivot_room"))
               .where("m > 1").drop("m"))
     members = tables.save(postings.join(pivots, "sig"))
 
-    def close(x: str, y: str) -> str:
-        return f"{num} * greatest({x}, {y}) <= {den} * least({x}, {y})"
+    def close(x: str, y: str, rx: str, ry: str) -> str:
+        return f"{num} * greatest({x}, {y}) <= {den} * least({x}, {y}) and {num + den} * least({rx}, {ry}) >= {num} * ({x} + {y})"
 
-    star = (members.where("node <> pivot").where(close("n", "pivot_n"))
+    star = (members.where("node <> pivot").where(close("n", "pivot_n", "room", "pivot_room"))
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
     texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     links = tables.save(_verify(star, texts, n, num, den))
     first = connected_components(tables, links)
     placed = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    rest = tables.save(placed.where("node <> pivot").join(mixed, "sig", "left_semi").select("sig", "node", "n", "component").distinct())
-    other = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    more = (rest.join(other, "sig").where("node < b and component <> bc").where(close("n", "bn"))
+    rest = tables.save(placed.where("node <> pivot").join(mixed, "sig", "left_semi").select("sig", "node", "n", "room", "component").distinct())
+    other = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("room").alias("broom"), F.col("component").alias("bc"))
+    more = (rest.join(other, "sig").where("node < b and component <> bc").where(close("n", "bn", "room", "broom"))
             .select(F.col("node").alias("a"), "b").distinct())
     found = tables.save(_verify(more, texts, n, num, den))
     nodes = connected_components(tables, links.union(found))
