@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsignal.llm import decontaminate, line_dedup, ngram_join, oracles, quality, sentencepiece_codec, toxicity
+from jobsignal.llm import decontaminate, embedding_dedup, line_dedup, ngram_join, oracles, quality, sentencepiece_codec, toxicity
 from jobsignal.llm.common import read_table, workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without repeated chunks of lines."""
     return line_dedup.dedup(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
+@query("op10_embedding_dedup", oracles.EMBEDDING_DEDUP)
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked at a cosine of 0.9 or more."""
+    return embedding_dedup.near_duplicates(spark, read_table(spark, sf_dir, "embeddings"))
