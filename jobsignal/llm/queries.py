@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsignal.llm import decontaminate, embedding_dedup, line_dedup, ngram_join, oracles, quality, sentencepiece_codec, toxicity
+from jobsignal.llm import decontaminate, embedding_dedup, line_dedup, ngram_join, oracles, quality, sentencepiece_codec, suffix_dedup, toxicity
 from jobsignal.llm.common import read_table, workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors linked at a cosine of 0.9 or more."""
     return embedding_dedup.near_duplicates(spark, read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without byte strings of 100 that start earlier."""
+    return suffix_dedup.dedup(spark, read_table(spark, sf_dir, "documents"))
