@@ -129,6 +129,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, digest = hashes.spans(anchor, anchor + GRAM), hashes.spans(a, e)
             at = a - (np.cumsum(size) - size)[text]
             order = np.lexsort((at, h, kid, digest))
+            again = np.r_[False, np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in (kid, h, at)])]  # the same document in another row
+            order = order[~again]
             same = np.r_[False, (digest[order][1:] == digest[order][:-1]) & (key[order][1:] == key[order][:-1])]
             yield _rows(key.view(np.int64)[order], digest.view(np.int64)[order], kid[order], h[order], at[order], (at + e - a)[order], same)
 
@@ -139,15 +141,20 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Keeps one row between batches, however many rows an anchor has.
     """
     held = None  # the last first occurrence, not yet known to share its anchor
-    before = (None, None)
+    before = last = (None,) * 5
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        again = np.logical_and.reduce([np.r_[c[0] == b, c[1:] == c[:-1]] for c, b in zip(cols, before)])  # the same document in another row
+        before = tuple(c[-1] for c in cols[:5])
+        if again.all():
+            continue
         key, digest = cols[0], cols[1]
-        same_key = np.r_[key[0] == before[0], key[1:] == key[:-1]]
-        dup = same_key & np.r_[digest[0] == before[1], digest[1:] == digest[:-1]]
-        before = (key[-1], digest[-1])
+        same_key = np.r_[key[0] == last[0], key[1:] == key[:-1]][~again]
+        dup = np.r_[digest[0] == last[1], digest[1:] == digest[:-1]][~again] & same_key
+        last = before
+        cols = [c[~again] for c in cols]
         if dup.any():
             yield _rows(*(c[dup] for c in cols), np.ones(int(dup.sum()), bool))
         lead = [c[~dup] for c in cols]
