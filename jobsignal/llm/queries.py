@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsignal.llm import decontaminate, embedding_dedup, line_dedup, ngram_join, oracles, packing, quality, sentencepiece_codec, suffix_dedup, toxicity
+from jobsignal.llm import decontaminate, embedding_dedup, line_dedup, ngram_join, oracles, packing, quality, quotes, sentencepiece_codec, suffix_dedup, toxicity
 from jobsignal.llm.common import read_table, workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents in sequences of 2,048."""
     return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_quotation_linking")
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply-ordered messages without quotes, linked to what they quote."""
+    return quotes.conversations(spark, read_table(spark, sf_dir, "conversations"))
