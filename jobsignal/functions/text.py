@@ -70,15 +70,16 @@ def truncate(c: Column, n: int) -> Column:
     return F.substring(F.coalesce(c.cast("string"), F.lit("")), 1, n)
 
 
-def content_hash(company: Column, title: Column, location: Column, url: Column, description: Column) -> Column:
-    """SHA-256 of the compact JSON object with sorted keys."""
+def content_hash(company: Column, title: Column, location: Column, url: Column, description: Column, cleaned: bool = False) -> Column:
+    """SHA-256 of the compact JSON object with sorted keys (``cleaned``: the fields are clean already)."""
+    fix = (lambda c: c) if cleaned else clean
     blob = F.to_json(
         F.struct(
-            clean(company).alias("company"),
-            clean(description).alias("description"),
-            clean(location).alias("location"),
-            clean(title).alias("title"),
-            clean(url).alias("url"),
+            fix(company).alias("company"),
+            fix(description).alias("description"),
+            fix(location).alias("location"),
+            fix(title).alias("title"),
+            fix(url).alias("url"),
         )
     )
     return F.sha2(blob, 256)

@@ -14,7 +14,7 @@ def posting_url(provider: Column, company: Column, job_id: Column, apply_url: Co
     return (
         F.when(provider == "ashby", F.concat(F.lit(f"https://{R.HOSTS['ashby']}/"), company, F.lit("/"), job_id))
         .when(provider == "greenhouse", F.concat(F.lit(f"https://{R.HOSTS['greenhouse']}/"), company, F.lit("/jobs/"), job_id))
-        .otherwise(F.coalesce(lever_apply, F.concat(F.lit(f"https://{R.HOSTS['lever']}/"), company, F.lit("/"), job_id)))
+        .otherwise(F.coalesce(lever_apply, F.concat(F.lit(f"https://{R.HOSTS['lever']}/"), company, F.when(F.coalesce(job_id, F.lit("")) != "", F.concat(F.lit("/"), job_id)).otherwise(F.lit("")))))
     )
 
 
@@ -86,8 +86,9 @@ def alert_line(service: Column, source: Column, title: Column, job_id: Column, a
     t = X.strip_ws(F.coalesce(title, F.lit("")))
     url = posting_url(service, source, job_id, apply_url)
     ashby = F.when((t != "") & (F.coalesce(job_id, F.lit("")) != ""), F.concat(t, F.lit(" - "), url))
-    other = F.when((t != "") & (F.coalesce(job_id, F.lit("")) != ""), F.concat(t, F.lit(" | "), url))
-    return F.when(service == "ashby", ashby).otherwise(other)
+    board = F.when((t != "") & (F.coalesce(job_id, F.lit("")) != ""), F.concat(t, F.lit(" | "), url))
+    lever = F.when((t != "") & (F.coalesce(url, F.lit("")) != ""), F.concat(t, F.lit(" | "), url))
+    return F.when(service == "ashby", ashby).when(service == "lever", lever).otherwise(board)
 
 
 def alert_header(service: Column, source: Column) -> Column:

@@ -64,7 +64,13 @@ def search_yield(hits: DataFrame, n_queries: int, existing: DataFrame | None = N
     for p in accepted_parts[1:]:
         out = out.unionByName(p)
     tw = Window.partitionBy("platform").orderBy("query_idx", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return out.withColumn("discovered_total", F.sum("new_boards").over(tw))
+    out = out.withColumn("discovered_total", F.sum("new_boards").over(tw))
+    if existing is None:
+        return out
+    # the running total starts from the boards already known
+    known = existing.select("platform", "base").distinct().groupBy("platform").agg(F.count(F.lit(1)).alias("_known"))
+    return (out.join(known, "platform", "left")
+            .withColumn("discovered_total", F.col("discovered_total") + F.coalesce("_known", F.lit(0))).drop("_known"))
 
 
 def new_boards(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -114,7 +120,7 @@ def append_boards(new: DataFrame, path: str) -> None:
 
 def read_known_boards(spark, path: str) -> DataFrame:
     """S6 source: known boards (empty when the table does not exist yet)."""
-    try:
-        return spark.read.parquet(path).select("platform", "base")
-    except Exception:  # noqa: BLE001 - first run: no table yet
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], "platform string, base string")
+    return spark.read.parquet(path).select("platform", "base")

@@ -132,8 +132,8 @@ def service_error_ratio(status: DataFrame) -> DataFrame:
 def json_summary(entries: Column) -> Column:
     """``json.dumps(summary, sort_keys=True)`` text from sorted (status, n) structs."""
     def key(e):
-        k = F.replace(F.replace(e["status"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-        return F.concat(F.lit('"'), k, F.lit('": '), e["n"].cast("string"))
+        k = F.regexp_replace(F.to_json(F.array(e["status"])), r"^\[|\]$", "")
+        return F.concat(k, F.lit(": "), e["n"].cast("string"))
     return F.concat(F.lit("{"), F.array_join(F.transform(entries, key), ", "), F.lit("}"))
 
 

@@ -150,23 +150,28 @@ def board_state(resp: DataFrame) -> DataFrame:
                     F.col("_s.fingerprint").alias("fingerprint"), "last_seen_ts")
 
 
-def skip_unchanged(resp: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
-    """Responses that need no processing: 304, or the same fingerprint as the board's
-    previous successful response.
-
-    Two-level like W2: the previous successful fingerprint comes from a window inside
-    (board, day bucket), else from the board's earlier buckets via one summary row
-    per bucket — a board with a huge polling history is not one task."""
-    s = poll_status(resp).withColumn("_b", F.floor(F.col("fetched_ts") / bucket_seconds))
-    ok_fp = F.when(F.col("status") == "ok", F.col("fingerprint"))
-    w = Window.partitionBy("service", "source", "_b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("_in", F.last(ok_fp, ignorenulls=True).over(w))
-    summ = s.groupBy("service", "source", "_b").agg(F.max_by(ok_fp, F.when(ok_fp.isNotNull(), F.col("seq"))).alias("_last_ok"))
-    wb = Window.partitionBy("service", "source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select("service", "source", "_b", F.last("_last_ok", ignorenulls=True).over(wb).alias("_before"))
-    s = s.join(summ, ["service", "source", "_b"], "left").withColumn("prev_fingerprint", F.coalesce(F.col("_in"), F.col("_before")))
-    skip = (F.col("http_status") == 304) | ((F.col("status") == "ok") & (F.col("fingerprint") == F.col("prev_fingerprint")))
-    return s.withColumn("skip", F.coalesce(skip, F.lit(False))).drop("_b", "_in", "_before")
+def skip_unchanged(resp: DataFrame) -> DataFrame:
+    """Responses that need no processing: 304 only.  The fingerprint is board state;
+    equal fingerprints are processed like any other response."""
+    return poll_status(resp).withColumn("skip", F.coalesce(F.col("http_status") == 304, F.lit(False)))
+
+
+def board_result(resp: DataFrame) -> DataFrame:
+    """Outcome, counts and detail of each response, net of ids already notified.
+
+    A match counts as new in the first response of its board that holds it; later
+    responses with the same posting are 'ok'.  One aggregate per (board, id) and one
+    per response."""
+    posts = L.explode_postings(resp)
+    counts = posts.groupBy("seq").agg(F.count(F.lit(1)).alias("postings"))
+    first = posting_matches(posts).groupBy("service", "source", "external_job_id").agg(F.min("seq").alias("seq"))
+    new = first.groupBy("seq").agg(F.count(F.lit(1)).alias("new_matches"))
+    j = poll_status(resp).join(counts, "seq", "left").join(new, "seq", "left")
+    n, nm, ok = F.coalesce("postings", F.lit(0)), F.coalesce("new_matches", F.lit(0)), F.col("status") == "ok"
+    word = F.when(F.col("service") == "ashby", F.lit("postings=")).otherwise(F.lit("jobs="))
+    return j.select("seq", "service", "source", "fetched_ts", F.when(ok & (nm > 0), F.lit("new match")).otherwise(F.col("status")).alias("status"),
+                    n.alias("postings"), nm.alias("new_matches"),
+                    F.when(ok, F.concat(word, n.cast("string"), F.lit(" new_matches="), nm.cast("string"))).alias("detail"))
 
 
 def api_url(service: Column, source: Column) -> Column:

@@ -1,10 +1,9 @@
 """Change-aware job store.
 
-All per-posting state is computed with one hash shuffle on the natural key
-``(provider, external_job_id)``: the window (W4), the per-island fold (W6)
-and the per-key roll-up (W5) all reuse that partitioning.  A key's group is
-bounded by the observations of one posting in the batch being applied
-(one per poll cycle), never by a board or a provider.
+Observations of one posting are dealt into time buckets: the change feed (W4)
+orders rows inside (posting, bucket) and carries one summary row per bucket, and
+the throttle (W6) keeps the distinct seconds of one throttle interval per row and
+folds one such row per interval.  The same path serves groups of every size.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ JOB_COLUMNS = KEY[:1] + ["company", "external_job_id", "title", "location", "url
                          "content_hash", "raw_json", "first_seen_ts", "last_seen_ts"]
 CLASS_COLUMNS = ["provider", "external_job_id", "content_hash", "model", "role_family", "role_type", "seniority",
                  "location_fit", "relevance_score", "confidence", "reason", "raw_response_json", "classified_ts"]
+BUCKET_SECONDS = 30 * 86400   # time bucket of the change feed
 REQUIRED = ("provider", "company", "external_job_id", "title")
 
 
@@ -46,11 +46,11 @@ def with_hash(df: DataFrame) -> DataFrame:
     cleaned = [X.clean(F.col(c)).alias(c) for c in ["provider", "external_job_id"] + ATTRS]
     rest = [c for c in df.columns if c not in set(KEY + ATTRS)]
     out = df.select(*cleaned, *rest)
-    return out.withColumn("content_hash", X.content_hash(*[F.col(c) for c in ("company", "title", "location", "url", "description")]))
+    return out.withColumn("content_hash", X.content_hash(*[F.col(c) for c in ("company", "title", "location", "url", "description")], cleaned=True))
 
 
 def change_feed(versions: DataFrame, state: DataFrame | None = None, ts: str = "observed_ts",
-                bucket_seconds: int | None = None) -> DataFrame:
+                bucket_seconds: int | None = BUCKET_SECONDS) -> DataFrame:
     """is_new / changed per observation, ordered by (ts, seq) per key.
 
     ``state`` is the current jobs snapshot; its row acts as version 0 of a key.
@@ -102,46 +102,44 @@ def _change_feed_bucketed(h: DataFrame, ts: str, bucket_seconds: int) -> DataFra
     return h.drop("_b", "_prev_in", "_before", "_prev", "_local", "_carry")
 
 
-def _throttle(arr: Column, interval: int) -> Column:
-    """W6 fold over one version's sorted observations: the first one always records;
-    later ones record only when >= ``interval`` seconds after the recorded value."""
-    return F.aggregate(arr, arr[0]["ts"], lambda acc, x: F.when(x["ts"] - acc >= interval, x["ts"]).otherwise(acc))
+def throttle(feed: DataFrame, interval: int, group: list[str], ts: str) -> DataFrame:
+    """The last recorded time of each group.
+
+    The first observation (a stored row before any of the batch, ``_v`` 0) records;
+    later ones, by time, record when at least ``interval`` seconds after the value
+    recorded last.  At most one value per interval-long block is recorded, the first
+    that is late enough, so per block only its distinct seconds matter (at most
+    ``interval`` of them), and a group folds one row per block."""
+    stored = feed.groupBy(*group).agg(F.min(F.when(F.col("_v") == 0, F.col(ts))).alias("_stored"))
+    seconds = feed.where(F.col("_v") == 1).select(*group, F.col(ts).alias("_t")).distinct()
+    blocks = (seconds.withColumn("_b", F.floor(F.col("_t") / interval)).groupBy(*group, "_b")
+              .agg(F.array_sort(F.collect_list("_t")).alias("_ts")))
+    rows = blocks.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_b", "_ts"))).alias("_blocks"))
+    j = stored.join(rows, group, "left")
+    start = F.coalesce(F.col("_stored"), F.col("_blocks")[0]["_ts"][0])
+    last = F.aggregate(F.coalesce("_blocks", F.array().cast("array<struct<_b:bigint,_ts:array<bigint>>>")), start,
+                       lambda acc, b: F.coalesce(F.try_element_at(F.filter(b["_ts"], lambda t: t >= acc + interval), F.lit(1)), acc))
+    return j.select(*group, last.alias("_last"))
 
 
 def upsert(versions: DataFrame, state: DataFrame | None = None, rules: R.Rules = R.DEFAULT_RULES,
-           ts: str = "observed_ts", fold_max_rows: int | None = None, bucket_seconds: int | None = None) -> DataFrame:
+           ts: str = "observed_ts", bucket_seconds: int | None = BUCKET_SECONDS) -> DataFrame:
     """New jobs snapshot after applying ``versions`` to ``state``.
 
-    W6 folds one (posting, content version) group's sorted observations.  With
-    ``fold_max_rows`` set, groups larger than that take the distributed
-    ``throttle_chain_end`` path instead (decided with one small aggregate action),
-    so no group is ever collected beyond that size."""
+    A stored posting keeps its ``first_seen_ts``, whatever the batch's times."""
     feed = change_feed(versions, state, ts, bucket_seconds)
     order = F.struct(F.col("_v"), F.col(ts).alias("ts"), F.col("seq"))
-    attrs = [F.min_by(F.struct(*ATTRS, "content_hash", "raw_json"), order).alias("_a"), F.min("_first").alias("_first")]
-    big = None
-    if fold_max_rows is not None:
-        feed = feed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEY, "island")))
-        big = feed.where(F.col("_n") > fold_max_rows)
-        if big.limit(1).count() == 0:
-            big = None
-        else:
-            feed = feed.where(F.col("_n") <= fold_max_rows)
-    per_island = feed.groupBy(*KEY, "island").agg(
-        *attrs, _throttle(F.array_sort(F.collect_list(order)), rules.last_seen_interval).alias("_last"))
-    if big is not None:
-        big_last = throttle_chain_end(big.withColumn("_ts", F.col(ts)), rules.last_seen_interval,
-                                      KEY + ["island"], ts="_ts", eid="seq")
-        big_rows = big.groupBy(*KEY, "island").agg(*attrs).join(big_last, KEY + ["island"])
-        per_island = per_island.unionByName(big_rows)
-    per_key = per_island.groupBy(*KEY).agg(
-        F.max_by(F.struct("_a", "_last"), "island").alias("_k"),
-        F.min("_first").alias("first_seen_ts"),
-    )
-    return per_key.select(
-        "provider", F.col("_k._a.company").alias("company"), "external_job_id",
-        *[F.col(f"_k._a.{c}").alias(c) for c in ("title", "location", "url", "description", "content_hash", "raw_json")],
-        "first_seen_ts", F.col("_k._last").alias("last_seen_ts"),
+    group = KEY + ["island"]
+    per_island = feed.groupBy(*group).agg(
+        F.min_by(F.struct(*ATTRS, "content_hash", "raw_json"), order).alias("_a"), F.min_by("_first", order).alias("_first"))
+    per_key = per_island.groupBy(*KEY).agg(F.max_by("_a", "island").alias("_a"), F.min_by("_first", "island").alias("first_seen_ts"),
+                                           F.max("island").alias("island"))
+    current = feed.join(per_key.select(*group), group, "left_semi")
+    out = per_key.join(throttle(current, rules.last_seen_interval, group, ts), group)
+    return out.select(
+        "provider", F.col("_a.company").alias("company"), "external_job_id",
+        *[F.col(f"_a.{c}").alias(c) for c in ("title", "location", "url", "description", "content_hash", "raw_json")],
+        "first_seen_ts", F.col("_last").alias("last_seen_ts"),
     )
 
 
@@ -202,54 +200,3 @@ def current_classifications(classifications: DataFrame, jobs: DataFrame) -> Data
     return classifications.join(jobs.select(*KEY, "content_hash", "company", "title", "url",
                                             F.col("location").alias("job_location")),
                                 KEY + ["content_hash"], "inner")
-
-
-# --- W6 for very large content versions -------------------------------------------------
-
-FOLD_MAX_ROWS = 100_000   # larger (posting, version) groups take the distributed path
-
-
-def throttle_chain_end(obs: DataFrame, interval: int, group: list[str], ts: str = "ts", eid: str = "seq") -> DataFrame:
-    """Exact W6 result (the last recorded ``ts``) per group without collecting a group.
-
-    Recorded values form the chain start -> next(start) -> ..., where next(e) is the
-    first observation with ts >= ts(e) + interval.  With time buckets of length
-    ``interval`` next(e) lies in bucket(e)+1 (an as-of window inside that bucket) or
-    is the first observation of the next non-empty bucket (one summary row per
-    bucket).  The chain end is then found by pointer jumping: joins on element ids,
-    one checkpoint per round, about log2(chain length) rounds."""
-    from jobsignal.session import state_root
-
-    o = obs.select(*group, F.col(ts).alias("_t"), F.col(eid).alias("_e"), F.floor(F.col(ts) / interval).alias("_b"))
-    # as-of: queries (t + interval) into the following bucket, ordered before data at equal time
-    q = o.select(*group, (F.col("_b") + 1).alias("_b"), (F.col("_t") + interval).alias("_t"), F.lit(0).alias("_k"),
-                 F.col("_e").alias("_q"), F.lit(None).cast("long").alias("_d"))
-    d = o.select(*group, "_b", "_t", F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_q"), F.col("_e").alias("_d"))
-    w = Window.partitionBy(*group, "_b").orderBy("_t", "_k", "_d").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    asof = q.unionByName(d).withColumn("_n", F.first("_d", ignorenulls=True).over(w)).where(F.col("_k") == 0) \
-        .select(*group, F.col("_q").alias("_e"), F.col("_n").alias("_in_next"))
-    # first observation of the next non-empty buckets
-    summ = o.groupBy(*group, "_b").agg(F.min_by("_e", F.struct("_t", "_e")).alias("_first"))
-    wb = Window.partitionBy(*group).orderBy("_b")
-    summ = summ.select(*group, "_b", F.lead("_b").over(wb).alias("_nb1"), F.lead("_first").over(wb).alias("_f1"),
-                       F.lead("_first", 2).over(wb).alias("_f2"))
-    nxt = (o.join(asof, group + ["_e"], "left").join(summ, group + ["_b"], "left")
-           .select(*group, "_e", "_t",
-                   F.when(F.col("_nb1") == F.col("_b") + 1, F.coalesce(F.col("_in_next"), F.col("_f2")))
-                   .otherwise(F.col("_f1")).alias("_nx")))
-    # pointer jumping: L(e) = chain end reachable from e
-    root = state_root(obs.sparkSession)  # noqa: F841 - checkpoint folder must exist
-    jump = nxt.select(*group, "_e", F.coalesce("_nx", "_e").alias("_l")).checkpoint()
-    while True:
-        step = jump.alias("a").join(jump.alias("b"), [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
-                                    + [F.col("a._l") == F.col("b._e")], "left") \
-            .select(*[F.col(f"a.{g}").alias(g) for g in group], F.col("a._e").alias("_e"),
-                    F.coalesce(F.col("b._l"), F.col("a._l")).alias("_l"), (F.col("b._l") != F.col("a._l")).alias("_moved"))
-        step = step.checkpoint()
-        moved = step.where(F.coalesce(F.col("_moved"), F.lit(False))).limit(1).count()
-        jump = step.drop("_moved")
-        if moved == 0:
-            break
-    start = o.groupBy(*group).agg(F.min_by("_e", F.struct("_t", "_e")).alias("_e"))
-    end = start.join(jump, group + ["_e"]).join(o.select(*group, F.col("_e").alias("_l"), F.col("_t").alias("_last")), group + ["_l"])
-    return end.select(*group, "_last")

@@ -86,35 +86,12 @@ def log_rows(spark, sf):
 
 
 @register("cycle_totals", ids="A8 A19",
-          sql=lambda: PSRC.psql(f"""SELECT b.service, f.cycle_ts, CAST(sum(b.postings) AS BIGINT) AS total_postings,
-              CAST(sum(b.new_matches) AS BIGINT) AS total_new_matches FROM ({_board_result_body()}) b
-              JOIN (SELECT min(doc_id) AS seq, ({L.FETCH_BASE_TS} + resp_id * 60) - ({L.FETCH_BASE_TS} + resp_id * 60) % 3600 AS cycle_ts
-                    FROM pp GROUP BY provider, company, resp_id) f ON f.seq = b.seq GROUP BY b.service, f.cycle_ts"""))
+          sql=lambda: PSRC.psql(f"""SELECT service, ts - ts % 3600 AS cycle_ts, CAST(sum(postings) AS BIGINT) AS total_postings,
+              CAST(sum(new_matches) AS BIGINT) AS total_new_matches FROM ({PSRC.BOARD_RESULT_SQL}) b GROUP BY ALL"""))
 def cycle_totals(spark, sf):
-    br = QUERIES["board_result"].build(spark, sf)
-    ts = L.landed_responses(spark, sf).select("seq", (F.col("fetched_ts") - F.col("fetched_ts") % 3600).alias("cycle_ts"))
-    j = br.join(ts, "seq")
-    return j.groupBy("service", "cycle_ts").agg(F.sum("postings").cast("long").alias("total_postings"),
-                                                F.sum("new_matches").cast("long").alias("total_new_matches"))
-
-
-def _board_result_body() -> str:
-    s = QUERIES["board_result"].oracle()
-    return s[s.index("SELECT g.seq"):]
-
-
-# --- U5: notified ids per board ---------------------------------------------------------------------
-
-
-@register("notified_ids_json", ids="U5",
-          sql=lambda: PA.asql("SELECT service, source, CAST(to_json(list(external_job_id ORDER BY external_job_id)) AS VARCHAR) AS notified_job_ids_json "
-                              "FROM (SELECT service, source, external_job_id FROM notified UNION SELECT service, source, external_job_id FROM batch) u "
-                              "GROUP BY service, source", "notified", "batch"))
-def notified_ids_json(spark, sf):
-    """The original's per-board JSON list (bounded by the board's distinct matched ids);
-    the long-form ``notified_union`` table is the state actually kept."""
-    u = QUERIES["notified_union"].build(spark, sf)
-    return u.groupBy("service", "source").agg(F.to_json(F.sort_array(F.collect_set("external_job_id"))).alias("notified_job_ids_json"))
+    br = PSRC._board_result(spark, sf)
+    return br.groupBy("service", (F.col("fetched_ts") - F.col("fetched_ts") % 3600).alias("cycle_ts")).agg(
+        F.sum("postings").cast("long").alias("total_postings"), F.sum("new_matches").cast("long").alias("total_new_matches"))
 
 
 # --- X18: exposition text ---------------------------------------------------------------------------
@@ -163,3 +140,17 @@ def stream_classify(spark, sf):
     from jobsignal.plans.streams import YEAR_CUTS
 
     return SP.classify_stream(spark, PS.versions(spark, sf), YEAR_CUTS)
+
+
+# --- U5: notified ids per board -------------------------------------------------------------
+
+
+@register("notified_ids_json", ids="U5",
+          sql=lambda: PA.asql("SELECT service, source, CAST(to_json(external_job_id) AS VARCHAR) AS notified_job_id_json "
+                              "FROM (SELECT service, source, external_job_id FROM notified UNION SELECT service, source, external_job_id FROM batch) u",
+                              "notified", "batch"))
+def notified_ids_json(spark, sf):
+    """The members of each board's JSON list, one row each: a board's list has no bound."""
+    u = QUERIES["notified_union"].build(spark, sf)
+    quoted = F.regexp_replace(F.to_json(F.array("external_job_id")), r"^\[|\]$", "")
+    return u.select("service", "source", quoted.alias("notified_job_id_json"))

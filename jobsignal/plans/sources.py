@@ -14,16 +14,23 @@ from jobsignal.sources.testdata import v_html, with_views
 
 S = X.sql
 PP = "SELECT *, doc_id // 10 AS resp_id, (doc_id // 10) % 17 AS r FROM v_postings"
-OK_COND = "r NOT IN (5, 9, 11) AND NOT (r = 7 AND provider <> 'ashby') AND NOT (r = 13 AND provider = 'ashby')"
-OKP = (f"SELECT *, min(doc_id) OVER (PARTITION BY provider, company, resp_id) AS seq, "
-       f"row_number() OVER (PARTITION BY provider, company, resp_id ORDER BY doc_id) - 1 AS pos FROM pp "
-       f"WHERE {OK_COND} AND NOT (r = 15 AND provider = 'lever')")
+KIND = ("CASE WHEN r = 3 THEN 'again' WHEN r = 5 THEN 'http' WHEN r = 7 AND provider <> 'ashby' THEN '304' WHEN r = 9 THEN 'timeout' WHEN r = 11 THEN 'cut' "
+        "WHEN r = 13 AND provider = 'ashby' THEN 'gql' WHEN r = 15 AND provider = 'lever' THEN 'shape' END")
+# one row per response: every board's whole body, and the second polls
+RESP = (f"SELECT provider, company, resp_id, 2 * min(doc_id) AS seq, count(*) AS n, 'whole' AS kind, {L.FETCH_BASE_TS} + resp_id * 60 AS ts FROM pp GROUP BY ALL "
+        f"UNION ALL SELECT provider, company, resp_id, 2 * min(doc_id) + 1, count(*), {KIND}, {L.FETCH_BASE_TS} + resp_id * 60 + 30 "
+        f"FROM pp WHERE {KIND} IS NOT NULL GROUP BY provider, company, resp_id, r")
+OKP = ("SELECT pp.*, resp.seq, resp.ts, row_number() OVER (PARTITION BY resp.seq ORDER BY doc_id) - 1 AS pos "
+       "FROM pp JOIN resp USING (provider, company, resp_id) WHERE resp.kind IN ('whole', 'again')")
+STATUS = ("CASE WHEN kind = 'timeout' THEN 'timeout' WHEN kind IN ('whole', 'again', 'shape') THEN 'ok' "
+          "WHEN provider = 'ashby' THEN CASE kind WHEN 'http' THEN 'http_500' WHEN 'cut' THEN 'exception:invalid JSON body' ELSE 'gql_error:Organization not found' END "
+          "ELSE CASE kind WHEN '304' THEN 'unchanged (304)' WHEN 'http' THEN 'error HTTP 500' ELSE 'exception: invalid JSON body' END END")
 EXT_ID = "CASE provider WHEN 'ashby' THEN 'A' || CAST(doc_id AS VARCHAR) WHEN 'lever' THEN 'L' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END"
 WT = "CASE WHEN doc_id % 5 = 0 THEN 'remote' WHEN doc_id % 5 = 1 THEN 'hybrid' END"
 
 
 def psql(body: str, okp: bool = True) -> str:
-    ctes = [("pp", PP)] + ([("okp", OKP)] if okp else [])
+    ctes = [("pp", PP), ("resp", RESP)] + ([("okp", OKP)] if okp else [])
     return with_views(["v_postings"], body, ctes)
 
 
@@ -62,13 +69,7 @@ def raw_responses(spark, sf):
 
 
 @register("poll_status", ids="P13 R12",
-          sql=lambda: psql("""SELECT min(doc_id) AS seq, provider AS service, company AS source,
-              CASE WHEN r = 9 THEN 'timeout'
-                   WHEN provider = 'ashby' THEN CASE WHEN r = 5 THEN 'http_500' WHEN r = 11 THEN 'exception:invalid JSON body'
-                                                     WHEN r = 13 THEN 'gql_error:Organization not found' ELSE 'ok' END
-                   ELSE CASE WHEN r = 7 THEN 'unchanged (304)' WHEN r = 5 THEN 'error HTTP 500'
-                             WHEN r = 11 THEN 'exception: invalid JSON body' ELSE 'ok' END END AS status
-              FROM pp GROUP BY provider, company, resp_id, r""", okp=False))
+          sql=lambda: psql(f"SELECT seq, provider AS service, company AS source, {STATUS} AS status FROM resp", okp=False))
 def poll_status(spark, sf):
     return N.poll_status(_landed(spark, sf)).select("seq", "service", "source", "status")
 
@@ -136,9 +137,10 @@ def posting_matches(spark, sf):
 def _fp_sql() -> str:
     item = ("CASE provider WHEN 'greenhouse' THEN '{\"id\":' || CAST(doc_id AS VARCHAR) || ',\"updated_at\":\"u' || CAST(doc_id AS VARCHAR) || '\"}' "
             "ELSE '{\"id\":\"L' || CAST(doc_id AS VARCHAR) || '\",\"updatedAt\":' || CAST(doc_id * 1000 AS VARCHAR) || '}' END")
-    return psql(f"""SELECT min(doc_id) AS seq, provider AS service, company AS source,
-        sha256(CASE WHEN r = 15 AND provider = 'lever' THEN '[]' ELSE '[' || string_agg({item}, ',' ORDER BY doc_id) || ']' END) AS fingerprint
-        FROM pp WHERE provider <> 'ashby' AND {OK_COND} GROUP BY provider, company, resp_id, r""", okp=False)
+    return psql(f"""SELECT resp.seq, provider AS service, company AS source,
+        sha256(CASE WHEN kind = 'shape' THEN '[]' ELSE '[' || string_agg({item}, ',' ORDER BY doc_id) || ']' END) AS fingerprint
+        FROM pp JOIN resp USING (provider, company, resp_id) WHERE provider <> 'ashby' AND kind IN ('whole', 'again', 'shape')
+        GROUP BY provider, company, resp.seq, kind""", okp=False)
 
 
 @register("board_fingerprint", ids="X8", sql=_fp_sql)
@@ -147,22 +149,19 @@ def board_fingerprint(spark, sf):
     return s.where((F.col("status") == "ok") & (F.col("service") != "ashby")).select("seq", "service", "source", "fingerprint")
 
 
-_STATE_SQL = f"""SELECT provider AS service, company AS source,
-    max(CASE WHEN {OK_COND} THEN resp_id END) AS ok_resp, max(resp_id) AS last_resp,
-    arg_max(min_doc, CASE WHEN {OK_COND} THEN resp_id END) AS ok_seq
-    FROM (SELECT provider, company, resp_id, r, min(doc_id) AS min_doc FROM pp GROUP BY ALL) g GROUP BY provider, company"""
+_STATE_SQL = """SELECT provider AS service, company AS source, max(CASE WHEN kind IN ('whole', 'again', 'shape') THEN seq END) AS ok_seq, max(ts) AS last_ts
+    FROM resp GROUP BY provider, company"""
 
 
 @register("board_state_update", ids="J6 S13",
-          sql=lambda: psql(f"""SELECT service, source, CASE WHEN ok_seq IS NOT NULL THEN 'W/"' || CAST(ok_seq AS VARCHAR) || '"' END AS etag,
-              {L.FETCH_BASE_TS} + last_resp * 60 AS last_seen_ts FROM ({_STATE_SQL}) s""", okp=False))
+          sql=lambda: psql(f"""SELECT service, source, 'W/"' || CAST(ok_seq AS VARCHAR) || '"' AS etag, 'modified ' || CAST(ok_seq AS VARCHAR) AS last_modified,
+              last_ts AS last_seen_ts FROM ({_STATE_SQL}) s""", okp=False))
 def board_state_update(spark, sf):
-    return N.board_state(_landed(spark, sf)).select("service", "source", "etag", "last_seen_ts")
+    return N.board_state(_landed(spark, sf)).select("service", "source", "etag", "last_modified", "last_seen_ts")
 
 
 @register("skip_unchanged", ids="R11",
-          sql=lambda: psql("SELECT min(doc_id) AS seq, provider AS service, company AS source, (r = 7 AND provider <> 'ashby') AS skip "
-                           "FROM pp GROUP BY provider, company, resp_id, r", okp=False))
+          sql=lambda: psql("SELECT seq, provider AS service, company AS source, kind = '304' AS skip FROM resp", okp=False))
 def skip_unchanged(spark, sf):
     return N.skip_unchanged(_landed(spark, sf)).select("seq", "service", "source", "skip")
 
@@ -172,40 +171,32 @@ def skip_unchanged(spark, sf):
               CASE service WHEN 'greenhouse' THEN 'https://boards-api.greenhouse.io/v1/boards/' || source || '/jobs'
                            WHEN 'lever' THEN 'https://api.lever.co/v0/postings/' || source || '?mode=json'
                            ELSE {q(N.ASHBY_GQL_ENDPOINT)} END AS url,
-              CASE WHEN service <> 'ashby' AND ok_seq IS NOT NULL THEN 'W/"' || CAST(ok_seq AS VARCHAR) || '"' END AS if_none_match,
-              CAST(NULL AS VARCHAR) AS if_modified_since FROM ({_STATE_SQL}) s""", okp=False))
+              CASE WHEN service <> 'ashby' THEN 'W/"' || CAST(ok_seq AS VARCHAR) || '"' END AS if_none_match,
+              CASE WHEN service <> 'ashby' THEN 'modified ' || CAST(ok_seq AS VARCHAR) END AS if_modified_since FROM ({_STATE_SQL}) s""", okp=False))
 def poll_plan(spark, sf):
     landed = _landed(spark, sf)
     boards = landed.select("service", "source").distinct()
     return N.poll_plan(boards, N.board_state(landed))
 
 
-@register("board_result", ids="A19 P13",
-          sql=lambda: psql(f"""SELECT g.seq, g.service, g.source,
-              CASE WHEN g.status = 'ok' AND coalesce(m.n, 0) > 0 THEN 'new match' ELSE g.status END AS status,
-              g.postings, coalesce(m.n, 0) AS new_matches FROM (
-                SELECT min(doc_id) AS seq, provider AS service, company AS source,
-                  CASE WHEN r = 9 THEN 'timeout' WHEN provider = 'ashby' THEN CASE WHEN r = 5 THEN 'http_500' WHEN r = 11 THEN 'exception:invalid JSON body'
-                       WHEN r = 13 THEN 'gql_error:Organization not found' ELSE 'ok' END
-                       ELSE CASE WHEN r = 7 THEN 'unchanged (304)' WHEN r = 5 THEN 'error HTTP 500' WHEN r = 11 THEN 'exception: invalid JSON body' ELSE 'ok' END END AS status,
-                  CASE WHEN {OK_COND} AND NOT (r = 15 AND provider = 'lever') THEN count(*) ELSE 0 END AS postings
-                FROM pp GROUP BY provider, company, resp_id, r) g
-              LEFT JOIN (SELECT seq, count(*) AS n FROM okp WHERE {P.sql.title_matches(S.strip_ws('title'))} AND CASE provider
-                WHEN 'ashby' THEN {P.sql.is_us_location(S.strip_ws('location'))}
-                WHEN 'greenhouse' THEN doc_id % 2 = 0 AND {P.sql.is_us_location(S.strip_ws('location'))}
-                ELSE {P.sql.is_us_location(S.strip_ws('location'))} OR coalesce({P.sql.is_us_location(WT)} AND ({WT}) IS NOT NULL, false) END
-                GROUP BY seq) m ON m.seq = g.seq"""))
+_MATCH_SQL = f"""{P.sql.title_matches(S.strip_ws('title'))} AND CASE provider
+    WHEN 'ashby' THEN {P.sql.is_us_location(S.strip_ws('location'))}
+    WHEN 'greenhouse' THEN doc_id % 2 = 0 AND {P.sql.is_us_location(S.strip_ws('location'))}
+    ELSE {P.sql.is_us_location(S.strip_ws('location'))} OR coalesce({P.sql.is_us_location(WT)} AND ({WT}) IS NOT NULL, false) END"""
+BOARD_RESULT_SQL = f"""SELECT g.seq, g.service, g.source, g.ts, CASE WHEN g.status = 'ok' AND coalesce(m.n, 0) > 0 THEN 'new match' ELSE g.status END AS status,
+    g.postings, coalesce(m.n, 0) AS new_matches, CASE WHEN g.status = 'ok' THEN CASE g.service WHEN 'ashby' THEN 'postings=' ELSE 'jobs=' END
+      || CAST(g.postings AS VARCHAR) || ' new_matches=' || CAST(coalesce(m.n, 0) AS VARCHAR) END AS detail
+    FROM (SELECT seq, provider AS service, company AS source, ts, {STATUS} AS status, CASE WHEN kind IN ('whole', 'again') THEN n ELSE 0 END AS postings FROM resp) g
+    LEFT JOIN (SELECT seq, count(*) AS n FROM (SELECT doc_id, min(seq) AS seq FROM okp WHERE {_MATCH_SQL} GROUP BY doc_id) f GROUP BY seq) m ON m.seq = g.seq"""
+
+
+def _board_result(spark, sf):
+    return N.board_result(_landed(spark, sf))
+
+
+@register("board_result", ids="A19 P13", sql=lambda: psql(f"SELECT * EXCLUDE (ts) FROM ({BOARD_RESULT_SQL}) b"))
 def board_result(spark, sf):
-    landed = _landed(spark, sf)
-    st = N.poll_status(landed).select("seq", "service", "source", "status")
-    posts = _postings(spark, sf)
-    counts = posts.groupBy("seq").agg(F.count(F.lit(1)).alias("postings"))
-    new = N.posting_matches(posts).groupBy("seq").agg(F.count(F.lit(1)).alias("new_matches"))
-    j = st.join(counts, "seq", "left").join(new, "seq", "left")
-    nm = F.coalesce(F.col("new_matches"), F.lit(0))
-    return j.select("seq", "service", "source",
-                    F.when((F.col("status") == "ok") & (nm > 0), F.lit("new match")).otherwise(F.col("status")).alias("status"),
-                    F.coalesce(F.col("postings"), F.lit(0)).alias("postings"), nm.alias("new_matches"))
+    return _board_result(spark, sf).drop("fetched_ts")
 
 
 @register("strip_html", ids="X1", sql=lambda: with_views(["v_html"], f"SELECT page_id, {S.strip_html('html')} AS text FROM v_html"))

@@ -33,11 +33,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def state_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and state tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) a fresh scratch folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``; where it is unset a local session
+    (tests) gets a fresh scratch folder is created and registered.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="jobsignal-state-", dir=os.environ.get("JOBSIGNAL_SCRATCH", "/tmp"))
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)

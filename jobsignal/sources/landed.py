@@ -4,8 +4,10 @@ A landed response is one poll of one board:
 ``(seq, service, source, http_status, error_kind, error_message, etag,
 last_modified, fetched_ts, body)``.  Live polling writes these rows; here they
 are derived by Spark from ``v_postings`` (one response per provider, board and
-``doc_id div 10``; at most 10 postings per body, descriptions whole), with a
-fixed rule injecting error outcomes so every status path is exercised.
+``doc_id div 10``; at most 10 postings per body, descriptions whole).  Every
+posting is in a whole body; by a fixed rule some boards are polled a second time
+half a minute later, with the same body or with a failure, as extra rows, so
+every status path is exercised and postings recur.
 
 Bodies are parsed with ``try_parse_json`` into VARIANT: a truncated body
 becomes null (an ``exception`` outcome) instead of failing the job, and
@@ -22,7 +24,7 @@ from jobsignal.sources.testdata import v_postings
 
 RESP_SIZE = 10
 FETCH_BASE_TS = 1704067200
-# Outcome rule on (response id % 17): 5 -> HTTP 500, 7 -> 304 (Greenhouse/Lever),
+# Second poll by (response id % 17): 3 -> the same body, 5 -> HTTP 500, 7 -> 304 (Greenhouse/Lever),
 # 9 -> timeout, 11 -> truncated body, 13 -> GraphQL error (Ashby), 15 -> non-array body (Lever).
 GQL_ERROR_BODY = '{"errors":[{"message":"Organization not found"}]}'
 NON_ARRAY_BODY = '{"message":"not an array"}'
@@ -75,20 +77,21 @@ def landed_responses(spark, sf_dir: str) -> DataFrame:
     body = (F.when(svc == "greenhouse", F.concat(F.lit('{"jobs":['), items, F.lit("]}")))
             .when(svc == "lever", F.concat(F.lit("["), items, F.lit("]")))
             .otherwise(F.concat(F.lit('{"data":{"jobBoardWithTeams":{"jobPostings":['), items, F.lit("]}}}"))))
-    body = (F.when(r == 11, F.substring(body, 1, TRUNCATE_AT))
-            .when((r == 13) & (svc == "ashby"), F.lit(GQL_ERROR_BODY))
-            .when((r == 15) & (svc == "lever"), F.lit(NON_ARRAY_BODY))
-            .otherwise(body))
-    status = (F.when(r == 5, F.lit(500)).when((r == 7) & (svc != "ashby"), F.lit(304))
-              .when(r == 9, F.lit(None).cast("int")).otherwise(F.lit(200)))
-    has_body = status == 200
+    extra = (F.when(r == 3, F.lit("again")).when(r == 5, F.lit("http")).when((r == 7) & (svc != "ashby"), F.lit("304"))
+             .when(r == 9, F.lit("timeout")).when(r == 11, F.lit("cut")).when((r == 13) & (svc == "ashby"), F.lit("gql"))
+             .when((r == 15) & (svc == "lever"), F.lit("shape")))
+    g = g.select("provider", "company", "resp_id", "seq", body.alias("full"), F.explode(F.array_compact(F.array(F.lit("whole"), extra))).alias("kind"))
+    kind, second = F.col("kind"), (F.col("kind") != "whole").cast("long")
+    body = (F.when(kind.isin("whole", "again"), F.col("full")).when(kind == "cut", F.substring("full", 1, TRUNCATE_AT))
+            .when(kind == "gql", F.lit(GQL_ERROR_BODY)).when(kind == "shape", F.lit(NON_ARRAY_BODY)))
+    status = F.when(kind == "http", F.lit(500)).when(kind == "304", F.lit(304)).when(kind != "timeout", F.lit(200))
+    seq = 2 * F.col("seq") + second
     return g.select(
-        "seq", svc.alias("service"), F.col("company").alias("source"), status.alias("http_status"),
-        F.when(r == 9, F.lit("timeout")).alias("error_kind"), F.lit(None).cast("string").alias("error_message"),
-        F.when(has_body, F.concat(F.lit('W/"'), F.col("seq").cast("string"), F.lit('"'))).alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"),
-        (F.lit(FETCH_BASE_TS) + F.col("resp_id") * 60).alias("fetched_ts"),
-        F.when(has_body, body).alias("body"),
+        seq.alias("seq"), svc.alias("service"), F.col("company").alias("source"), status.alias("http_status"),
+        F.when(kind == "timeout", F.lit("timeout")).alias("error_kind"), F.lit(None).cast("string").alias("error_message"),
+        F.when(status == 200, F.concat(F.lit('W/"'), seq.cast("string"), F.lit('"'))).alias("etag"),
+        F.when(status == 200, F.concat(F.lit("modified "), seq.cast("string"))).alias("last_modified"),
+        (F.lit(FETCH_BASE_TS) + F.col("resp_id") * 60 + 30 * second).alias("fetched_ts"), body.alias("body"),
     )
 
 

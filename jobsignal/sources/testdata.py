@@ -66,18 +66,11 @@ CYCLE_SECONDS = 3600
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Give CPU-heavy narrow work (regex scoring, JSON parsing, hashing) all cores when
-    the input arrives in fewer splits than the cluster's parallelism (e.g. one large
-    single-row-group file).  At scale the scan already yields thousands of splits and
-    this is a no-op — no extra shuffle."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
-        return df
-    # Hash on the table's unique key: even, deterministic (a retry places rows
-    # identically, identical branches share the exchange) and needs no sort.
-    # Expensive predicates downstream use ``functions.predicates.fenced_where`` so
-    # Catalyst does not push them back below this exchange into the one-split scan.
-    return df.repartition(par, *key)
+    """Deal rows of a single-split input to ``spark.jobsignal.inputPartitions`` partitions by
+    their unique key, for CPU-heavy work on one small file.  Off unless the setting is
+    given (a scan of a large table has splits enough and must not shuffle whole texts)."""
+    n = int(df.sparkSession.conf.get("spark.jobsignal.inputPartitions", "0"))
+    return df.repartition(n, *key) if n else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

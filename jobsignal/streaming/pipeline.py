@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobsignal import rules as R
+from jobsignal.functions import predicates as P
 from jobsignal.operators import alerts as A
 from jobsignal.operators import health as H
 from jobsignal.operators import store as S
@@ -46,10 +48,9 @@ def read_latest(spark: SparkSession, root: str, below: int | None = None) -> Dat
 
 
 def land_slices(df: DataFrame, landing: str, ts: str, cuts: list[int]) -> None:
-    """Write ``df`` as time-ordered slices (one folder of files per slice, in order).
+    """Write ``df`` as time-ordered slices, one folder each, with as many files as tasks.
 
-    Stands in for a poller landing files over time; each slice becomes one
-    micro-batch with ``maxFilesPerTrigger`` sized to the slice."""
+    Stands in for a poller landing files over time."""
     bounds = [None] + list(cuts) + [None]
     for i in range(len(bounds) - 1):
         lo, hi = bounds[i], bounds[i + 1]
@@ -58,15 +59,21 @@ def land_slices(df: DataFrame, landing: str, ts: str, cuts: list[int]) -> None:
             part = part.where(F.col(ts) >= lo)
         if hi is not None:
             part = part.where(F.col(ts) < hi)
-        part.coalesce(1).write.mode("overwrite").parquet(f"{landing}/slice={i:04d}")
+        part.write.mode("overwrite").parquet(f"{landing}/slice={i:04d}")
 
 
 def _run(spark: SparkSession, schema, landing: str, chk: str, fn) -> None:
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(landing))
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", chk)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    """One micro-batch per landed slice, in the slices' order: the file source lists what
+    has landed up to a slice, skips what its checkpoint has already taken, and takes the
+    rest of the slice's files together."""
+    fs, p = _fs(spark, landing)
+    names = sorted(st.getPath().getName() for st in fs.listStatus(p) if st.getPath().getName().startswith("slice="))
+    for k in range(len(names)):
+        upto = "{" + ",".join(names[: k + 1]) + "}"
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{landing}/{upto}")
+        q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", chk)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -79,7 +86,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def job_upsert_stream(spark: SparkSession, versions: DataFrame, cuts: list[int], late: DataFrame | None = None,
-                      root: str | None = None, fold_max_rows: int | None = S.FOLD_MAX_ROWS) -> tuple[DataFrame, DataFrame]:
+                      root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply landed versions micro-batch by micro-batch; returns (jobs, late rows).
 
     Rows older than the key's recorded ``last_seen_ts`` are late: they are kept
@@ -88,7 +95,7 @@ def job_upsert_stream(spark: SparkSession, versions: DataFrame, cuts: list[int],
     landing, snaps, late_dir = f"{root}/landing", f"{root}/jobs", f"{root}/late"
     land_slices(versions, landing, "observed_ts", cuts)
     if late is not None:
-        late.coalesce(1).write.mode("overwrite").parquet(f"{landing}/slice=9999")
+        late.write.mode("overwrite").parquet(f"{landing}/slice=9999")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         state = read_latest(spark, snaps, batch_id)
@@ -98,7 +105,7 @@ def job_upsert_stream(spark: SparkSession, versions: DataFrame, cuts: list[int],
             is_late = F.col("observed_ts") < F.coalesce(F.col("_seen"), F.lit(-(2 ** 62)))
             tagged.where(is_late).drop("_seen").write.mode("overwrite").parquet(f"{late_dir}/v={batch_id}")
             batch = tagged.where(~is_late).drop("_seen")
-        S.upsert(batch, state, fold_max_rows=fold_max_rows).write.mode("overwrite").parquet(f"{snaps}/v={batch_id}")
+        S.upsert(batch, state).write.mode("overwrite").parquet(f"{snaps}/v={batch_id}")
 
     _run(spark, versions.schema, landing, f"{root}/chk", apply)
     jobs = read_latest(spark, snaps)
@@ -121,7 +128,8 @@ def merge_status(state: DataFrame | None, batch: DataFrame) -> DataFrame:
         return b
     s = state.select(*[F.col(c).alias("s_" + c) if c not in H.BOARD else F.col(c) for c in state.columns])
     j = s.join(b, H.BOARD, "full")
-    has_b = F.col("last_checked_ts").isNotNull()
+    # a late batch row (older than the stored check) does not overwrite the newer status
+    has_b = F.col("last_checked_ts").isNotNull() & (F.col("s_last_checked_ts").isNull() | (F.col("last_checked_ts") >= F.col("s_last_checked_ts")))
 
     def pick(c):
         return F.when(has_b, F.col(c)).otherwise(F.col("s_" + c)).alias(c)
@@ -131,8 +139,8 @@ def merge_status(state: DataFrame | None, batch: DataFrame) -> DataFrame:
               .otherwise(F.coalesce(F.col("s_consecutive_errors"), F.lit(0)) + F.col("consecutive_errors")))
     return j.select(
         *H.BOARD, pick("status"), pick("detail"), pick("is_error"), pick("last_checked_ts"),
-        F.coalesce(F.col("last_ok_ts"), F.col("s_last_ok_ts")).alias("last_ok_ts"),
-        F.coalesce(F.col("last_error_ts"), F.col("s_last_error_ts")).alias("last_error_ts"),
+        F.greatest("last_ok_ts", "s_last_ok_ts").alias("last_ok_ts"),
+        F.greatest("last_error_ts", "s_last_error_ts").alias("last_error_ts"),
         consec.cast("int").alias("consecutive_errors"),
     )
 
@@ -186,9 +194,10 @@ def first_alerts_stream(spark: SparkSession, observations: DataFrame, cuts: list
 # --- R3: classify only new/changed content ---------------------------------------------------------
 
 
-def classify_stream(spark: SparkSession, versions: DataFrame, cuts: list[int], root: str | None = None) -> DataFrame:
+def classify_stream(spark: SparkSession, versions: DataFrame, cuts: list[int], root: str | None = None,
+                    rules: R.Rules = R.DEFAULT_RULES) -> DataFrame:
     """Inside the same micro-batch as the upsert, classify each (job, content hash)
-    not classified before (J2 anti join against the classification table)."""
+    that this model has not classified (J2 anti join against the classification table)."""
     from jobsignal.operators import classify as C
 
     root = root or _scratch(spark, "classify")
@@ -197,18 +206,23 @@ def classify_stream(spark: SparkSession, versions: DataFrame, cuts: list[int], r
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         state = read_latest(spark, snaps, batch_id)
-        feed = S.change_feed(batch, state).where(F.col("changed") & (F.col("_v") == 1))
-        first = feed.groupBy(*S.KEY, "content_hash").agg(
-            F.min_by(F.struct(*S.ATTRS, F.col("observed_ts").alias("ts")), F.struct("observed_ts", "seq")).alias("_a"))
-        flat = first.select(*S.KEY, "content_hash", *[F.col(f"_a.{c}").alias(c) for c in S.ATTRS],
-                            F.col("_a.ts").alias("classified_ts"))
+        keys = S.KEY + ["content_hash"]
+        # every content of the batch and of the stored jobs, not only changed ones: what an
+        # earlier batch could not classify, or a new model has not seen, is tried again
+        rows = S.with_hash(batch).select(*keys, *S.ATTRS, F.col("observed_ts").alias("ts"), "seq")
+        if state is not None:
+            rows = rows.unionByName(state.select(*keys, *S.ATTRS, F.col("last_seen_ts").alias("ts"), F.lit(-1).cast("long").alias("seq")))
+        first = rows.groupBy(*keys).agg(F.min_by(F.struct(*S.ATTRS, "ts"), F.struct("ts", "seq")).alias("_a"))
+        flat = first.select(*keys, *[F.col(f"_a.{c}").alias(c) for c in S.ATTRS], F.col("_a.ts").alias("classified_ts"))
         done = versions_below(spark, cls, batch_id)
         if done:
-            cache = spark.read.parquet(*[f"{cls}/v={v}" for v in done]).select(*S.KEY, "content_hash")
-            flat = flat.join(cache, S.KEY + ["content_hash"], "left_anti")
+            cache = spark.read.parquet(*[f"{cls}/v={v}" for v in done]).where(F.col("model") == rules.model).select(*keys).distinct()
+            flat = flat.join(cache, keys, "left_anti")
         # raw save precedes classification (R10): the snapshot is written first
         S.upsert(batch, state).write.mode("overwrite").parquet(f"{snaps}/v={batch_id}")
-        S.to_classification_rows(C.classify(flat)).write.mode("overwrite").parquet(f"{cls}/v={batch_id}")
+        rows = S.to_classification_rows(C.classify(flat, rules), rules)
+        valid = P.valid_classification(*[F.col(c) for c in ("role_family", "role_type", "seniority", "location_fit", "reason", "relevance_score", "confidence")])
+        rows.where(valid).write.mode("overwrite").parquet(f"{cls}/v={batch_id}")
 
     _run(spark, versions.schema, landing, f"{root}/chk", apply)
     return spark.read.parquet(cls).drop("v")

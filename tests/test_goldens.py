@@ -222,9 +222,8 @@ def test_health_carries_across_buckets(spark):
         assert emitted == [0, 2, 3, 4, 5, 6, 7], bucket
 
 
-def test_skip_unchanged_same_fingerprint(spark):
-    """A 200 with the same fingerprint as the board's previous successful
-    response is skipped, also across day buckets and across failed polls."""
+def test_skip_unchanged_is_304_only(spark):
+    """A 200 is processed even with the fingerprint of the response before (a title may have changed)."""
     from jobsignal.operators import normalize as N
 
     a, b = '{"jobs":[{"id":1,"updated_at":"x"}]}', '{"jobs":[{"id":1,"updated_at":"y"}]}'
@@ -233,11 +232,11 @@ def test_skip_unchanged_same_fingerprint(spark):
                                "seq long, service string, source string, http_status int, error_kind string, error_message string, "
                                "etag string, last_modified string, fetched_ts long, body string")
     got = {r.seq: r.skip for r in N.skip_unchanged(df).collect()}
-    assert got == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True}
+    assert got == {1: False, 2: False, 3: False, 4: False, 5: False, 6: True}
 
 
 def test_throttle_distributed_equals_fold(spark):
-    """The distributed chain end equals the fold; upsert routes big versions to it."""
+    """W6 by blocks equals the plain fold, at every group size."""
     import random
 
     rnd = random.Random(11)
@@ -249,13 +248,29 @@ def test_throttle_distributed_equals_fold(spark):
             seq += 1
             rows.append((f"k{g}", seq, t))
     df = spark.createDataFrame(rows, "k string, seq long, ts long")
-    fold = df.groupBy("k").agg(S._throttle(F.array_sort(F.collect_list(F.struct("ts", "seq"))), 21600).alias("_last"))
-    assert sorted(map(tuple, fold.collect())) == sorted(map(tuple, S.throttle_chain_end(df, 21600, ["k"]).collect()))
-    v = spark.createDataFrame([(s_, "lever", k, "co", "t", "", "", "same", t, "{}") for k, s_, t in rows],
-                              "seq long, provider string, external_job_id string, company string, title string, location string, "
-                              "url string, description string, observed_ts long, raw_json string")
-    a, b = S.upsert(v), S.upsert(v, fold_max_rows=5)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    r = rnd
+    got = {x.k: x._last for x in S.throttle(df.withColumn("_v", F.lit(1)), 21600, ["k"], "ts").collect()}
+    want = {}
+    for k in {x[0] for x in rows}:
+        times = sorted(t for g, _, t in rows if g == k)
+        last = times[0]
+        for t in times:
+            last = t if t - last >= 21600 else last
+        want[k] = last
+    assert got == want
+    # out of order rows, a hot posting, and a stored row that is newer than part of the batch
+    schema = ("seq long, provider string, external_job_id string, company string, title string, location string, "
+              "url string, description string, observed_ts long, raw_json string")
+    hot = [(i, "lever", "hot", "co", "t", "", "", "same", r.randint(0, 3_000_000), "{}") for i in range(3000)]
+    late = [(9001, "lever", "p", "co", "t", "", "", "d", 90000, "{}"), (9002, "lever", "p", "co", "t", "", "", "d", 115000, "{}")]
+    state = S.upsert(spark.createDataFrame([(1, "lever", "p", "co", "t", "", "", "d", 100000, "{}")], schema))
+    out = {x.external_job_id: x for x in S.upsert(spark.createDataFrame(hot + late, schema), state).collect()}
+    assert out["p"].first_seen_ts == 100000 and out["p"].last_seen_ts == 100000
+    times = sorted(x[8] for x in hot)
+    last = times[0]
+    for t in times:
+        last = t if t - last >= 21600 else last
+    assert out["hot"].first_seen_ts == times[0] and out["hot"].last_seen_ts == last
 
 
 def test_level_gate_and_alert_path_switch(spark):
@@ -294,17 +309,64 @@ def test_change_feed_two_level_equals_single(spark):
 
     v = PS.versions(spark, "/root/testdata/sf0.001")
     cols = ["seq", "provider", "external_job_id", "is_new", "changed", "island"]
-    one = S.change_feed(v).select(*cols)
+    one = S.change_feed(v, bucket_seconds=None).select(*cols)
     for bucket in (86400, 86400 * 365):
         two = S.change_feed(v, bucket_seconds=bucket).select(*cols)
         assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0, bucket
     state = S.upsert(v.where("observed_ts < 883612800"))
     batch = v.where("observed_ts >= 883612800")
-    a = S.upsert(batch, state)
-    b = S.upsert(batch, state, bucket_seconds=86400 * 30)
+    a = S.upsert(batch, state, bucket_seconds=None)
+    b = S.upsert(batch, state)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     rows = [(1, 0, "h1"), (2, 100, "h1"), (3, 21600, "h1"), (4, 21700, "h2"), (5, 30000, "h1")]
     df = spark.createDataFrame([(s_, "greenhouse", "k", "co", "t", "", "", d, t, "{}") for s_, t, d in rows],
                                "seq long, provider string, external_job_id string, company string, title string, location string, url string, description string, observed_ts long, raw_json string")
     got = [(r.is_new, r.changed, r.island) for r in S.change_feed(df, bucket_seconds=50).orderBy("seq").collect()]
     assert got == [(True, True, 1), (False, False, 1), (False, False, 1), (False, True, 2), (False, True, 3)]
+
+
+def test_board_polled_three_times_matches_once(spark):
+    """A posting is a new match in the first response that holds it only."""
+    from jobsignal.operators import normalize as N
+
+    body = '{"jobs":[{"id":1,"title":"Software Engineer","location":{"name":"Austin, TX"}}]}'
+    df = spark.createDataFrame([(s, "greenhouse", "acme", 200, None, None, None, None, 10 * s, body) for s in (1, 2, 3)],
+                               "seq long, service string, source string, http_status int, error_kind string, error_message string, "
+                               "etag string, last_modified string, fetched_ts long, body string")
+    got = [(r.status, r.detail) for r in N.board_result(df).orderBy("seq").collect()]
+    assert got == [("new match", "jobs=1 new_matches=1"), ("ok", "jobs=1 new_matches=0"), ("ok", "jobs=1 new_matches=0")]
+
+
+def test_lever_without_id(spark):
+    """Without an id the URL is the board's; a line needs a title and a URL only."""
+    df = spark.createDataFrame([("lever", "acme", "Chef", "", None), ("lever", "acme", "Chef", None, "https://a/b"), ("lever", "acme", "Chef", "7", None)],
+                               "service string, source string, title string, id string, apply string")
+    cols = [F.col(c) for c in ("service", "source", "title", "id", "apply")]
+    got = [r[0] for r in df.select(A.alert_line(*cols)).collect()]
+    assert got == ["Chef | https://jobs.lever.co/acme", "Chef | https://a/b", "Chef | https://jobs.lever.co/acme/7"]
+
+
+def test_summary_json_parses(spark):
+    df = spark.createDataFrame([("s", 1, 'exception: a\nb "q" \\', 2, 5)], "service string, cycle_ts long, status string, n long, duration_ms long")
+    assert json.loads(H.cycle_rollup(df).collect()[0].summary_json) == {'exception: a\nb "q" \\': 2}
+
+
+def test_known_boards_errors_are_not_swallowed(spark, tmp_path):
+    import pytest
+
+    from jobsignal.operators import discover as D
+
+    (tmp_path / "known").write_text("no parquet")
+    with pytest.raises(Exception):
+        D.read_known_boards(spark, str(tmp_path / "known")).count()
+
+
+def test_late_poll_keeps_newer_status(spark):
+    """A poll older than the stored check does not overwrite it."""
+    from jobsignal.streaming import pipeline as SP
+
+    schema = "seq long, service string, source string, status string, detail string, checked_ts long"
+    state = H.source_status(spark.createDataFrame([(1, "lever", "acme", "ok", "", 1000)], schema))
+    late = spark.createDataFrame([(2, "lever", "acme", "timeout", "", 500)], schema)
+    r = SP.merge_status(state, late).collect()[0]
+    assert (r.status, r.last_checked_ts, r.last_ok_ts, r.last_error_ts) == ("ok", 1000, 1000, 500)

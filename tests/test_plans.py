@@ -6,12 +6,14 @@ from jobsignal.operators import classify as C
 from jobsignal.sources.testdata import spread, v_postings
 
 
-def test_spread_is_noop_with_enough_splits(spark):
-    par = spark.sparkContext.defaultParallelism
-    many = spark.range(1000).repartition(par * 2)
-    assert spread(many, "id") is many
+def test_spread_only_on_request(spark):
     few = spark.range(1000).coalesce(1)
-    assert spread(few, "id").rdd.getNumPartitions() == par
+    assert spread(few, "id") is few
+    spark.conf.set("spark.jobsignal.inputPartitions", "5")
+    try:
+        assert spread(few, "id").rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset("spark.jobsignal.inputPartitions")
 
 
 def test_relevance_filter_stays_above_classifier(spark):
