@@ -23,7 +23,7 @@ def lit_str(s: str) -> Column:
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()``: removes Unicode whitespace at both ends."""
-    return F.regexp_replace(c, f"^{R.WS}+|{R.WS}+$", "")
+    return F.btrim(c, F.lit(R.WS_CHARS))
 
 
 def clean(c: Column) -> Column:

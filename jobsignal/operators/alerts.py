@@ -61,10 +61,16 @@ def notified_union(notified: DataFrame, new_matches: DataFrame) -> DataFrame:
     return notified.select(*ID).unionByName(new_matches.select(*ID)).distinct()
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
-    """Rank inside each group; ``shown`` marks the first n (planned as a group limit)."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("shown", F.col("rank") <= n)
+def ranked_alerts(first: DataFrame) -> DataFrame:
+    """T11-T13 in one window: rank inside (board, cycle) by the provider's order, and whether a message shows it.
+
+    Greenhouse orders by numeric id, Lever by (updatedAt or 0, id), Ashby by response order."""
+    svc = F.col("service")
+    number = F.when(svc == "greenhouse", F.col("external_job_id").try_cast("long")).when(svc == "lever", F.coalesce("updated_ms", F.lit(0)))
+    text = F.when(svc == "lever", F.coalesce("external_job_id", F.lit("")))
+    w = Window.partitionBy("service", "source", "first_alert_ts").orderBy(number.asc_nulls_first(), text, "seq")
+    limit = F.when(svc == "ashby", R.ALERT_LIMIT_ASHBY).otherwise(R.ALERT_LIMIT_BOARD)
+    return first.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("shown", F.col("rank") <= limit)
 
 
 def top_n(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

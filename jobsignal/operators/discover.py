@@ -109,8 +109,10 @@ def board_list(lines: DataFrame, provider: str, limit: int = 0) -> DataFrame:
 
 
 def read_board_file(spark, path: str) -> DataFrame:
-    """S4 from text: one line per row with its position in the file."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+    """S4 from text: one line per row with its position in the file (a board list is one
+    small hand-kept file, so it is read as one value)."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.posexplode(F.split("value", "\r?\n", -1)).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def append_boards(new: DataFrame, path: str) -> None:

@@ -145,13 +145,21 @@ def upsert(versions: DataFrame, state: DataFrame | None = None, rules: R.Rules =
 
 def classify_versions(versions: DataFrame, rules: R.Rules = R.DEFAULT_RULES, ts: str = "observed_ts") -> DataFrame:
     """C9 for a whole history: each (key, content hash) is classified once, at its
-    first changed observation (later returns of the same content are cache hits)."""
-    feed = change_feed(versions, None, ts).where("changed")
-    first = feed.groupBy(*KEY, "content_hash").agg(
-        F.min_by(F.struct(*ATTRS, F.col(ts).alias("ts")), F.struct(F.col(ts), F.col("seq"))).alias("_a")
-    )
-    flat = first.select(*KEY, "content_hash", *[F.col(f"_a.{c}").alias(c) for c in ATTRS], F.col("_a.ts").alias("classified_ts"))
-    return to_classification_rows(C.classify(flat, rules), rules)
+    first observation (later returns of the same content are cache hits)."""
+    return to_classification_rows(C.classify(first_contents(versions, ts), rules), rules)
+
+
+def first_contents(versions: DataFrame, ts: str = "observed_ts") -> DataFrame:
+    """Each content of each posting as first observed: one aggregate, no ordering of the history."""
+    first = with_hash(versions).groupBy(*KEY, "content_hash").agg(
+        F.min_by(F.struct(*ATTRS, F.col(ts).alias("ts")), F.struct(F.col(ts), F.col("seq"))).alias("_a"))
+    return first.select(*KEY, "content_hash", *[F.col(f"_a.{c}").alias(c) for c in ATTRS], F.col("_a.ts").alias("classified_ts"))
+
+
+def classify_current(versions: DataFrame, jobs: DataFrame, rules: R.Rules = R.DEFAULT_RULES, ts: str = "observed_ts") -> DataFrame:
+    """J1 over C9: classifications of the jobs' current contents only; the join comes before the classifier."""
+    seen = first_contents(versions, ts).join(jobs.select(*KEY, "content_hash"), KEY + ["content_hash"], "left_semi")
+    return to_classification_rows(C.classify(seen, rules), rules)
 
 
 def to_classification_rows(classified: DataFrame, rules: R.Rules = R.DEFAULT_RULES) -> DataFrame:

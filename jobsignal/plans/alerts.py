@@ -152,11 +152,7 @@ _MSG_LINES_SQL = f"""SELECT service, source, first_alert_ts AS cycle_ts,
 
 
 def _message_lines(spark, sf):
-    fa = _first(spark, sf)
-    parts = []
-    for svc, n in (("ashby", R.ALERT_LIMIT_ASHBY), ("greenhouse", R.ALERT_LIMIT_BOARD), ("lever", R.ALERT_LIMIT_BOARD)):
-        parts.append(A.top_n(fa.where(F.col("service") == svc), ["service", "source", "first_alert_ts"], A.provider_order(svc), n))
-    top = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    top = A.ranked_alerts(_first(spark, sf)).where(F.col("rank") <= R.ALERT_LIMIT_ASHBY).where("shown")
     top = top.withColumn("line", A.alert_line(F.col("service"), F.col("source"), F.col("title"), F.col("external_job_id"), F.col("url")))
     g = top.groupBy("service", "source", F.col("first_alert_ts").alias("cycle_ts")).agg(
         F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("_l"))
@@ -199,6 +195,15 @@ def sink_alerts(spark, sf):
         "service", "source", "cycle_ts", (F.col("pos") + 1).cast("long").alias("chunk_no"), "text")
 
 
+@register("sink_alert_items", ids="S14 T11-T13",
+          sql=lambda: with_views(["v_versions"], f"""SELECT service, source, first_alert_ts AS cycle_ts, external_job_id, rank,
+              rank <= CASE service WHEN 'ashby' THEN {R.ALERT_LIMIT_ASHBY} ELSE {R.ALERT_LIMIT_BOARD} END AS shown
+              FROM (SELECT *, {_ORDER_SQL} AS rank FROM fa) x""", [(n, CTES[n]) for n in ("obs", "m", "fa")]))
+def sink_alert_items(spark, sf):
+    """Every alert is stored; the message limits only decide which are ``shown``."""
+    return A.ranked_alerts(_first(spark, sf)).select("service", "source", F.col("first_alert_ts").alias("cycle_ts"), "external_job_id", "rank", "shown")
+
+
 # --- classified (relevance) alert path ------------------------------------------------------
 
 TH = R.clamp_threshold(R.DEFAULT_MIN_RELEVANCE_SCORE)

@@ -127,7 +127,7 @@ def sink_snapshot_json(spark, sf):
     doc = section(services, "services", [F.col("service")]).select(
         "services",
         section(events, "recent_events", [(-F.col("seq")).alias("k")]).scalar().alias("recent_events"),
-        section(hist, "history_by_service", [F.col("service")]).scalar().alias("history_by_service"),
+        section(hist, "history_by_service", [F.col("service"), F.col("last_cycle_ts")]).scalar().alias("history_by_service"),
         intel.select(F.to_json(F.struct(*intel.columns))).scalar().alias("intelligence"))
     return doc.select(F.to_json(F.struct(*[F.col(c) for c in doc.columns])).alias("snapshot"))
 

@@ -124,14 +124,11 @@ def active_errors(spark, sf):
 
 
 @register("error_groups", ids="A14",
-          sql=lambda: hsql("SELECT service, row_number() OVER (PARTITION BY service ORDER BY last_error_ts DESC, source) AS position, "
-                           "source, status, consecutive_errors FROM st WHERE is_error = 1", "st"))
+          sql=lambda: hsql("SELECT service, last_error_ts, source, status, consecutive_errors FROM st WHERE is_error = 1", "st"))
 def error_groups(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("service").orderBy(F.desc("last_error_ts"), "source")
-    a = H.active_errors(_status(spark, sf))
-    return a.select("service", F.row_number().over(w).cast("long").alias("position"), "source", "status", "consecutive_errors")
+    """Active errors of each service, newest first: a global range sort, no service in one task."""
+    a = H.active_errors(_status(spark, sf)).select("service", "last_error_ts", "source", "status", "consecutive_errors")
+    return a.orderBy("service", F.desc("last_error_ts"), "source")
 
 
 @register("latest_sources", ids="T5",
@@ -258,11 +255,11 @@ def trend_axis_max(spark, sf):
     return t.groupBy("service").agg(F.greatest(F.lit(1), F.max(F.greatest("error_count", "ok_count"))).alias("axis_max"))
 
 
-@register("history_by_service", ids="A15")
+@register("history_by_service", ids="A15",
+          sql=lambda: hsql("SELECT service, last_cycle_ts, status, error_count, ok_count, cycle_duration_ms FROM win", "win"))
 def history_by_service(spark, sf):
-    w = H.history_window(_history(spark, sf))
-    return w.groupBy("service").agg(
-        F.sort_array(F.collect_list(F.struct("last_cycle_ts", "status", "error_count", "ok_count", "cycle_duration_ms"))).alias("points"))
+    w = H.history_window(_history(spark, sf)).select("service", "last_cycle_ts", "status", "error_count", "ok_count", "cycle_duration_ms")
+    return w.orderBy("service", "last_cycle_ts")
 
 
 @register("cycle_duration_seconds", ids="X16",
@@ -272,12 +269,12 @@ def cycle_duration_seconds(spark, sf):
 
 
 @register("board_error_details", ids="J10",
-          sql=lambda: hsql("""SELECT l.service, l.status, coalesce(e.n, 0) AS active_errors FROM latest l
-              LEFT JOIN (SELECT service, count(*) AS n FROM st WHERE is_error = 1 GROUP BY service) e USING (service)""", "latest", "st"))
+          sql=lambda: hsql("""SELECT l.service, l.status, e.source, e.status AS error_status, e.detail, e.consecutive_errors FROM latest l
+              LEFT JOIN (SELECT * FROM st WHERE is_error = 1) e USING (service)""", "latest", "st"))
 def board_error_details(spark, sf):
-    errs = H.active_errors(_status(spark, sf)).groupBy("service").agg(F.count(F.lit(1)).alias("n"))
-    latest = H.latest_cycle(_history(spark, sf))
-    return latest.join(errs, "service", "left").select("service", "status", F.coalesce(F.col("n"), F.lit(0)).alias("active_errors"))
+    """Each service's latest cycle with its active errors, one row per error."""
+    errs = H.active_errors(_status(spark, sf)).select("service", "source", F.col("status").alias("error_status"), "detail", "consecutive_errors")
+    return H.latest_cycle(_history(spark, sf)).select("service", "status").join(errs, "service", "left")
 
 
 # --- display helpers ---------------------------------------------------------------------

@@ -33,6 +33,11 @@ def _classifications(spark, sf):
     return S.classify_versions(versions(spark, sf))
 
 
+def _current(spark, sf):
+    """Classifications of current contents, for the reports that read nothing else."""
+    return S.classify_current(versions(spark, sf), _jobs(spark, sf))
+
+
 # --- SQL twins ----------------------------------------------------------------
 
 _H = (
@@ -208,7 +213,7 @@ def classification_upsert(spark, sf):
 @register("current_classifications", ids="J1",
           sql=lambda: sql_store("SELECT c.provider, c.external_job_id, c.content_hash, c.role_type, c.relevance_score FROM cls c JOIN jobs j USING (provider, external_job_id, content_hash)", True))
 def current_classifications(spark, sf):
-    cur = S.current_classifications(_classifications(spark, sf), _jobs(spark, sf))
+    cur = S.current_classifications(_current(spark, sf), _jobs(spark, sf))
     return cur.select("provider", "external_job_id", "content_hash", "role_type", "relevance_score")
 
 
@@ -232,25 +237,25 @@ def classified_jobs(spark, sf):
 @register("high_relevance_jobs", ids="A3 J1",
           sql=lambda: sql_store(f"SELECT count(*) AS high_relevance_jobs FROM ({_CUR}) x WHERE relevance_score >= {TH}", True))
 def high_relevance_jobs(spark, sf):
-    return REP.high_relevance_jobs(_classifications(spark, sf), _jobs(spark, sf), TH)
+    return REP.high_relevance_jobs(_current(spark, sf), _jobs(spark, sf), TH)
 
 
 @register("role_type_distribution", ids="A4",
           sql=lambda: sql_store(f"SELECT role_type, count(*) AS count FROM ({_CUR}) x GROUP BY role_type", True))
 def role_type_distribution(spark, sf):
-    return REP.distribution(_classifications(spark, sf), _jobs(spark, sf), "role_type")
+    return REP.distribution(_current(spark, sf), _jobs(spark, sf), "role_type")
 
 
 @register("seniority_distribution", ids="A5",
           sql=lambda: sql_store(f"SELECT seniority, count(*) AS count FROM ({_CUR}) x GROUP BY seniority", True))
 def seniority_distribution(spark, sf):
-    return REP.distribution(_classifications(spark, sf), _jobs(spark, sf), "seniority")
+    return REP.distribution(_current(spark, sf), _jobs(spark, sf), "seniority")
 
 
 @register("top_role_types", ids="T2",
           sql=lambda: sql_store(f"SELECT role_type, count(*) AS count FROM ({_CUR}) x GROUP BY role_type ORDER BY count DESC, role_type LIMIT {R.DISTRIBUTION_ROWS}", True))
 def top_role_types(spark, sf):
-    return REP.top_distribution(_classifications(spark, sf), _jobs(spark, sf), "role_type", R.DISTRIBUTION_ROWS)
+    return REP.top_distribution(_current(spark, sf), _jobs(spark, sf), "role_type", R.DISTRIBUTION_ROWS)
 
 
 @register("latest_high_relevance", ids="T1 J1",
@@ -258,7 +263,7 @@ def top_role_types(spark, sf):
               relevance_score, confidence, reason, classified_ts FROM ({_CUR}) x WHERE relevance_score >= {TH}
               ORDER BY classified_ts DESC, relevance_score DESC, provider, external_job_id LIMIT {R.LATEST_HIGH_RELEVANCE}""", True))
 def latest_high_relevance(spark, sf):
-    return REP.latest_high_relevance(_classifications(spark, sf), _jobs(spark, sf), TH, R.LATEST_HIGH_RELEVANCE)
+    return REP.latest_high_relevance(_current(spark, sf), _jobs(spark, sf), TH, R.LATEST_HIGH_RELEVANCE)
 
 
 @register("intelligence_snapshot", ids="A20 S15")

@@ -10,7 +10,7 @@ from jobsignal.plans import alerts as PA
 from jobsignal.plans import health as PH
 from jobsignal.plans import store as PS
 from jobsignal.plans.registry import QUERIES, register
-from jobsignal.sources.testdata import v_status_log
+from jobsignal.sources.testdata import v_status_log, with_views
 from jobsignal.streaming import pipeline as SP
 
 YEAR_CUTS = [820454400, 852076800, 883612800, 915148800, 946684800]   # 1996..2000-01-01
@@ -33,7 +33,9 @@ def stream_job_upsert(spark, sf):
     return jobs
 
 
-@register("late_rows", ids="R9")
+@register("late_rows", ids="R9", sql=lambda: with_views(["v_versions"], f"""SELECT seq + 1000000000000 AS seq, provider, external_job_id, observed_ts
+    FROM v_versions v WHERE observed_ts < {YEAR_CUTS[0]} AND EXISTS (SELECT 1 FROM v_versions n WHERE n.provider = v.provider
+    AND n.external_job_id = v.external_job_id AND n.observed_ts >= 852076800)"""))
 def late_rows(spark, sf):
     v = PS.versions(spark, sf)
     _, late = SP.job_upsert_stream(spark, v, YEAR_CUTS, late=_late_copies(v))

@@ -199,6 +199,8 @@ WS_BODY = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 WS = f"[{WS_BODY}]"
+#: The same white space as a list of characters.
+WS_CHARS = "".join(map(chr, [9, 10, 11, 12, 13, *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]"
 NOT_WORD_NOT_WS = rf"[^\p{{L}}\p{{N}}_{WS_BODY}]"
