@@ -8,7 +8,8 @@ others go, after their bytes have been compared with the first's.
 
 Chunk hashes are counted with partial sums, repeated ones are joined back (a join
 that Spark can split where one hash holds many rows), and only texts of repeated
-chunks are compared.
+chunks are compared.  The two joins to whole documents are always sort-merge
+joins: what they join has no bound, and so the plan is alike at every size.
 
 Defined cases: null text stays null, empty text stays empty; chunks of one line
 or of white space only stay; a document that loses every chunk keeps an empty
@@ -68,7 +69,7 @@ def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
     later = tables.save(chunks.join(first, "hash").withColumn("is_first", place == F.col("first")).select("_ld_kid", "_ld_h", "i", "hash", "is_first").distinct())
     wanted = later.groupBy("_ld_kid", "_ld_h").agg(F.collect_list(F.struct("i", "hash", "is_first")).alias("want"))
-    found = (chunked(texts.join(wanted, ["_ld_kid", "_ld_h"]).dropDuplicates(["_ld_kid", "_ld_h"])).select("_ld_kid", "_ld_h", "_ld_chunks", F.inline("want"))
+    found = (chunked(texts.join(wanted.hint("merge"), ["_ld_kid", "_ld_h"]).dropDuplicates(["_ld_kid", "_ld_h"])).select("_ld_kid", "_ld_h", "_ld_chunks", F.inline("want"))
              .select("_ld_kid", "_ld_h", "i", "hash", "is_first", F.col("_ld_chunks")[F.col("i")]["txt"].alias("txt")))
     found = tables.save(found)
     kept = found.where("is_first").select("hash", F.col("txt").alias("kept"))
@@ -81,7 +82,7 @@ def repeated(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` with repeated chunks removed from ``text``; ``counts`` adds n_chunks and n_removed."""
     gone = repeated(spark, docs)
-    out = chunked(_keys(docs).join(gone.withColumnRenamed("gone", "_ld_gone"), ["_ld_kid", "_ld_h"], "left")
+    out = chunked(_keys(docs).join(gone.withColumnRenamed("gone", "_ld_gone").hint("merge"), ["_ld_kid", "_ld_h"], "left")
                   .withColumn("_ld_gone", F.coalesce("_ld_gone", F.array().cast("array<int>"))))
     left = F.array_except(F.sequence(F.lit(0), F.size("_ld_chunks") - 1), F.col("_ld_gone"))
     text = F.when(F.size("_ld_gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.col("_ld_chunks")[i]["txt"]), "\n"))
