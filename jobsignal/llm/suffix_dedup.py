@@ -138,11 +138,16 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (anchor, digest, place): repeats, and first occurrences of anchors with several digests.
 
+    Rows already known as repeats pass through.
     Keeps one row between batches, however many rows an anchor has.
     """
     held = None  # the last first occurrence, not yet known to share its anchor
     before = last = (None,) * 5
     for batch in batches:
+        known = batch.column(6)
+        if pc.any(known).as_py():
+            yield batch.filter(known)
+            batch = batch.filter(pc.invert(known))
         if not batch.num_rows:
             continue
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
@@ -269,10 +274,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(spark: SparkSession, tables: Tables, docs: DataFrame) -> DataFrame:
     """(kid, h, a, e): spans of bytes to remove; they overlap, and together cover exactly what goes."""
     texts = docs.select("kid", "h", "text")
-    found = tables.save(texts.mapInArrow(_find, SEGMENT))
-    race = found.where("not dup").drop("dup").repartition("anchor").sortWithinPartitions("anchor", "digest", "kid", "h", "a")
+    # one shuffle and no table of all segments: known repeats only pass through, dealt evenly by their place
+    deal = F.when(F.col("dup"), F.xxhash64("kid", "h", "a")).otherwise(F.col("anchor"))
+    race = texts.mapInArrow(_find, SEGMENT).repartition(deal).sortWithinPartitions("dup", "anchor", "digest", "kid", "h", "a")
     firsts = tables.save(race.mapInArrow(_first, SEGMENT))
-    whole = found.where("dup").select("kid", "h", "a", "e").union(firsts.where("dup").select("kid", "h", "a", "e"))
+    whole = firsts.where("dup").select("kid", "h", "a", "e")
     wanted = firsts.where("not dup").groupBy("kid", "h").agg(F.collect_list(F.struct("a", "e")).alias("wanted"))
     cut = texts.join(wanted, ["kid", "h"]).mapInArrow(_cut, "key long, kid long, h long, a int, bytes binary").distinct()
     inner = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, SPAN)
