@@ -39,7 +39,9 @@ from jobsignal.llm.suffix import argsort, suffix_array
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks whose ids a worker remembers; beyond that it forgets all of them.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+#: Bytes of text that are encoded at once.
+BLOCK = 2 << 20
 #: Chunks up to this length are relaxed together, longer ones each by a heap.
 TOGETHER = 48
 NONE = np.iinfo(np.int32).max
@@ -353,7 +355,7 @@ def encode(docs: DataFrame, model: str = MODEL, kind: str = "bpe", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = get()
         for batch in batches:
-            for part in blocks(batch, text):
+            for part in blocks(batch, text, BLOCK):
                 texts = part.column(part.schema.get_field_index(text))
                 ids, n = enc.encode(texts)
                 offsets = pa.array(np.append(0, np.cumsum(n)), pa.int32(), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False))
