@@ -5,8 +5,12 @@ node draws a random direction, takes the median of the projections of a bounded
 sample of its members, and sends members left or right; those within ``SPILL`` of
 the median (as a share of the sample) go both ways.  Nodes are split in rounds,
 ``LEVELS`` levels at a time, while any holds more than ``LEAF`` members; samples
-are fitted, and members routed, by Spark tasks.  Inside a leaf all members are
-compared exactly in double precision, and the links of all trees are united.
+are fitted, and members routed, by Spark tasks.  A node in whose sample at least
+``DENSE`` of the pairs are linked (a large group of near copies, which every split
+would part) is not split: its members are dealt into blocks of about ``LEAF``, and
+all pairs of blocks are compared, each by its own task, so the work stays in
+proportion to the links.  Inside a leaf all members are compared exactly in double
+precision, and the links of all trees are united.
 Links are never wrong; some can be missed where every tree parts a pair.
 
 Defined cases: null, empty, zero vectors and vectors with null or non-finite
@@ -36,6 +40,9 @@ SAMPLE = 2000
 #: Levels fitted in one round (a node's subtree is 2 ** LEVELS - 1 pairs of bounds).
 LEVELS = 4
 SPILL = 0.06
+#: Share of linked pairs from which a node is compared whole, and members of its sample that the share is taken from.
+DENSE = 0.1
+PAIRED = 500
 
 
 def _matrix(raw: list[bytes], dim: int) -> np.ndarray:
@@ -48,44 +55,58 @@ def _direction(tree: int, leaf: int, node: int, dim: int) -> np.ndarray:
     return np.random.default_rng([tree, leaf % (1 << 62), node]).normal(size=dim)
 
 
-def fit_subtree(x: np.ndarray, tree: int, leaf: int, total: int) -> np.ndarray:
-    """Bounds (low, high) of each node, in heap order; nodes of few members don't split (low above high)."""
-    bounds = np.tile([np.inf, -np.inf], ((1 << LEVELS) - 1, 1))
+def linked_share(x: np.ndarray, threshold: float) -> float:
+    """Share of the pairs of some members of a sample whose cosine reaches the threshold."""
+    some = x[:: -(-len(x) // PAIRED)]
+    return ((some @ some.T >= threshold).sum() - len(some)) / (len(some) * (len(some) - 1))
+
+
+def fit_subtree(x: np.ndarray, tree: int, leaf: int, total: int, threshold: float, most: int) -> np.ndarray:
+    """(low, high, blocks) of each node, in heap order.
+
+    Nodes of at most about ``most`` members don't split (low above high); dense ones
+    don't either, and ``blocks`` is the number of blocks their members are dealt into.
+    """
+    bounds = np.tile([np.inf, -np.inf, 0], ((1 << LEVELS) - 1, 1))
     inside = {0: np.arange(len(x))}
     for node in range(len(bounds)):
         rows = inside.pop(node, np.zeros(0, np.int64))
-        if len(rows) < 8 or len(rows) * total <= LEAF * len(x):
+        if len(rows) < 8 or len(rows) * total <= most * len(x):
+            continue
+        if linked_share(x[rows], threshold) >= DENSE:
+            bounds[node, 2] = -(-len(rows) * total // (most * len(x)))
             continue
         at = x[rows] @ _direction(tree, leaf, node, x.shape[1])
         low, high = np.quantile(at, [0.5 - SPILL, 0.5 + SPILL])
-        bounds[node] = low, high
+        bounds[node, :2] = low, high
         inside[2 * node + 1], inside[2 * node + 2] = rows[at <= high], rows[at >= low]
     return bounds
 
 
-def route(x: np.ndarray, tree: int, leaf: int, bounds: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """(rows, new leaf) for each leaf of the subtree."""
+def route(x: np.ndarray, tree: int, leaf: int, bounds: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    """(rows, new leaf, blocks) for each leaf of the subtree; blocks is 0 unless the leaf is dense."""
     out, open_ = [], [(0, np.arange(len(x)))]
     while open_:
         node, rows = open_.pop()
-        low, high = bounds[node] if node < len(bounds) else (np.inf, -np.inf)
+        low, high, blocks = bounds[node] if node < len(bounds) else (np.inf, -np.inf, 0)
         if low > high:
-            out.append((rows, leaf * (2 << LEVELS) + node + 1))
+            out.append((rows, leaf * (2 << LEVELS) + node + 1, int(blocks)))
             continue
         at = x[rows] @ _direction(tree, leaf, node, x.shape[1])
         open_ += [(2 * node + 1, rows[at <= high]), (2 * node + 2, rows[at >= low])]
-    return [(r, n) for r, n in out if len(r)]
+    return [o for o in out if len(o[0])]
 
 
-def forest(tables: Tables, vectors: DataFrame) -> DataFrame:
-    """(tree, dim, leaf, node, raw) rows, in which no leaf holds many more than ``LEAF`` members."""
-    schema = "tree int, dim int, leaf long, node long, raw binary"
-    open_ = vectors.select(F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree"), "dim", F.lit(1).cast("long").alias("leaf"), "node", "raw")
+def forest(tables: Tables, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(tree, dim, leaf, node, raw, blocks) rows, in which only dense leaves (blocks above 0) hold more than ``LEAF`` members."""
+    schema = "tree int, dim int, leaf long, node long, raw binary, blocks int"
+    most = LEAF
+    open_ = vectors.select(F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree"), "dim", F.lit(1).cast("long").alias("leaf"), "node", "raw", F.lit(0).alias("blocks"))
     done: list[DataFrame] = []
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree, dim, leaf = (int(k) for k in key)
-        bounds = fit_subtree(_matrix(pdf.raw.tolist(), dim), tree, leaf, int(pdf.n.iloc[0]))
+        bounds = fit_subtree(_matrix(pdf.raw.tolist(), dim), tree, leaf, int(pdf.n.iloc[0]), threshold, most)
         return pd.DataFrame({"tree": [tree], "dim": [dim], "leaf": [leaf], "bounds": [bounds.tobytes()]})
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,15 +114,16 @@ def forest(tables: Tables, vectors: DataFrame) -> DataFrame:
             pdf = batch.to_pandas()
             for (tree, dim, leaf), g in pdf.groupby(["tree", "dim", "leaf"], sort=False):
                 raw, node = g.raw.to_numpy(), g.node.to_numpy()
-                bounds = np.frombuffer(g.bounds.iloc[0], np.float64).reshape(-1, 2)
-                for rows, new in route(_matrix(raw.tolist(), dim), tree, leaf, bounds):
+                bounds = np.frombuffer(g.bounds.iloc[0], np.float64).reshape(-1, 3)
+                for rows, new, blocks in route(_matrix(raw.tolist(), dim), tree, leaf, bounds):
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tree), pa.int32()), pa.array(np.full(n, dim), pa.int32()), pa.array(np.full(n, new), pa.int64()),
-                                                      pa.array(node[rows], pa.int64()), pa.array(raw[rows].tolist(), pa.binary())], names=["tree", "dim", "leaf", "node", "raw"])
+                                                      pa.array(node[rows], pa.int64()), pa.array(raw[rows].tolist(), pa.binary()), pa.array(np.full(n, blocks), pa.int32())],
+                                                     names=["tree", "dim", "leaf", "node", "raw", "blocks"])
 
     key = ["tree", "dim", "leaf"]
     while True:
-        large = open_.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF)
+        large = open_.where("blocks = 0").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF)
         if not large.limit(1).count():
             break
         done.append(open_.join(large, key, "left_anti"))
@@ -115,22 +137,32 @@ def forest(tables: Tables, vectors: DataFrame) -> DataFrame:
 
 
 def links(leaves: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of leaf members whose cosine reaches the threshold."""
+    """Distinct pairs (a, b), a < b, of leaf members whose cosine reaches the threshold.
+
+    A dense leaf is compared per pair of its blocks (p <= q): every member goes to all pairs that hold its block.
+    """
+    at = F.pmod(F.xxhash64("node", "leaf"), F.greatest("blocks", F.lit(1))).cast("int")
+    pairs = leaves.withColumn("own", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1)))
+    pairs = pairs.select("tree", "dim", "leaf", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "raw")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf.node.to_numpy()
         x = _matrix(pdf.raw.tolist(), int(pdf.dim.iloc[0]))
-        left, right = [], []
-        for i in range(0, len(x), 512):
-            near = x[i:i + 512] @ x[i:].T
-            r, c = np.nonzero(near >= threshold)
-            keep = c > r
-            left.append(node[i + r[keep]])
-            right.append(node[i + c[keep]])
+        p, q = int(pdf.p.iloc[0]), int(pdf.q.iloc[0])
+        first = np.flatnonzero(pdf.own.to_numpy() == p)
+        second = first if p == q else np.flatnonzero(pdf.own.to_numpy() == q)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(first), 512):
+            start = i if p == q else 0
+            r, c = np.nonzero(x[first[i:i + 512]] @ x[second[start:]].T >= threshold)
+            if p == q:
+                r, c = r[c > r], c[c > r]
+            left.append(node[first[i + r]])
+            right.append(node[second[start + c]])
         a, b = np.concatenate(left), np.concatenate(right)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return leaves.groupBy("tree", "dim", "leaf").applyInPandas(compare, "a long, b long").distinct()
+    return pairs.groupBy("tree", "dim", "leaf", "p", "q").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, table: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -152,7 +184,7 @@ def near_duplicates(spark: SparkSession, table: DataFrame, threshold: float = 0.
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off), pa.int32()), pa.array(raw, pa.binary())], names=["node", "dim", "raw"])
 
     vectors = tables.save(classes.select(F.col("name").alias("node"), "v").mapInArrow(pack, "node long, dim int, raw binary"))
-    found = tables.save(links(forest(tables, vectors), threshold))
+    found = tables.save(links(forest(tables, vectors, threshold), threshold))
     size = classes.groupBy("name").agg(F.sum("copies").alias("copies"))
     ends = found.select("a", "b").union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = ends.join(size.withColumnRenamed("name", "b"), "b").groupBy(F.col("a").alias("name")).agg(F.sum("copies").alias("others"))

@@ -53,6 +53,22 @@ def test_against_brute_force(spark, monkeypatch, leaf, least):
     assert all(got[i][0] <= want[i][0] for i in want)
 
 
+def test_hot_group_of_several_leaves(spark, monkeypatch):
+    monkeypatch.setattr(E, "LEAF", 50)
+    r = np.random.default_rng(5)
+    hot = r.normal(size=64)
+    rows = [(i, (hot + r.normal(size=64) * 0.23).tolist()) for i in range(500)]
+    rows += [(500 + i, r.normal(size=64).tolist()) for i in range(300)]
+    one = r.normal(size=64)
+    rows += [(800 + i, (one * (i + 1)).tolist()) for i in range(120)]  # no split parts vectors of one direction
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {x.vec_id: x.n_links for x in E.near_duplicates(spark, table).collect()}
+    want = {i: w[0] for i, w in brute(rows).items()}
+    assert all(got[i] == want[i] for i in range(800, 920))
+    assert all(got[i] <= want[i] for i in want) and min(want[i] for i in range(500)) > 100
+    assert sum(got[i] for i in range(500)) >= 0.97 * sum(want[i] for i in range(500))
+
+
 def test_defined_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, []),
