@@ -16,6 +16,10 @@ have equal anchors at equal places.
    anchor, which makes two narrow keys per segment.  Per key the segments' bytes
    are joined, and in their suffix array, cut at ``LENGTH`` bytes, the previous and
    the next smaller position in suffix order say whether a string stands earlier.
+3. Anchors whose different segments hold more than ``BLOCK`` bytes go another way,
+   so that no task collects them: each of their strings becomes a narrow row of
+   anchor, digest and place, and those behind the least place of their (anchor,
+   digest), a partial aggregate, are repeats.
 
 Defined cases: null text -> no bytes; texts shorter than ``LENGTH`` lose nothing;
 strings never cross documents; rows with the same doc_id and text are one
@@ -271,18 +275,56 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "kid", "h", "a", "bytes"])
 
 
-def repeated_spans(spark: SparkSession, tables: Tables, docs: DataFrame) -> DataFrame:
-    """(kid, h, a, e): spans of bytes to remove; they overlap, and together cover exactly what goes."""
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchor, digest and place of each string of the wanted segments of each document."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    for batch in batches:
+        for part in blocks(batch, "text", BLOCK):
+            for text, kid, h, wanted in zip(*(_column(part, c).to_pylist() for c in ("text", "kid", "h", "wanted"))):
+                raw = np.frombuffer(text, np.uint8)
+                a, e = (np.array([w[k] for w in wanted], np.int64) for k in ("a", "e"))
+                _, first, _, anchor, hashes = segments(raw, np.array([len(raw)]))
+                n = e - a - LENGTH + 1
+                at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                mark = np.repeat(anchor[np.searchsorted(first, a)], n)
+                cols = (hashes.spans(mark, mark + GRAM).view(np.int64), hashes.spans(at, at + LENGTH).view(np.int64), np.full(len(at), kid), np.full(len(at), h), at)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["anchor", "digest", "kid", "h", "a"])
+
+
+def candidates(tables: Tables, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Spans that go whole, keyed bytes to compare (at most ``BLOCK`` per key), and strings of anchors with more than that."""
     texts = docs.select("kid", "h", "text")
     # one shuffle and no table of all segments: known repeats only pass through, dealt evenly by their place
     deal = F.when(F.col("dup"), F.xxhash64("kid", "h", "a")).otherwise(F.col("anchor"))
     race = texts.mapInArrow(_find, SEGMENT).repartition(deal).sortWithinPartitions("dup", "anchor", "digest", "kid", "h", "a")
     firsts = tables.save(race.mapInArrow(_first, SEGMENT))
     whole = firsts.where("dup").select("kid", "h", "a", "e")
-    wanted = firsts.where("not dup").groupBy("kid", "h").agg(F.collect_list(F.struct("a", "e")).alias("wanted"))
-    cut = texts.join(wanted, ["kid", "h"]).mapInArrow(_cut, "key long, kid long, h long, a int, bytes binary").distinct()
-    inner = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, SPAN)
-    return whole.union(inner)
+    mixed = firsts.where("not dup")
+    # the segments of a key have one anchor, so a key holds no more bytes than its anchor
+    large = tables.save(mixed.groupBy("anchor").agg(F.sum(F.col("e") - F.col("a")).alias("n")).where(F.col("n") > BLOCK).select("anchor"))
+    some = large.limit(1).count() > 0
+
+    def wanted(segments: DataFrame) -> DataFrame:
+        return texts.join(segments.groupBy("kid", "h").agg(F.collect_list(F.struct("a", "e")).alias("wanted")), ["kid", "h"])
+
+    small = mixed.join(large, "anchor", "left_anti") if some else mixed
+    cut = wanted(small).mapInArrow(_cut, "key long, kid long, h long, a int, bytes binary").distinct()
+    if not some:
+        return whole, cut, None
+    return whole, cut, wanted(mixed.join(large, "anchor", "left_semi")).mapInArrow(_strings, "anchor long, digest long, kid long, h long, a int")
+
+
+def repeated_spans(spark: SparkSession, tables: Tables, docs: DataFrame) -> DataFrame:
+    """(kid, h, a, e): spans of bytes to remove; they overlap, and together cover exactly what goes."""
+    whole, cut, strings = candidates(tables, docs)
+    out = whole.union(cut.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, SPAN))
+    if strings is None:
+        return out
+    strings, place = tables.save(strings), F.struct("kid", "h", "a")
+    first = (strings.groupBy("anchor", "digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+             .where("first <> last").select("anchor", "digest", "first"))
+    later = strings.join(first, ["anchor", "digest"]).where(place != F.col("first"))
+    return out.union(later.select("kid", "h", "a", (F.col("a") + LENGTH).alias("e")))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, text: bool = False) -> DataFrame:

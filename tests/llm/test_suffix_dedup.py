@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from jobsignal.llm import suffix_dedup as S
 from jobsignal.llm.suffix import suffix_array
@@ -60,6 +61,21 @@ def test_equals_brute_force(spark, monkeypatch, seed, block):
     assert sum(w[2] for w in want) > 3000
 
 
+def test_no_key_holds_more_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4000)
+    r = random.Random(3)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    short, long_ = noise(80), noise(180)
+    rows = [(i, noise(150) + (short if i % 2 else long_) + noise(150)) for i in range(200)]
+    rows += [(200 + i, rows[i][1][40:300]) for i in range(0, 60, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, cut, strings = S.candidates(S.Tables(spark, "test"), S._keyed(docs))
+    sizes = [x.n for x in cut.groupBy("key").agg(F.sum(F.length("bytes")).alias("n")).collect()]
+    assert max(sizes, default=0) <= 4000 and strings.count() > 2000
+    got = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in S.dedup(spark, docs).collect()]
+    assert sorted(got, key=repr) == brute([(i, t.encode()) for i, t in rows])
+
+
 def test_earlier_by_hand():
     r = np.random.default_rng(0)
     for _ in range(20):
