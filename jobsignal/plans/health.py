@@ -188,7 +188,7 @@ def threshold_band(spark, sf):
 # --- cycles ---------------------------------------------------------------------------------
 
 
-@register("cycle_rollup", ids="A9 S12 R7 X19", sql=lambda: hsql("SELECT * FROM hist", "hist"))
+@register("cycle_rollup", ids="A9 S12 X19", sql=lambda: hsql("SELECT * FROM hist", "hist"))
 def cycle_rollup(spark, sf):
     return _history(spark, sf)
 

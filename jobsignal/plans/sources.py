@@ -63,12 +63,12 @@ def _norm(spark, sf):
     return N.normalize(_postings(spark, sf)).drop("raw")
 
 
-@register("raw_responses", ids="R1 S1-S3 (landed table)")
+@register("raw_responses", ids="S1-S3 (landed table)")
 def raw_responses(spark, sf):
     return _landed(spark, sf)
 
 
-@register("poll_status", ids="P13 R12",
+@register("poll_status", ids="P13",
           sql=lambda: psql(f"SELECT seq, provider AS service, company AS source, {STATUS} AS status FROM resp", okp=False))
 def poll_status(spark, sf):
     return N.poll_status(_landed(spark, sf)).select("seq", "service", "source", "status")

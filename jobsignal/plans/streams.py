@@ -26,7 +26,7 @@ def _late_copies(v):
     return old.withColumn("seq", F.col("seq") + F.lit(10 ** 12))
 
 
-@register("stream_job_upsert", ids="R2 R1 R9 W4-W6", sql=lambda: QUERIES["job_upsert"].oracle())
+@register("stream_job_upsert", ids="R2 R9 W4-W6", sql=lambda: QUERIES["job_upsert"].oracle())
 def stream_job_upsert(spark, sf):
     v = PS.versions(spark, sf)
     jobs, _ = SP.job_upsert_stream(spark, v, YEAR_CUTS, late=_late_copies(v))
@@ -62,7 +62,7 @@ def stream_first_alerts(spark, sf):
 
 
 def _series(spark, sf):
-    """Per service and 15-second tumbling window, polls and error ratio."""
+    """Per service and 15-second tumbling window, polls and error ratio (of the polls in it, not of the last state of all boards, as R8 and A17 want)."""
     log = PH.H.with_error_flag(v_status_log(spark, sf)).withColumn("ts", F.timestamp_seconds("checked_ts"))
     g = log.groupBy("service", F.window("ts", f"{SERIES_STEP} seconds").alias("w")).agg(
         F.count(F.lit(1)).alias("polls"), F.sum("is_error").cast("long").alias("errors"))
@@ -74,12 +74,12 @@ _SERIES_SQL = (f"SELECT service, checked_ts - checked_ts % {SERIES_STEP} AS wind
                f"CAST(sum(is_error) AS BIGINT) AS errors, CAST(sum(is_error) AS DOUBLE) / count(*) AS error_ratio FROM f GROUP BY ALL")
 
 
-@register("metric_series", ids="R8", sql=lambda: PH.hsql(_SERIES_SQL, "f"))
+@register("metric_series", ids="polls per window", sql=lambda: PH.hsql(_SERIES_SQL, "f"))
 def metric_series(spark, sf):
     return _series(spark, sf)
 
 
-@register("series_last_and_max", ids="A17 R8",
+@register("series_last_and_max", ids="polls per window",
           sql=lambda: PH.hsql(f"""SELECT service, arg_max(error_ratio, window_start) FILTER (WHERE error_ratio IS NOT NULL) AS last_value,
               max(error_ratio) AS max_value FROM ({_SERIES_SQL}) s
               WHERE window_start >= (SELECT max(checked_ts) FROM v_status_log) - {LOOKBACK} GROUP BY service""", "f"))
