@@ -10,8 +10,8 @@ weight, the others of clean documents.
 
 The labelled sample is bounded (``TAUGHT``); every document is scored whole.
 
-Defined cases: null or empty text -> the share of toxic rows among those taught,
-as no passage speaks; no labelled rows of one class -> that share for all;
+Defined cases: texts without words -> 0, as no passage speaks; no labelled rows of
+one class -> 0 for all, as nothing tells toxic texts from others;
 repeated rows -> equal scores; rows without an id are scored, held_out false.
 """
 
@@ -111,16 +111,15 @@ class Means:
 
 @dataclass
 class Model:
-    """Margin (toxic minus not) of each bucket, the bias, and the share of toxic rows."""
+    """Margin (toxic minus not) of each bucket, and the bias."""
 
     margin: np.ndarray
     bias: float
-    share: float
     trained: bool = True
 
     def score(self, texts: pa.Array) -> np.ndarray:
         words, at, count = split_words(texts)
-        out = np.full(len(count), self.share)
+        out = np.zeros(len(count))
         if not self.trained or not len(at):
             return out
         index, size = grams(words)
@@ -135,9 +134,8 @@ class Model:
 
 def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
     y = np.array([r[1] for r in rows], np.int64)
-    share = float(y.mean()) if len(y) else 0.0
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(BUCKETS), 0.0, share, False)
+        return Model(np.zeros(BUCKETS), 0.0, False)
     words, at, count = split_words(pa.array([r[0] for r in rows]))
     first, n, text = passages(count)
     doc = np.repeat(np.arange(len(count)), count)
@@ -171,7 +169,7 @@ def train(rows: list[tuple[str, int]], seed: int = 7) -> Model:
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             value -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-7)
-    return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]), share)
+    return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:

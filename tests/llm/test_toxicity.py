@@ -69,6 +69,15 @@ def test_whole_query(spark):
     assert len({r.score for r in got if r.doc_id == 0}) == 1
 
 
+def test_nothing_to_judge_by_rejects_nothing():
+    rows = [(t, y) for _, t, y in texts(300, 1)]
+    empty = pa.array([None, "", " \n", "river paper bridge"])
+    few_clean = X.train([r for r in rows if r[1]] + [r for r in rows if not r[1]][:40])
+    assert few_clean.score(empty)[:3].tolist() == [0.0, 0.0, 0.0]
+    assert X.train([r for r in rows if r[1]]).score(empty).tolist() == [0.0] * 4
+    assert X.train([r for r in rows if not r[1]]).score(empty).tolist() == [0.0] * 4
+
+
 def test_no_labels_and_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
