@@ -71,3 +71,71 @@ degree AS (SELECT a AS vec_id, count(*) AS n FROM both_ways GROUP BY a)
 SELECT v.vec_id, coalesce(degree.n, 0) AS n_links, smallest.component AS component_id, v.vec_id = smallest.component AS kept
 FROM v JOIN smallest ON smallest.id = v.vec_id LEFT JOIN degree ON degree.vec_id = v.vec_id
 """
+
+FILTER_AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+known AS (SELECT doc_id, coalesce(max(CAST(quality = 1 AS INTEGER)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INTEGER)), 0) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+least_id AS (SELECT text, min(doc_id) AS m FROM d GROUP BY text),
+f AS (
+  SELECT d.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 3 * length(d.text) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN d.doc_id > least_id.m THEN 16 ELSE 0 END) AS mask
+  FROM d JOIN least_id ON least_id.text = d.text LEFT JOIN known ON known.doc_id = d.doc_id),
+cell AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+letter(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+chain AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE (a.b | b.b | c.b | d.b | e.b) = 31),
+step AS (
+  SELECT o, k, (SELECT b FROM letter WHERE l = o[k]) AS this, (SELECT coalesce(sum(b), 0)::INTEGER FROM letter WHERE position(l IN o) < k) AS before
+  FROM chain, range(1, 6) t(k)),
+counted AS (
+  SELECT part, o, k, this,
+    coalesce(sum(n) FILTER (mask & (before | this) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (mask & before = 0 AND mask & this <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & before <> 0 AND mask & this <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (mask = this), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & before = 0 AND mask & this <> 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & this <> 0), 0) AS toxic_lost
+  FROM cell, step GROUP BY part, o, k, this)
+SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, this))::BIGINT AS shapley
+FROM counted
+"""
+
+
+def _round(k: int) -> str:
+    """Assignment to the centroids c{k-1} and their successors c{k}."""
+    return f"""
+a{k} AS (
+  SELECT r, min_by(no, (d, no)) AS no FROM (
+    SELECT v.r, c.no, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{k - 1} c)
+  GROUP BY r),
+m{k} AS (
+  SELECT no, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS v FROM (
+    SELECT no, i, sum(x) AS s, count(*) AS n FROM (SELECT a.no, unnest(v.v) AS x, unnest(range(len(v.v))) AS i FROM v JOIN a{k} a ON a.r = v.r) GROUP BY no, i)
+  GROUP BY no),
+c{k} AS (SELECT c.no, coalesce(m.v, c.v) AS v FROM c{k - 1} c LEFT JOIN m{k} m ON m.no = c.no)"""
+
+
+CENTROIDS = f"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS no, v FROM (
+    SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM v ORDER BY h, v LIMIT 16)),
+{_round(1)},
+{_round(2)},
+{_round(3)},
+last AS (
+  SELECT r, min_by(no, (d, no)) AS no, min(d) AS d FROM (
+    SELECT v.r, c.no, list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c3 c)
+  GROUP BY r)
+SELECT v.vec_id, CAST(last.no AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY last.no) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM last JOIN v ON v.r = last.r JOIN c3 ON c3.no = last.no
+"""

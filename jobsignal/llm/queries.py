@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsignal.llm import decontaminate, embedding_dedup, line_dedup, ngram_join, oracles, packing, quality, quotes, sentencepiece_codec, suffix_dedup, toxicity
+from jobsignal.llm import centroids, decontaminate, embedding_dedup, filter_audit, line_dedup, log_bilinear, ngram_join, oracles, packing, quality, quotes, sentencepiece_codec, suffix_dedup, toxicity
 from jobsignal.llm.common import read_table, workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,21 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply-ordered messages without quotes, linked to what they quote."""
     return quotes.conversations(spark, read_table(spark, sf_dir, "conversations"))
+
+
+@query("op11_lm_scoring")
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document by unigram counts and by the log-bilinear model."""
+    return log_bilinear.score(spark, read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_filter_audit", oracles.FILTER_AUDIT)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removals of five filters in all 120 orders."""
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op13_centroid_clustering", oracles.CENTROIDS)
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of the embeddings after three rounds."""
+    return centroids.cluster(spark, read_table(spark, sf_dir, "embeddings"))
