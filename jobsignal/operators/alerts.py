@@ -120,6 +120,24 @@ def chunk_lines(lines: Column, max_len: int = R.MESSAGE_MAX_LEN) -> Column:
                        lambda acc: F.when(acc["cur"] != "", F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"]))
 
 
+def message_lines(first: DataFrame) -> DataFrame:
+    """The lines of each board's message of a cycle: header, then the alerts that are shown."""
+    top = ranked_alerts(first).where(F.col("rank") <= R.ALERT_LIMIT_ASHBY).where("shown")
+    top = top.withColumn("line", alert_line(F.col("service"), F.col("source"), F.col("title"), F.col("external_job_id"), F.col("url")))
+    g = top.groupBy("service", "source", F.col("first_alert_ts").alias("cycle_ts")).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("_l"))
+    body = F.filter(F.transform(F.col("_l"), lambda e: e["line"]), lambda x: x.isNotNull())
+    return g.select("service", "source", "cycle_ts",
+                    F.concat(F.array(alert_header(F.col("service"), F.col("source"))), body).alias("lines"))
+
+
+def chunks(messages: DataFrame) -> DataFrame:
+    """One row per chunk of each message."""
+    m = messages.select("service", "source", "cycle_ts", chunk_lines(F.col("lines")).alias("chunks"))
+    return m.select("service", "source", "cycle_ts", F.posexplode("chunks").alias("pos", "text")).select(
+        "service", "source", "cycle_ts", (F.col("pos") + 1).cast("long").alias("chunk_no"), "text")
+
+
 def classified_entry_lines(score: Column, company: Column, source: Column, title: Column, role_type: Column,
                            seniority: Column, fit: Column, location: Column, reason: Column, url: Column) -> Column:
     """The 3-4 lines of one classified job, with the display defaults."""

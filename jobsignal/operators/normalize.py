@@ -17,6 +17,7 @@ from jobsignal.sources import landed as L
 
 ASHBY_GQL_ENDPOINT = "https://jobs.ashbyhq.com/api/non-user-graphql?op=ApiJobBoardWithTeams"
 INVALID_BODY = "invalid JSON body"
+TASK_LOST = "task_exception:"
 
 
 def _s(c: Column) -> Column:
@@ -71,7 +72,7 @@ def lever_location_texts(p: Column) -> Column:
 
 
 def normalize(postings: DataFrame) -> DataFrame:
-    """One 8-column job shape for all providers (plus seq/pos lineage)."""
+    """One 8-column job shape for all providers (plus seq/pos/fetched_ts lineage)."""
     p, svc, co = F.col("p"), F.col("service"), F.col("source")
     job_id = _s(L.vstr(p, "$.id"))
     ashby_url = F.when(job_id != "", F.concat(F.lit(f"https://{R.HOSTS['ashby']}/"), co, F.lit("/"), job_id)).otherwise(
@@ -94,7 +95,7 @@ def normalize(postings: DataFrame) -> DataFrame:
         return F.when(svc == "ashby", a).when(svc == "greenhouse", g).otherwise(lv)
 
     return postings.select(
-        "seq", "pos", svc.alias("provider"), co.alias("company"), job_id.alias("external_job_id"),
+        "seq", "pos", "fetched_ts", svc.alias("provider"), co.alias("company"), job_id.alias("external_job_id"),
         by(_s(L.vstr(p, "$.title")), _s(L.vstr(p, "$.title")), _s(L.vstr(p, "$.text"))).alias("title"),
         by(_s(L.vstr(p, "$.locationName")), greenhouse_location(p), lever_location(p)).alias("location"),
         by(ashby_url, gh_url, lever_url).alias("url"),
@@ -133,21 +134,32 @@ def poll_status(resp: DataFrame) -> DataFrame:
              .when(code != 200, F.concat(F.lit("error HTTP "), code.cast("string")))
              .when(F.col("v").isNull(), F.concat(F.lit("exception: "), msg))
              .otherwise(F.lit("ok")))
+    lost = F.when(kind == "task", F.concat(F.lit(TASK_LOST), msg))
     return r.select("seq", "service", "source", "fetched_ts", "http_status",
-                    F.when(svc == "ashby", ashby).otherwise(board).alias("status"),
+                    F.coalesce(lost, F.when(svc == "ashby", ashby).otherwise(board)).alias("status"),
                     F.when(F.col("v").isNotNull(), fingerprint(svc, F.col("v"))).alias("fingerprint"), "etag", "last_modified")
 
 
-def board_state(resp: DataFrame) -> DataFrame:
-    """Per board, the last successful response sets etag/last_modified/fingerprint
-    (null included); any outcome moves last_seen_ts."""
-    s = poll_status(resp)
+def board_parts(resp: DataFrame) -> DataFrame:
+    """J6 of these responses alone: ``_s`` is the poll state of the last successful one (null without one).
+
+    A lost task (R12) has saved nothing, so it moves nothing."""
+    s = poll_status(resp).where(~F.col("status").startswith(TASK_LOST))
     ok = F.col("status") == "ok"
-    g = s.groupBy("service", "source").agg(
+    return s.groupBy("service", "source").agg(
         F.max_by(F.struct("etag", "last_modified", "fingerprint"), F.when(ok, F.col("seq"))).alias("_s"),
         F.max("fetched_ts").alias("last_seen_ts"))
-    return g.select("service", "source", F.col("_s.etag").alias("etag"), F.col("_s.last_modified").alias("last_modified"),
-                    F.col("_s.fingerprint").alias("fingerprint"), "last_seen_ts")
+
+
+def board_columns(parts: DataFrame) -> DataFrame:
+    return parts.select("service", "source", F.col("_s.etag").alias("etag"), F.col("_s.last_modified").alias("last_modified"),
+                        F.col("_s.fingerprint").alias("fingerprint"), "last_seen_ts")
+
+
+def board_state(resp: DataFrame) -> DataFrame:
+    """Per board, the last successful response sets etag/last_modified/fingerprint
+    (null included); any outcome moves last_seen_ts."""
+    return board_columns(board_parts(resp))
 
 
 def skip_unchanged(resp: DataFrame) -> DataFrame:
@@ -166,7 +178,12 @@ def board_result(resp: DataFrame) -> DataFrame:
     counts = posts.groupBy("seq").agg(F.count(F.lit(1)).alias("postings"))
     first = posting_matches(posts).groupBy("service", "source", "external_job_id").agg(F.min("seq").alias("seq"))
     new = first.groupBy("seq").agg(F.count(F.lit(1)).alias("new_matches"))
-    j = poll_status(resp).join(counts, "seq", "left").join(new, "seq", "left")
+    return outcomes(poll_status(resp), counts, new)
+
+
+def outcomes(status: DataFrame, counts: DataFrame, new: DataFrame) -> DataFrame:
+    """A19 from each response's status, its number of postings and of new matches."""
+    j = status.join(counts, "seq", "left").join(new, "seq", "left")
     n, nm, ok = F.coalesce("postings", F.lit(0)), F.coalesce("new_matches", F.lit(0)), F.col("status") == "ok"
     word = F.when(F.col("service") == "ashby", F.lit("postings=")).otherwise(F.lit("jobs="))
     return j.select("seq", "service", "source", "fetched_ts", F.when(ok & (nm > 0), F.lit("new match")).otherwise(F.col("status")).alias("status"),
@@ -196,7 +213,8 @@ def posting_matches(postings: DataFrame) -> DataFrame:
     title = F.when(svc == "lever", L.vstr(p, "$.text")).otherwise(L.vstr(p, "$.title"))
     texts = F.when(svc == "greenhouse", greenhouse_location_texts(p)).otherwise(lever_location_texts(p))
     us = F.when(svc == "ashby", P.is_us_location(_s(L.vstr(p, "$.locationName")))).otherwise(P.any_us_location(texts))
-    x = postings.select("seq", "pos", "service", "source", ids.alias("external_job_id"), _s(title).alias("title"), us.alias("is_us"))
+    x = postings.select("seq", "pos", "service", "source", "fetched_ts", ids.alias("external_job_id"), _s(title).alias("title"), us.alias("is_us"),
+                        _s(L.vstr(p, "$.applyUrl")).alias("apply_url"), F.try_variant_get(p, "$.updatedAt", "long").alias("updated_ms"))
     w = Window.partitionBy("seq", "external_job_id").orderBy(F.desc("pos"))
     x = x.withColumn("_rn", F.row_number().over(w))
     keep = (svc == "ashby") | ((F.col("_rn") == 1) & P.nonempty_id(F.col("external_job_id")))

@@ -152,13 +152,7 @@ _MSG_LINES_SQL = f"""SELECT service, source, first_alert_ts AS cycle_ts,
 
 
 def _message_lines(spark, sf):
-    top = A.ranked_alerts(_first(spark, sf)).where(F.col("rank") <= R.ALERT_LIMIT_ASHBY).where("shown")
-    top = top.withColumn("line", A.alert_line(F.col("service"), F.col("source"), F.col("title"), F.col("external_job_id"), F.col("url")))
-    g = top.groupBy("service", "source", F.col("first_alert_ts").alias("cycle_ts")).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("_l"))
-    body = F.filter(F.transform(F.col("_l"), lambda e: e["line"]), lambda x: x.isNotNull())
-    return g.select("service", "source", "cycle_ts",
-                    F.concat(F.array(A.alert_header(F.col("service"), F.col("source"))), body).alias("lines"))
+    return A.message_lines(_first(spark, sf))
 
 
 @register("alert_lines", ids="P16 T11-T13",
@@ -190,9 +184,7 @@ def message_chunks(spark, sf):
               FROM (SELECT service, source, cycle_ts, {_chunk_sql('lines')} AS chunks FROM ({_MSG_LINES_SQL}) y) x""",
                                  [(n, CTES[n]) for n in ("obs", "m", "fa")]))
 def sink_alerts(spark, sf):
-    m = _message_lines(spark, sf).select("service", "source", "cycle_ts", A.chunk_lines(F.col("lines")).alias("chunks"))
-    return m.select("service", "source", "cycle_ts", F.posexplode("chunks").alias("pos", "text")).select(
-        "service", "source", "cycle_ts", (F.col("pos") + 1).cast("long").alias("chunk_no"), "text")
+    return A.chunks(_message_lines(spark, sf))
 
 
 @register("sink_alert_items", ids="S14 T11-T13",

@@ -60,7 +60,7 @@ def _postings(spark, sf):
 
 
 def _norm(spark, sf):
-    return N.normalize(_postings(spark, sf)).drop("raw")
+    return N.normalize(_postings(spark, sf)).drop("raw", "fetched_ts")
 
 
 @register("raw_responses", ids="S1-S3 (landed table)")

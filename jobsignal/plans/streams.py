@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from jobsignal.plans import alerts as PA
 from jobsignal.plans import health as PH
+from jobsignal.plans import sources as PR
 from jobsignal.plans import store as PS
 from jobsignal.plans.registry import QUERIES, register
+from jobsignal.sources import landed as L
 from jobsignal.sources.testdata import v_status_log, with_views
+from jobsignal.streaming import ingest as I
 from jobsignal.streaming import pipeline as SP
 
 YEAR_CUTS = [820454400, 852076800, 883612800, 915148800, 946684800]   # 1996..2000-01-01
@@ -51,7 +54,7 @@ def stream_source_status(spark, sf):
 @register("stream_source_events", ids="R6 W2", sql=lambda: QUERIES["source_change_events"].oracle())
 def stream_source_events(spark, sf):
     _, events = SP.health_stream(spark, v_status_log(spark, sf), WEEK_CUTS)
-    return events.drop("v")
+    return events
 
 
 @register("stream_first_alerts", ids="R4 W12",
@@ -61,6 +64,50 @@ def stream_first_alerts(spark, sf):
     return out.select("service", "source", "external_job_id", "first_alert_ts", "seq", "title")
 
 
+# --- R1: landed responses to alerts -------------------------------------------------------
+
+FIRST_SQL = (f"SELECT provider AS service, company AS source, {PR.EXT_ID} AS external_job_id, seq * {I.PER_RESPONSE} + pos AS seq, ts AS first_alert_ts, "
+             "title, location, CASE WHEN provider = 'lever' AND doc_id % 4 <> 0 THEN url ELSE '' END AS url, doc_id * 1000 AS updated_ms FROM ("
+             f"SELECT *, row_number() OVER (PARTITION BY provider, company, doc_id ORDER BY seq) AS _first FROM okp WHERE {PR._MATCH_SQL}) x WHERE _first = 1")
+
+
+def _ingest(spark, sf):
+    """All landed responses in three micro-batches."""
+    landed = L.landed_responses(spark, sf)
+    end = landed.agg(F.max("fetched_ts")).first()[0] or L.FETCH_BASE_TS
+    return SP.ingest_stream(spark, landed, [L.FETCH_BASE_TS + (end - L.FETCH_BASE_TS) * k // 3 for k in (1, 2)])
+
+
+def _okp_sql(body: str, *more) -> str:
+    return with_views(["v_postings"], body, [("pp", PR.PP), ("resp", PR.RESP), ("okp", PR.OKP), *more])
+
+
+@register("stream_ingest", ids="R1 S14 W12 W13", sql=lambda: _okp_sql(f"""SELECT service, source, cycle_ts, generate_subscripts(chunks, 1) AS chunk_no, unnest(chunks) AS text
+    FROM (SELECT service, source, cycle_ts, {PA._chunk_sql('lines')} AS chunks FROM ({PA._MSG_LINES_SQL}) y) x""", ("fa", FIRST_SQL)))
+def stream_ingest(spark, sf):
+    """Alert messages of the whole stream."""
+    return _ingest(spark, sf).read("alerts")
+
+
+@register("stream_ingest_jobs", ids="R1 R2 R3", sql=lambda: _okp_sql(f"""SELECT n.provider, n.company, n.external_job_id, n.title, n.location, n.url,
+    {PR.X.sql.content_hash('n.company', 'n.title', 'n.location', 'n.url', 'n.description')} AS content_hash, r.ts AS first_seen_ts, r.ts AS last_seen_ts, true AS classified
+    FROM (SELECT *, row_number() OVER (PARTITION BY provider, external_job_id ORDER BY seq) AS _first FROM ({PR._norm_sql()}) q) n
+    JOIN (SELECT DISTINCT seq, ts FROM resp) r ON r.seq = n.seq WHERE _first = 1"""))
+def stream_ingest_jobs(spark, sf):
+    """The job table after the whole stream, and whether each current content is classified."""
+    state = _ingest(spark, sf)
+    done = state.read("classifications").select("provider", "external_job_id", "content_hash", F.lit(True).alias("classified"))
+    jobs = state.read("jobs").select("provider", "company", "external_job_id", "title", "location", "url", "content_hash", "first_seen_ts", "last_seen_ts")
+    return jobs.join(done, ["provider", "external_job_id", "content_hash"], "left").withColumn("classified", F.coalesce("classified", F.lit(False)))
+
+
+@register("stream_ingest_outcomes", ids="R1 A19 P13",
+          sql=lambda: PR.psql(f"SELECT seq, service, source, ts AS fetched_ts, status, postings, new_matches, detail FROM ({PR.BOARD_RESULT_SQL}) b"))
+def stream_ingest_outcomes(spark, sf):
+    """The outcome log after the whole stream."""
+    return _ingest(spark, sf).read("outcomes")
+
+
 def _series(spark, sf):
     """Per service and 15-second tumbling window, polls and error ratio (of the polls in it, not of the last state of all boards, as R8 and A17 want)."""
     log = PH.H.with_error_flag(v_status_log(spark, sf)).withColumn("ts", F.timestamp_seconds("checked_ts"))

@@ -1,11 +1,11 @@
-"""Structured Streaming drivers (R1-R7, R9): micro-batches over landed files.
-
-Each stateful stream keeps its state as a *versioned table* in the shared
-state folder (``spark.checkpoint.dir``): micro-batch ``b`` reads the newest
-version below ``b``, applies the batch with the same DataFrame operators as
-the batch path, and overwrites version ``b``.  A replayed batch therefore
-rewrites the same version from the same inputs (exactly-once effect), the
-written table cuts lineage, and an executor loss only re-runs tasks.
+"""Structured Streaming drivers (R2-R7, R9): micro-batches over landed files.
+
+Each stateful stream keeps its state in hashed buckets in the shared state
+folder (``spark.checkpoint.dir``, :mod:`jobsignal.streaming.state`): micro-batch
+``b`` reads the buckets its keys touch, applies the batch with the same DataFrame
+operators as the batch path, writes version ``b`` of these buckets and commits them
+by a manifest.  A replayed batch is a no-op or overwrites its unfinished writes, the
+written tables cut lineage, and an executor loss only re-runs tasks.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobsignal import rules as R
-from jobsignal.functions import predicates as P
 from jobsignal.operators import alerts as A
 from jobsignal.operators import health as H
 from jobsignal.operators import store as S
 from jobsignal.session import state_root
+from jobsignal.streaming import ingest as I
+from jobsignal.streaming.state import State
 
 
 def _fs(spark: SparkSession, path: str):
@@ -27,26 +28,6 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def versions_below(spark: SparkSession, root: str, below: int | None = None) -> list[int]:
-    """Committed versions (directories ``v=<n>`` holding ``_SUCCESS``) under ``root``."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            n = int(name[2:])
-            if below is None or n < below:
-                out.append(n)
-    return sorted(out)
-
-
-def read_latest(spark: SparkSession, root: str, below: int | None = None) -> DataFrame | None:
-    vs = versions_below(spark, root, below)
-    return spark.read.parquet(f"{root}/v={vs[-1]}") if vs else None
-
-
 def land_slices(df: DataFrame, landing: str, ts: str, cuts: list[int]) -> None:
     """Write ``df`` as time-ordered slices, one folder each, with as many files as tasks.
 
@@ -92,30 +73,30 @@ def job_upsert_stream(spark: SparkSession, versions: DataFrame, cuts: list[int],
     Rows older than the key's recorded ``last_seen_ts`` are late: they are kept
     in the ``late`` table and do not change the job."""
     root = root or _scratch(spark, "jobs")
-    landing, snaps, late_dir = f"{root}/landing", f"{root}/jobs", f"{root}/late"
+    landing = f"{root}/landing"
     land_slices(versions, landing, "observed_ts", cuts)
     if late is not None:
         late.write.mode("overwrite").parquet(f"{landing}/slice=9999")
 
+    state = State(spark, root, {"jobs": S.KEY})
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        state = read_latest(spark, snaps, batch_id)
-        if state is not None:
-            seen = state.select(*S.KEY, F.col("last_seen_ts").alias("_seen"))
-            tagged = batch.join(seen, S.KEY, "left")
-            is_late = F.col("observed_ts") < F.coalesce(F.col("_seen"), F.lit(-(2 ** 62)))
-            tagged.where(is_late).drop("_seen").write.mode("overwrite").parquet(f"{late_dir}/v={batch_id}")
-            batch = tagged.where(~is_late).drop("_seen")
-        S.upsert(batch, state).write.mode("overwrite").parquet(f"{snaps}/v={batch_id}")
+        if b := state.begin(batch_id):
+            I.upsert_jobs(b, batch)
+            b.commit()
 
     _run(spark, versions.schema, landing, f"{root}/chk", apply)
-    jobs = read_latest(spark, snaps)
-    late_rows = spark.read.parquet(late_dir) if versions_below(spark, late_dir) or _exists(spark, late_dir) else None
-    return jobs, late_rows
+    return state.read("jobs"), state.read("late")
+
 
+# --- R1: landed responses to alerts ---------------------------------------------------------
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
+
+def ingest_stream(spark: SparkSession, responses: DataFrame, cuts: list[int], root: str | None = None, **how) -> State:
+    """Land the responses as slices cut at ``cuts`` and take them in (:mod:`jobsignal.streaming.ingest`)."""
+    root = root or _scratch(spark, "ingest")
+    land_slices(responses, f"{root}/landing", "fetched_ts", cuts)
+    return I.ingest(spark, responses.schema, f"{root}/landing", root, _run, **how)
 
 
 # --- R5/R6: board health ------------------------------------------------------------------
@@ -158,37 +139,39 @@ def events_with_state(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 def health_stream(spark: SparkSession, log: DataFrame, cuts: list[int], root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Status table and change-event log maintained over micro-batches; returns both."""
     root = root or _scratch(spark, "health")
-    landing, snaps, events = f"{root}/landing", f"{root}/status", f"{root}/events"
+    landing = f"{root}/landing"
     land_slices(log, landing, "checked_ts", cuts)
+    state = State(spark, root, {"status": H.BOARD})
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        state = read_latest(spark, snaps, batch_id)
-        events_with_state(state, batch).write.mode("overwrite").parquet(f"{events}/v={batch_id}")
-        merge_status(state, batch).write.mode("overwrite").parquet(f"{snaps}/v={batch_id}")
+        if b := state.begin(batch_id):
+            touched = b.touched("status", batch)
+            before = b.read("status", touched)
+            b.append("events", events_with_state(before, batch))
+            b.write("status", merge_status(before, batch), touched)
+            b.commit()
 
     _run(spark, log.schema, landing, f"{root}/chk", apply)
-    return read_latest(spark, snaps), spark.read.parquet(events)
+    return state.read("status"), state.read("events")
 
 
 # --- R4: alert once ----------------------------------------------------------------------------
 
 
 def first_alerts_stream(spark: SparkSession, observations: DataFrame, cuts: list[int], root: str | None = None) -> DataFrame:
-    """Notified set appended per micro-batch (first matching observation per id)."""
+    """Notified set kept per micro-batch (first matching observation per id)."""
     root = root or _scratch(spark, "alerts")
-    landing, notified = f"{root}/landing", f"{root}/notified"
+    landing = f"{root}/landing"
     land_slices(observations, landing, "observed_ts", cuts)
+    state = State(spark, root, {"notified": A.ID})
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        firsts = A.first_alerts(A.deterministic_matches(batch))
-        done = [v for v in versions_below(spark, notified, batch_id)]
-        if done:
-            seen = spark.read.parquet(*[f"{notified}/v={v}" for v in done]).select(*A.ID)
-            firsts = firsts.join(seen, A.ID, "left_anti")
-        firsts.write.mode("overwrite").parquet(f"{notified}/v={batch_id}")
+        if b := state.begin(batch_id):
+            I.alert_once(b, A.deterministic_matches(batch))
+            b.commit()
 
     _run(spark, observations.schema, landing, f"{root}/chk", apply)
-    return spark.read.parquet(notified).drop("v")
+    return state.read("notified")
 
 
 # --- R3: classify only new/changed content ---------------------------------------------------------
@@ -197,32 +180,19 @@ def first_alerts_stream(spark: SparkSession, observations: DataFrame, cuts: list
 def classify_stream(spark: SparkSession, versions: DataFrame, cuts: list[int], root: str | None = None,
                     rules: R.Rules = R.DEFAULT_RULES) -> DataFrame:
     """Inside the same micro-batch as the upsert, classify each (job, content hash)
-    that this model has not classified (J2 anti join against the classification table)."""
-    from jobsignal.operators import classify as C
-
+    that this model has not classified (J2 anti join against the touched buckets of the classifications)."""
     root = root or _scratch(spark, "classify")
-    landing, snaps, cls = f"{root}/landing", f"{root}/jobs", f"{root}/classifications"
+    landing = f"{root}/landing"
     land_slices(versions, landing, "observed_ts", cuts)
+    state = State(spark, root, {"jobs": S.KEY, "classifications": S.KEY})
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        state = read_latest(spark, snaps, batch_id)
-        keys = S.KEY + ["content_hash"]
-        # every content of the batch and of the stored jobs, not only changed ones: what an
-        # earlier batch could not classify, or a new model has not seen, is tried again
-        rows = S.with_hash(batch).select(*keys, *S.ATTRS, F.col("observed_ts").alias("ts"), "seq")
-        if state is not None:
-            rows = rows.unionByName(state.select(*keys, *S.ATTRS, F.col("last_seen_ts").alias("ts"), F.lit(-1).cast("long").alias("seq")))
-        first = rows.groupBy(*keys).agg(F.min_by(F.struct(*S.ATTRS, "ts"), F.struct("ts", "seq")).alias("_a"))
-        flat = first.select(*keys, *[F.col(f"_a.{c}").alias(c) for c in S.ATTRS], F.col("_a.ts").alias("classified_ts"))
-        done = versions_below(spark, cls, batch_id)
-        if done:
-            cache = spark.read.parquet(*[f"{cls}/v={v}" for v in done]).where(F.col("model") == rules.model).select(*keys).distinct()
-            flat = flat.join(cache, keys, "left_anti")
-        # raw save precedes classification (R10): the snapshot is written first
-        S.upsert(batch, state).write.mode("overwrite").parquet(f"{snaps}/v={batch_id}")
-        rows = S.to_classification_rows(C.classify(flat, rules), rules)
-        valid = P.valid_classification(*[F.col(c) for c in ("role_family", "role_type", "seniority", "location_fit", "reason", "relevance_score", "confidence")])
-        rows.where(valid).write.mode("overwrite").parquet(f"{cls}/v={batch_id}")
+        if b := state.begin(batch_id):
+            # raw save precedes classification
+            touched = b.touched("jobs", batch)
+            b.write("jobs", S.upsert(batch, b.read("jobs", touched)), touched)
+            I.classify_new(b, batch, touched, rules)
+            b.commit()
 
     _run(spark, versions.schema, landing, f"{root}/chk", apply)
-    return spark.read.parquet(cls).drop("v")
+    return state.read("classifications")
