@@ -1,8 +1,8 @@
 """Board discovery.
 
-Search pages are tiny per (platform, query) — at most 91 pages of 10 links —
-so the per-platform windows of the yield rule are bounded; everything else is
-per-row projection, ``distinct`` or an anti join on ``(platform, base)``.
+Search pages are few per (run, platform, query) — at most 91 pages of 10 links —
+so the windows of the yield rule are bounded, and harvest runs are dealt over tasks;
+everything else is per-row projection, ``distinct`` or an anti join on ``(platform, base)``.
 """
 
 from __future__ import annotations
@@ -24,46 +24,50 @@ def with_slug(hits: DataFrame) -> DataFrame:
 
 def search_yield(hits: DataFrame, n_queries: int, existing: DataFrame | None = None,
                  max_start: int = R.SEARCH_MAX_START, streak: int = R.SEARCH_EMPTY_STREAK) -> DataFrame:
-    """Pages that the harvesting loop would read, per platform and query, with the
+    """Pages that the harvesting loop would read, per run, platform and query, with the
     number of new boards each page yields and the running total.
 
     Per query: pages run from start 0 in steps of 10 and stop at the first missing
     (empty) page, after ``start > max_start``, or after ``streak`` pages in a row
-    without a new board.  The seen-set is per platform and carries across queries;
-    pages that are never read contribute nothing.
+    without a new board.  The seen-set is per run and platform, starts with ``existing``
+    and carries across queries; pages that are never read contribute nothing.  All runs
+    step through a query together, so the plan grows with the queries of a run and not
+    with the runs.  Hits without a ``run`` column are one run.
     """
+    by = ["run", "platform"] if "run" in hits.columns else ["platform"]
     hb = with_slug(hits).where(F.col("start") <= max_start)
-    seen = existing.select("platform", "base") if existing is not None else None
     # Pages read before the first missing (empty) page, for every query at once.
-    pw = Window.partitionBy("platform", "query_idx").orderBy("start")
-    cand_all = (hb.select("platform", "query_idx", "start").distinct()
+    pw = Window.partitionBy(*by, "query_idx").orderBy("start")
+    cand_all = (hb.select(*by, "query_idx", "start").distinct()
                 .withColumn("_rn", F.row_number().over(pw)).where(F.col("start") == (F.col("_rn") - 1) * 10))
-    links_all = hb.where(F.col("base").isNotNull()).join(cand_all.select("platform", "query_idx", "start"),
-                                                         ["platform", "query_idx", "start"], "left_semi")
+    links_all = hb.where(F.col("base").isNotNull()).join(cand_all.select(*by, "query_idx", "start"), [*by, "query_idx", "start"], "left_semi")
+    if existing is not None:
+        links_all = links_all.join(existing.select("platform", "base"), ["platform", "base"], "left_anti")
+    seen = None
     accepted_parts = []
     for q in range(n_queries):
-        cand = cand_all.where(F.col("query_idx") == q).select("platform", "start", "_rn")
+        cand = cand_all.where(F.col("query_idx") == q).select(*by, "start", "_rn")
         links = links_all.where(F.col("query_idx") == q)
         if seen is not None:
-            links = links.join(seen, ["platform", "base"], "left_anti")
-        firsts = links.groupBy("platform", "base").agg(F.min("start").alias("start"))
-        per_page = cand.join(firsts.groupBy("platform", "start").agg(F.count(F.lit(1)).alias("new_boards")),
-                             ["platform", "start"], "left").fillna(0, ["new_boards"])
+            links = links.join(seen, [*by, "base"], "left_anti")
+        firsts = links.groupBy(*by, "base").agg(F.min("start").alias("start"))
+        per_page = cand.join(firsts.groupBy(*by, "start").agg(F.count(F.lit(1)).alias("new_boards")),
+                             [*by, "start"], "left").fillna(0, ["new_boards"])
         # streak of pages without a new board = pages since the last productive one
-        w = Window.partitionBy("platform").orderBy("start")
+        w = Window.partitionBy(*by).orderBy("start")
         last_hit = F.last(F.when(F.col("new_boards") > 0, F.col("_rn")), ignorenulls=True).over(
             w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         per_page = per_page.withColumn("_streak", F.col("_rn") - F.coalesce(last_hit, F.lit(0)))
-        stop = F.min(F.when(F.col("_streak") >= streak, F.col("start"))).over(Window.partitionBy("platform"))
+        stop = F.min(F.when(F.col("_streak") >= streak, F.col("start"))).over(Window.partitionBy(*by))
         acc = per_page.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("start") <= F.col("_stop")))
-        acc = acc.select("platform", F.lit(q).alias("query_idx"), "start", F.col("new_boards").cast("long").alias("new_boards"))
+        acc = acc.select(*by, F.lit(q).alias("query_idx"), "start", F.col("new_boards").cast("long").alias("new_boards"))
         accepted_parts.append(acc)
-        new_bases = firsts.join(acc.select("platform", "start"), ["platform", "start"], "left_semi").select("platform", "base")
+        new_bases = firsts.join(acc.select(*by, "start"), [*by, "start"], "left_semi").select(*by, "base")
         seen = new_bases if seen is None else seen.unionByName(new_bases)
     out = accepted_parts[0]
     for p in accepted_parts[1:]:
         out = out.unionByName(p)
-    tw = Window.partitionBy("platform").orderBy("query_idx", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tw = Window.partitionBy(*by).orderBy("query_idx", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = out.withColumn("discovered_total", F.sum("new_boards").over(tw))
     if existing is None:
         return out

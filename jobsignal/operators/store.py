@@ -1,17 +1,23 @@
 """Change-aware job store.
 
-Observations of one posting are dealt into time buckets: the change feed (W4)
-orders rows inside (posting, bucket) and carries one summary row per bucket, and
-the throttle (W6) keeps the distinct seconds of one throttle interval per row and
-folds one such row per interval.  The same path serves groups of every size.
+The change feed (W4) deals observations of one posting into time buckets, orders rows
+inside (posting, bucket) and carries one summary row per bucket.  The snapshot (W5)
+is aggregates per (posting, content, second) and one fetch of a wide row per posting;
+the throttle (W6) streams a posting's distinct seconds in order and carries one
+number.  The same path serves groups of every size.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobsignal import rules as R
 from jobsignal.functions import predicates as P
@@ -102,32 +108,106 @@ def _change_feed_bucketed(h: DataFrame, ts: str, bucket_seconds: int) -> DataFra
     return h.drop("_b", "_prev_in", "_before", "_prev", "_local", "_carry")
 
 
+def recorded(times: DataFrame, group: list[str], interval: int) -> DataFrame:
+    """W6 over rows (group, ``_t``, ``_start``): the value recorded last, one row per group.
+
+    The rule is a chain, each recorded time decides the next, so the times of a group
+    are read in order as a stream that carries one number: the shuffle sorts (and
+    spills) them, a task holds one Arrow batch, and a jump to the next recorded time is
+    a binary search.  No row or array holds a posting's history."""
+    schema = T.StructType([*[times.schema[c] for c in group], T.StructField("_last", T.LongType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, 0  # the open group's key, as one-row columns, and its recorded value
+
+        def closed(keys, values):
+            return pa.RecordBatch.from_arrays([*keys, pa.array(values, pa.int64())], names=schema.fieldNames())
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = [batch.column(c) for c in group]
+            t, start = (batch.column(c).to_numpy() for c in ("_t", "_start"))
+            new = np.ones(n, bool)
+            new[1:] = np.logical_or.reduce([pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False) for k in keys])
+            goes_on = held is not None and all(h[0].as_py() == k[0].as_py() for h, k in zip(held, keys))
+            firsts = np.flatnonzero(new)
+            if held is not None and not goes_on:
+                yield closed(held, [last])
+            values = []
+            for i, (a, b) in enumerate(zip(firsts, np.append(firsts[1:], n))):
+                value = last if i == 0 and goes_on else int(start[a])
+                while (at := a + int(np.searchsorted(t[a:b], value + interval))) < b:
+                    value = int(t[at])
+                values.append(value)
+            if len(values) > 1:
+                yield closed([k.take(pa.array(firsts[:-1])) for k in keys], values[:-1])
+            held, last = [k.take(pa.array(firsts[-1:])) for k in keys], values[-1]
+        if held is not None:
+            yield closed(held, [last])
+
+    return times.select(*group, "_t", "_start").repartition(*group).sortWithinPartitions(*group, "_t").mapInArrow(fold, schema)
+
+
 def throttle(feed: DataFrame, interval: int, group: list[str], ts: str) -> DataFrame:
     """The last recorded time of each group.
 
     The first observation (a stored row before any of the batch, ``_v`` 0) records;
     later ones, by time, record when at least ``interval`` seconds after the value
-    recorded last.  At most one value per interval-long block is recorded, the first
-    that is late enough, so per block only its distinct seconds matter (at most
-    ``interval`` of them), and a group folds one row per block."""
-    stored = feed.groupBy(*group).agg(F.min(F.when(F.col("_v") == 0, F.col(ts))).alias("_stored"))
-    seconds = feed.where(F.col("_v") == 1).select(*group, F.col(ts).alias("_t")).distinct()
-    blocks = (seconds.withColumn("_b", F.floor(F.col("_t") / interval)).groupBy(*group, "_b")
-              .agg(F.array_sort(F.collect_list("_t")).alias("_ts")))
-    rows = blocks.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_b", "_ts"))).alias("_blocks"))
-    j = stored.join(rows, group, "left")
-    start = F.coalesce(F.col("_stored"), F.col("_blocks")[0]["_ts"][0])
-    last = F.aggregate(F.coalesce("_blocks", F.array().cast("array<struct<_b:bigint,_ts:array<bigint>>>")), start,
-                       lambda acc, b: F.coalesce(F.try_element_at(F.filter(b["_ts"], lambda t: t >= acc + interval), F.lit(1)), acc))
-    return j.select(*group, last.alias("_last"))
+    recorded last.  Groups whose times all lie within an interval record nothing more;
+    only the others' distinct seconds are read in order."""
+    new = F.when(F.col("_v") == 1, F.col(ts))
+    ends = feed.groupBy(*group).agg(F.coalesce(F.min(F.when(F.col("_v") == 0, F.col(ts))), F.min(new)).alias("_start"), F.max(new).alias("_end"))
+    more = ends.where(F.col("_end") >= F.col("_start") + interval).select(*group, "_start")
+    seconds = feed.where(F.col("_v") == 1).select(*group, F.col(ts).alias("_t")).distinct().join(more, group)
+    moved = recorded(seconds.where(F.col("_t") >= F.col("_start") + interval), group, interval)
+    return ends.join(moved, group, "left").select(*group, F.coalesce("_last", "_start").alias("_last"))
 
 
 def upsert(versions: DataFrame, state: DataFrame | None = None, rules: R.Rules = R.DEFAULT_RULES,
            ts: str = "observed_ts", bucket_seconds: int | None = BUCKET_SECONDS) -> DataFrame:
     """New jobs snapshot after applying ``versions`` to ``state``.
 
-    A stored posting keeps its ``first_seen_ts``, whatever the batch's times."""
-    feed = change_feed(versions, state, ts, bucket_seconds)
+    A posting's current content is that of its last observation, and it holds since the
+    last observation of another content.  Both come from one narrow aggregate per
+    (posting, content, second); wide rows are touched once, to fetch the one that
+    started the current content.  A stored posting keeps its ``first_seen_ts``,
+    whatever the batch's times.  ``bucket_seconds`` None: by windows over the change
+    feed (the plain form that tests compare with)."""
+    if bucket_seconds is None:
+        return _upsert_by_feed(versions, state, rules, ts)
+    keep = [*KEY, *ATTRS, "content_hash", "raw_json", "seq", F.col(ts).alias("_t")]
+    rows = with_hash(versions).select(*keep, F.lit(None).cast("long").alias("_first"), F.lit(1).alias("_v"))
+    if state is not None:
+        stored = state.withColumn("seq", F.lit(-1).cast("long")).withColumn(ts, F.col("last_seen_ts"))
+        rows = rows.unionByName(stored.select(*keep, F.col("first_seen_ts").alias("_first"), F.lit(0).alias("_v")))
+    content = [*KEY, "content_hash"]
+    seconds = rows.groupBy(*content, "_v", "_t").agg(F.max("seq").alias("seq"), F.max("_first").alias("_first"))
+    new = F.when(F.col("_v") == 1, F.col("_t"))
+    contents = seconds.groupBy(*content).agg(F.max(F.struct("_v", "_t", "seq")).alias("_m"), F.min(new).alias("_lo"), F.max("_first").alias("_first"))
+    by_key = Window.partitionBy(*KEY)  # one row per content of a posting
+    latest = by_key.orderBy(F.desc("_m"))
+    current = contents.select(*content, F.row_number().over(latest).alias("_rn"), F.lead("_m").over(latest).alias("_other"),
+                              F.coalesce(F.max("_first").over(by_key), F.min("_lo").over(by_key)).alias("first_seen_ts")).where("_rn = 1").drop("_rn")
+    mine = F.col("_other").isNull() | (F.struct("_v", "_t", "seq") > F.col("_other"))
+    held = seconds.drop("_first").join(current, content).where(mine)
+    old = F.max(F.when(F.col("_v") == 0, F.col("_t")))
+    ends = held.groupBy(*content).agg(F.min(F.struct("_v", "_t")).alias("_s"), F.first("_other").alias("_other"), F.first("first_seen_ts").alias("first_seen_ts"),
+                                      F.coalesce(old, F.min(new)).alias("_start"), F.max(new).alias("_end"))
+    interval = rules.last_seen_interval
+    more = ends.where(F.col("_end") >= F.col("_start") + interval).select(*content, "_start")
+    times = held.where("_v = 1").select(*content, "_t").join(more, content).where(F.col("_t") >= F.col("_start") + interval)
+    starts = ends.select(*content, F.col("_s._v").alias("_v"), F.col("_s._t").alias("_t"), "_other")
+    begun = rows.join(starts, [*content, "_v", "_t"]).where(mine).groupBy(*content).agg(F.min_by(F.struct(*ATTRS, "raw_json"), "seq").alias("_a"))
+    out = begun.join(ends.select(*content, "first_seen_ts", "_start"), content).join(recorded(times, content, interval), content, "left")
+    return out.select(
+        "provider", F.col("_a.company").alias("company"), "external_job_id", *[F.col(f"_a.{c}").alias(c) for c in ("title", "location", "url", "description")],
+        "content_hash", F.col("_a.raw_json").alias("raw_json"), "first_seen_ts", F.coalesce("_last", "_start").alias("last_seen_ts"))
+
+
+def _upsert_by_feed(versions: DataFrame, state: DataFrame | None, rules: R.Rules, ts: str) -> DataFrame:
+    feed = change_feed(versions, state, ts, None)
     order = F.struct(F.col("_v"), F.col(ts).alias("ts"), F.col("seq"))
     group = KEY + ["island"]
     per_island = feed.groupBy(*group).agg(

@@ -20,24 +20,24 @@ def _yield_sql() -> str:
     ctes = [("hb", HB)]
     parts = []
     for q in range(N_QUERIES):
-        excl = "" if q == 0 else f" AND NOT EXISTS (SELECT 1 FROM seen{q-1} s WHERE s.platform = h.platform AND s.base = h.base)"
+        excl = "" if q == 0 else f" AND NOT EXISTS (SELECT 1 FROM seen{q-1} s WHERE s.run = h.run AND s.platform = h.platform AND s.base = h.base)"
         ctes += [
-            (f"cand{q}", f"""SELECT platform, start FROM (SELECT platform, start, row_number() OVER (PARTITION BY platform ORDER BY start) AS rn
-                FROM (SELECT DISTINCT platform, start FROM hb WHERE query_idx = {q} AND start <= {R.SEARCH_MAX_START}) p) x WHERE start = 10 * (rn - 1)"""),
-            (f"f{q}", f"""SELECT h.platform, h.base, min(h.start) AS start FROM hb h JOIN cand{q} c ON c.platform = h.platform AND c.start = h.start
-                WHERE h.query_idx = {q} AND h.base IS NOT NULL{excl} GROUP BY h.platform, h.base"""),
-            (f"n{q}", f"""SELECT c.platform, c.start, count(f.base) AS new_boards FROM cand{q} c LEFT JOIN f{q} f
-                ON f.platform = c.platform AND f.start = c.start GROUP BY c.platform, c.start"""),
-            (f"k{q}", f"""SELECT *, sum(CASE WHEN new_boards = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY platform, grp ORDER BY start ROWS UNBOUNDED PRECEDING) AS streak
-                FROM (SELECT *, sum(CASE WHEN new_boards > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY platform ORDER BY start ROWS UNBOUNDED PRECEDING) AS grp FROM n{q}) s"""),
-            (f"a{q}", f"""SELECT k.platform, {q} AS query_idx, k.start, CAST(k.new_boards AS BIGINT) AS new_boards FROM k{q} k
-                LEFT JOIN (SELECT platform, min(start) AS stop FROM k{q} WHERE streak >= {R.SEARCH_EMPTY_STREAK} GROUP BY platform) z USING (platform)
+            (f"cand{q}", f"""SELECT run, platform, start FROM (SELECT run, platform, start, row_number() OVER (PARTITION BY run, platform ORDER BY start) AS rn
+                FROM (SELECT DISTINCT run, platform, start FROM hb WHERE query_idx = {q} AND start <= {R.SEARCH_MAX_START}) p) x WHERE start = 10 * (rn - 1)"""),
+            (f"f{q}", f"""SELECT h.run, h.platform, h.base, min(h.start) AS start FROM hb h JOIN cand{q} c ON c.run = h.run AND c.platform = h.platform AND c.start = h.start
+                WHERE h.query_idx = {q} AND h.base IS NOT NULL{excl} GROUP BY h.run, h.platform, h.base"""),
+            (f"n{q}", f"""SELECT c.run, c.platform, c.start, count(f.base) AS new_boards FROM cand{q} c LEFT JOIN f{q} f
+                ON f.run = c.run AND f.platform = c.platform AND f.start = c.start GROUP BY c.run, c.platform, c.start"""),
+            (f"k{q}", f"""SELECT *, sum(CASE WHEN new_boards = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run, platform, grp ORDER BY start ROWS UNBOUNDED PRECEDING) AS streak
+                FROM (SELECT *, sum(CASE WHEN new_boards > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run, platform ORDER BY start ROWS UNBOUNDED PRECEDING) AS grp FROM n{q}) s"""),
+            (f"a{q}", f"""SELECT k.run, k.platform, {q} AS query_idx, k.start, CAST(k.new_boards AS BIGINT) AS new_boards FROM k{q} k
+                LEFT JOIN (SELECT run, platform, min(start) AS stop FROM k{q} WHERE streak >= {R.SEARCH_EMPTY_STREAK} GROUP BY run, platform) z USING (run, platform)
                 WHERE z.stop IS NULL OR k.start <= z.stop"""),
-            (f"seen{q}", f"SELECT platform, base FROM f{q} f WHERE EXISTS (SELECT 1 FROM a{q} a WHERE a.platform = f.platform AND a.start = f.start)"
-             + (f" UNION ALL SELECT platform, base FROM seen{q-1}" if q else "")),
+            (f"seen{q}", f"SELECT run, platform, base FROM f{q} f WHERE EXISTS (SELECT 1 FROM a{q} a WHERE a.run = f.run AND a.platform = f.platform AND a.start = f.start)"
+             + (f" UNION ALL SELECT run, platform, base FROM seen{q-1}" if q else "")),
         ]
         parts.append(f"SELECT * FROM a{q}")
-    body = ("SELECT platform, query_idx, start, new_boards, CAST(sum(new_boards) OVER (PARTITION BY platform ORDER BY query_idx, start "
+    body = ("SELECT run, platform, query_idx, start, new_boards, CAST(sum(new_boards) OVER (PARTITION BY run, platform ORDER BY query_idx, start "
             "ROWS UNBOUNDED PRECEDING) AS BIGINT) AS discovered_total FROM (" + " UNION ALL ".join(parts) + ") u")
     return with_views(["v_search_hits"], body, ctes)
 

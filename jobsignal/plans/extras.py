@@ -21,20 +21,20 @@ from jobsignal.streaming import pipeline as SP
 
 
 def search_pages(spark, sf):
-    """Landed search responses {organic_results:[{link}]} per (platform, query, start)."""
+    """Landed search responses {organic_results:[{link}]} per (run, platform, query, start)."""
     h = v_search_hits(spark, sf)
-    g = h.groupBy("platform", "query_idx", "start").agg(F.sort_array(F.collect_list(F.struct("pos", "link"))).alias("_r"))
-    return g.select("platform", "query_idx", "start", F.to_json(F.struct(
+    g = h.groupBy("run", "platform", "query_idx", "start").agg(F.sort_array(F.collect_list(F.struct("pos", "link"))).alias("_r"))
+    return g.select("run", "platform", "query_idx", "start", F.to_json(F.struct(
         F.transform("_r", lambda r: F.struct(r["link"].alias("link"))).alias("organic_results"))).alias("body"))
 
 
 @register("src_search_results", ids="S5",
-          sql=lambda: with_views(["v_search_hits"], "SELECT platform, query_idx, start, "
-                                 "row_number() OVER (PARTITION BY platform, query_idx, start ORDER BY pos) - 1 AS pos, link FROM v_search_hits"))
+          sql=lambda: with_views(["v_search_hits"], "SELECT run, platform, query_idx, start, "
+                                 "row_number() OVER (PARTITION BY run, platform, query_idx, start ORDER BY pos) - 1 AS pos, link FROM v_search_hits"))
 def src_search_results(spark, sf):
     v = search_pages(spark, sf).withColumn("v", F.try_parse_json("body"))
-    e = v.select("platform", "query_idx", "start", F.posexplode(L.variant_list(F.col("v"), "$.organic_results")).alias("pos", "r"))
-    return e.select("platform", "query_idx", "start", F.col("pos").cast("long").alias("pos"),
+    e = v.select("run", "platform", "query_idx", "start", F.posexplode(L.variant_list(F.col("v"), "$.organic_results")).alias("pos", "r"))
+    return e.select("run", "platform", "query_idx", "start", F.col("pos").cast("long").alias("pos"),
                     F.coalesce(F.try_variant_get("r", "$.link", "string"), F.lit("")).alias("link"))
 
 

@@ -14,7 +14,7 @@ from jobsignal.sources.testdata import v_html, with_views
 
 S = X.sql
 PP = "SELECT *, doc_id // 10 AS resp_id, (doc_id // 10) % 17 AS r FROM v_postings"
-KIND = ("CASE WHEN r = 3 THEN 'again' WHEN r = 5 THEN 'http' WHEN r = 7 AND provider <> 'ashby' THEN '304' WHEN r = 9 THEN 'timeout' WHEN r = 11 THEN 'cut' "
+KIND = ("CASE WHEN r = 1 THEN 'task' WHEN r = 3 THEN 'again' WHEN r = 5 THEN 'http' WHEN r = 7 AND provider <> 'ashby' THEN '304' WHEN r = 9 THEN 'timeout' WHEN r = 11 THEN 'cut' "
         "WHEN r = 13 AND provider = 'ashby' THEN 'gql' WHEN r = 15 AND provider = 'lever' THEN 'shape' END")
 # one row per response: every board's whole body, and the second polls
 RESP = (f"SELECT provider, company, resp_id, 2 * min(doc_id) AS seq, count(*) AS n, 'whole' AS kind, {L.FETCH_BASE_TS} + resp_id * 60 AS ts FROM pp GROUP BY ALL "
@@ -22,7 +22,7 @@ RESP = (f"SELECT provider, company, resp_id, 2 * min(doc_id) AS seq, count(*) AS
         f"FROM pp WHERE {KIND} IS NOT NULL GROUP BY provider, company, resp_id, r")
 OKP = ("SELECT pp.*, resp.seq, resp.ts, row_number() OVER (PARTITION BY resp.seq ORDER BY doc_id) - 1 AS pos "
        "FROM pp JOIN resp USING (provider, company, resp_id) WHERE resp.kind IN ('whole', 'again')")
-STATUS = ("CASE WHEN kind = 'timeout' THEN 'timeout' WHEN kind IN ('whole', 'again', 'shape') THEN 'ok' "
+STATUS = (f"CASE WHEN kind = 'task' THEN 'task_exception:{L.LOST_TASK}' WHEN kind = 'timeout' THEN 'timeout' WHEN kind IN ('whole', 'again', 'shape') THEN 'ok' "
           "WHEN provider = 'ashby' THEN CASE kind WHEN 'http' THEN 'http_500' WHEN 'cut' THEN 'exception:invalid JSON body' ELSE 'gql_error:Organization not found' END "
           "ELSE CASE kind WHEN '304' THEN 'unchanged (304)' WHEN 'http' THEN 'error HTTP 500' ELSE 'exception: invalid JSON body' END END")
 EXT_ID = "CASE provider WHEN 'ashby' THEN 'A' || CAST(doc_id AS VARCHAR) WHEN 'lever' THEN 'L' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) END"
@@ -68,12 +68,20 @@ def raw_responses(spark, sf):
     return _landed(spark, sf)
 
 
-@register("poll_status", ids="P13",
+@register("poll_status", ids="P13 R12",
           sql=lambda: psql(f"SELECT seq, provider AS service, company AS source, {STATUS} AS status FROM resp", okp=False))
 def poll_status(spark, sf):
     return N.poll_status(_landed(spark, sf)).select("seq", "service", "source", "status")
 
 
+@register("response_cycle_counts", ids="A7 R12", sql=lambda: psql(f"""SELECT service, ts - ts % 3600 AS cycle_ts, status, count(*) AS boards
+    FROM (SELECT provider AS service, ts, {STATUS} AS status FROM resp) s GROUP BY ALL""", okp=False))
+def response_cycle_counts(spark, sf):
+    """Boards per outcome of each hour's polls, lost tasks included."""
+    s = N.poll_status(_landed(spark, sf))
+    return s.groupBy("service", (F.col("fetched_ts") - F.col("fetched_ts") % 3600).alias("cycle_ts"), "status").agg(F.count(F.lit(1)).alias("boards"))
+
+
 def _src(service: str):
     def build(spark, sf):
         return _postings(spark, sf).where(F.col("service") == service).select(
@@ -149,7 +157,7 @@ def board_fingerprint(spark, sf):
     return s.where((F.col("status") == "ok") & (F.col("service") != "ashby")).select("seq", "service", "source", "fingerprint")
 
 
-_STATE_SQL = """SELECT provider AS service, company AS source, max(CASE WHEN kind IN ('whole', 'again', 'shape') THEN seq END) AS ok_seq, max(ts) AS last_ts
+_STATE_SQL = """SELECT provider AS service, company AS source, max(CASE WHEN kind IN ('whole', 'again', 'shape') THEN seq END) AS ok_seq, max(CASE WHEN kind <> 'task' THEN ts END) AS last_ts
     FROM resp GROUP BY provider, company"""
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobsignal.operators import series as Z
 from jobsignal.plans import alerts as PA
 from jobsignal.plans import health as PH
 from jobsignal.plans import sources as PR
@@ -18,7 +19,6 @@ from jobsignal.streaming import pipeline as SP
 
 YEAR_CUTS = [820454400, 852076800, 883612800, 915148800, 946684800]   # 1996..2000-01-01
 WEEK_CUTS = [1704067200 + k * 7 * 86400 for k in (1, 2, 3, 4)]        # weekly, January 2024
-SERIES_STEP = 15
 LOOKBACK = 6 * 3600
 
 
@@ -108,32 +108,38 @@ def stream_ingest_outcomes(spark, sf):
     return _ingest(spark, sf).read("outcomes")
 
 
-def _series(spark, sf):
-    """Per service and 15-second tumbling window, polls and error ratio (of the polls in it, not of the last state of all boards, as R8 and A17 want)."""
-    log = PH.H.with_error_flag(v_status_log(spark, sf)).withColumn("ts", F.timestamp_seconds("checked_ts"))
-    g = log.groupBy("service", F.window("ts", f"{SERIES_STEP} seconds").alias("w")).agg(
-        F.count(F.lit(1)).alias("polls"), F.sum("is_error").cast("long").alias("errors"))
-    return g.select("service", F.unix_seconds(F.col("w.start")).alias("window_start"), "polls", "errors",
-                    (F.col("errors") / F.col("polls")).alias("error_ratio"))
+# --- R8/A17: scrapes of the last known state ------------------------------------------------
 
+# from the definition: every scrape sees, of every board, the outcome that no later one before the scrape replaces
+_SERIES_SQL = f"""SELECT service, tick, count(*) AS boards, CAST(sum(is_error) AS BIGINT) AS errors, CAST(sum(is_error) AS DOUBLE) / count(*) AS error_ratio
+    FROM (SELECT unnest(generate_series((SELECT min(a) FROM held), (SELECT max(a) FROM held), {Z.STEP})) AS tick) k
+    JOIN held ON held.a <= tick AND (held.z IS NULL OR tick < held.z) GROUP BY service, tick"""
+_HELD_SQL = f"""SELECT service, is_error, (checked_ts + {Z.STEP - 1}) // {Z.STEP} * {Z.STEP} AS a,
+    lead((checked_ts + {Z.STEP - 1}) // {Z.STEP} * {Z.STEP}) OVER (PARTITION BY service, source ORDER BY checked_ts, seq) AS z FROM f"""
 
-_SERIES_SQL = (f"SELECT service, checked_ts - checked_ts % {SERIES_STEP} AS window_start, count(*) AS polls, "
-               f"CAST(sum(is_error) AS BIGINT) AS errors, CAST(sum(is_error) AS DOUBLE) / count(*) AS error_ratio FROM f GROUP BY ALL")
 
+def _series_sql(body: str) -> str:
+    return with_views(["v_status_log"], body, [("f", PH.CTES["f"]), ("held", _HELD_SQL), ("series", _SERIES_SQL)])
 
-@register("metric_series", ids="polls per window", sql=lambda: PH.hsql(_SERIES_SQL, "f"))
+
+@register("metric_series", ids="R8", sql=lambda: _series_sql("SELECT * FROM series"))
 def metric_series(spark, sf):
-    return _series(spark, sf)
+    return Z.scrape_series(v_status_log(spark, sf))
 
 
-@register("series_last_and_max", ids="polls per window",
-          sql=lambda: PH.hsql(f"""SELECT service, arg_max(error_ratio, window_start) FILTER (WHERE error_ratio IS NOT NULL) AS last_value,
-              max(error_ratio) AS max_value FROM ({_SERIES_SQL}) s
-              WHERE window_start >= (SELECT max(checked_ts) FROM v_status_log) - {LOOKBACK} GROUP BY service""", "f"))
+@register("series_last_and_max", ids="A17", sql=lambda: _series_sql(f"""SELECT service, arg_max(errors, tick) AS last_errors, arg_max(error_ratio, tick) AS last_error_ratio,
+    max(errors) AS max_errors, max(error_ratio) AS max_error_ratio FROM series WHERE tick >= (SELECT max(tick) FROM series) - {LOOKBACK} GROUP BY service"""))
 def series_last_and_max(spark, sf):
-    s = _series(spark, sf)
-    end = v_status_log(spark, sf).select(F.max("checked_ts")).scalar()   # scalar subquery
-    recent = s.where(F.col("window_start") >= end - LOOKBACK)
-    return recent.groupBy("service").agg(
-        F.max_by("error_ratio", F.when(F.col("error_ratio").isNotNull(), F.col("window_start"))).alias("last_value"),
-        F.max("error_ratio").alias("max_value"))
+    return Z.last_and_max(Z.scrape_series(v_status_log(spark, sf)), LOOKBACK)
+
+
+# --- R7: cycle history ------------------------------------------------------------------------
+
+
+@register("stream_cycle_history", ids="R7 T9 S12", sql=lambda: QUERIES["cycle_retention"].oracle())
+def stream_cycle_history(spark, sf):
+    """The newest cycles kept over micro-batches; every 50th poll of the first week lands last."""
+    log = v_status_log(spark, sf)
+    late = (F.col("checked_ts") < WEEK_CUTS[0]) & (F.col("seq") % 50 == 0)
+    history = SP.cycle_history_stream(spark, log.where(~late), WEEK_CUTS, log.where(late))
+    return history.select("service", "last_cycle_ts", "status")

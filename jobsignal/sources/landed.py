@@ -24,11 +24,12 @@ from jobsignal.sources.testdata import v_postings
 
 RESP_SIZE = 10
 FETCH_BASE_TS = 1704067200
-# Second poll by (response id % 17): 3 -> the same body, 5 -> HTTP 500, 7 -> 304 (Greenhouse/Lever),
+# Second poll by (response id % 17): 1 -> the board's task was lost, 3 -> the same body, 5 -> HTTP 500, 7 -> 304 (Greenhouse/Lever),
 # 9 -> timeout, 11 -> truncated body, 13 -> GraphQL error (Ashby), 15 -> non-array body (Lever).
 GQL_ERROR_BODY = '{"errors":[{"message":"Organization not found"}]}'
 NON_ARRAY_BODY = '{"message":"not an array"}'
 TRUNCATE_AT = 20
+LOST_TASK = "OperationalError"
 
 
 def _job_json(p: DataFrame) -> Column:
@@ -77,18 +78,18 @@ def landed_responses(spark, sf_dir: str) -> DataFrame:
     body = (F.when(svc == "greenhouse", F.concat(F.lit('{"jobs":['), items, F.lit("]}")))
             .when(svc == "lever", F.concat(F.lit("["), items, F.lit("]")))
             .otherwise(F.concat(F.lit('{"data":{"jobBoardWithTeams":{"jobPostings":['), items, F.lit("]}}}"))))
-    extra = (F.when(r == 3, F.lit("again")).when(r == 5, F.lit("http")).when((r == 7) & (svc != "ashby"), F.lit("304"))
+    extra = (F.when(r == 1, F.lit("task")).when(r == 3, F.lit("again")).when(r == 5, F.lit("http")).when((r == 7) & (svc != "ashby"), F.lit("304"))
              .when(r == 9, F.lit("timeout")).when(r == 11, F.lit("cut")).when((r == 13) & (svc == "ashby"), F.lit("gql"))
              .when((r == 15) & (svc == "lever"), F.lit("shape")))
     g = g.select("provider", "company", "resp_id", "seq", body.alias("full"), F.explode(F.array_compact(F.array(F.lit("whole"), extra))).alias("kind"))
     kind, second = F.col("kind"), (F.col("kind") != "whole").cast("long")
     body = (F.when(kind.isin("whole", "again"), F.col("full")).when(kind == "cut", F.substring("full", 1, TRUNCATE_AT))
             .when(kind == "gql", F.lit(GQL_ERROR_BODY)).when(kind == "shape", F.lit(NON_ARRAY_BODY)))
-    status = F.when(kind == "http", F.lit(500)).when(kind == "304", F.lit(304)).when(kind != "timeout", F.lit(200))
+    status = F.when(kind == "http", F.lit(500)).when(kind == "304", F.lit(304)).when(~kind.isin("timeout", "task"), F.lit(200))
     seq = 2 * F.col("seq") + second
     return g.select(
         seq.alias("seq"), svc.alias("service"), F.col("company").alias("source"), status.alias("http_status"),
-        F.when(kind == "timeout", F.lit("timeout")).alias("error_kind"), F.lit(None).cast("string").alias("error_message"),
+        F.when(kind.isin("timeout", "task"), kind).alias("error_kind"), F.when(kind == "task", F.lit(LOST_TASK)).alias("error_message"),
         F.when(status == 200, F.concat(F.lit('W/"'), seq.cast("string"), F.lit('"'))).alias("etag"),
         F.when(status == 200, F.concat(F.lit("modified "), seq.cast("string"))).alias("last_modified"),
         (F.lit(FETCH_BASE_TS) + F.col("resp_id") * 60 + 30 * second).alias("fetched_ts"), body.alias("body"),

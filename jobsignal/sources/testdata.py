@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobsignal import rules as R
 from jobsignal.functions.text import q
 
 # Adapter lists (positions 0..16 and 0..12).
@@ -62,7 +63,9 @@ LOCATIONS = (
 PROVIDERS = ("ashby", "greenhouse", "lever")
 EVENT_STATUS = {"error": "error HTTP 500", "click": "ok", "purchase": "new match", "view": "unchanged (304)"}
 OTHER_STATUS = "timeout"
-CYCLE_SECONDS = 3600
+CYCLE_SECONDS = R.CYCLE_SECONDS
+#: Pages of one harvest run, by id.
+RUN_PAGES = 2000
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
@@ -156,14 +159,14 @@ def v_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is a hit of one harvest run; a run's hits of a platform and query fill result pages of ten."""
+    from pyspark.sql import Window as W
+
     p = table(spark, sf_dir, "pages").select("page_id", "url")
-    return p.select(
-        F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1).alias("platform"),
-        (F.col("page_id") % 3).alias("query_idx"),
-        (F.col("page_id") - F.col("page_id") % 10).alias("start"),
-        (F.col("page_id") % 10).alias("pos"),
-        F.col("url").alias("link"),
-    )
+    p = p.select("page_id", F.floor(F.col("page_id") / RUN_PAGES).alias("run"),
+                 F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1).alias("platform"), (F.col("page_id") % 3).alias("query_idx"), "url")
+    n = F.row_number().over(W.partitionBy("run", "platform", "query_idx").orderBy("page_id")).cast("long") - 1   # at most RUN_PAGES rows
+    return p.select("run", "platform", "query_idx", (n - n % 10).alias("start"), (n % 10).alias("pos"), F.col("url").alias("link"))
 
 
 def v_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,8 +226,9 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (max(_hi) OVER (PARTITION BY service, cycle_ts) - min(_lo) OVER (PARTITION BY service, cycle_ts)) * 1000 AS duration_ms
         FROM (SELECT service, checked_ts - checked_ts % {CYCLE_SECONDS} AS cycle_ts, status, count(*) AS n,
               min(checked_ts) AS _lo, max(checked_ts) AS _hi FROM v_status_log GROUP BY 1, 2, 3) g"""),
-    "v_search_hits": ((), """SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS platform,
-        page_id % 3 AS query_idx, page_id - page_id % 10 AS start, page_id % 10 AS pos, url AS link FROM pages"""),
+    "v_search_hits": ((), f"""SELECT run, platform, query_idx, n - n % 10 AS start, n % 10 AS pos, url AS link FROM (
+        SELECT *, row_number() OVER (PARTITION BY run, platform, query_idx ORDER BY page_id) - 1 AS n FROM (
+          SELECT page_id, page_id // {RUN_PAGES} AS run, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS platform, page_id % 3 AS query_idx, url FROM pages) p) h"""),
     "v_html": ((), "SELECT page_id, html FROM pages"),
     "v_messages": ((), "SELECT conv_id, turn, string_split(text, chr(10)) AS lines FROM conversations"),
 }

@@ -10,7 +10,7 @@ written tables cut lineage, and an executor loss only re-runs tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobsignal import rules as R
@@ -155,6 +155,46 @@ def health_stream(spark: SparkSession, log: DataFrame, cuts: list[int], root: st
     return state.read("status"), state.read("events")
 
 
+# --- R7: cycle history with retention ---------------------------------------------------------
+
+
+def newest_cycles(counts: DataFrame, keep: int) -> DataFrame:
+    """The status counts of the newest ``keep`` cycles: a top-N of (cycle, service), so newer cycles alone decide who goes."""
+    top = counts.select("service", "cycle_ts").distinct().orderBy(F.desc("cycle_ts"), F.desc("service")).limit(keep)
+    return counts.join(F.broadcast(top), ["service", "cycle_ts"], "left_semi")
+
+
+def cycle_history_stream(spark: SparkSession, log: DataFrame, cuts: list[int], late: DataFrame | None = None, root: str | None = None,
+                         keep: int = R.CYCLE_RETENTION) -> DataFrame:
+    """Status counts of the newest ``keep`` cycles, merged micro-batch by micro-batch.
+
+    A batch adds its counts to the cycles that are kept, late polls included; a cycle
+    that falls out is older than ``keep`` others for good, so any split into batches
+    ends with the same history.  The state holds ``keep`` cycles and no more."""
+    root = root or _scratch(spark, "cycles")
+    land_slices(log, f"{root}/landing", "checked_ts", cuts)
+    if late is not None:
+        late.write.mode("overwrite").parquet(f"{root}/landing/slice=9999")
+    state = State(spark, root, {"cycles": ["service"]}, buckets=1)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if b := state.begin(batch_id):
+            cycle = (F.col("checked_ts") - F.col("checked_ts") % R.CYCLE_SECONDS).alias("cycle_ts")
+            new = batch.groupBy("service", cycle, "status").agg(F.count(F.lit(1)).alias("n"), F.min("checked_ts").alias("lo"), F.max("checked_ts").alias("hi"))
+            counts = newest_cycles(new, keep)  # partial top-N: no more than the state holds meets it
+            if (old := b.read("cycles", [0])) is not None:
+                counts = counts.unionByName(old).groupBy("service", "cycle_ts", "status").agg(
+                    F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                counts = newest_cycles(counts, keep)
+            b.write("cycles", counts, [0])
+            b.commit()
+
+    _run(spark, log.schema, f"{root}/landing", f"{root}/chk", apply)
+    whole = Window.partitionBy("service", "cycle_ts")
+    length = (F.max("hi").over(whole) - F.min("lo").over(whole)) * 1000
+    return H.cycle_rollup(state.read("cycles").select("service", "cycle_ts", "status", "n", length.alias("duration_ms")))
+
+
 # --- R4: alert once ----------------------------------------------------------------------------
 
 

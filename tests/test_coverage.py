@@ -9,7 +9,7 @@ ROOT = Path(__file__).resolve().parents[1]
 def test_items_not_built_are_not_claimed(capsys):
     script = runpy.run_path(str(ROOT / "scripts" / "coverage.py"))
     claimed = {i for q in script["QUERIES"].values() for i in script["expand"](q.ids)}
-    assert {"A17", "R1", "R7", "R8", "R12"} <= set(script["NOT_BUILT"]) and not claimed & set(script["NOT_BUILT"])
+    assert {"A17", "R1", "R7", "R8", "R12"} <= claimed and not claimed & set(script["NOT_BUILT"])
     script["main"]()
     rows = set(capsys.readouterr().out.splitlines())
     table = [x for x in (ROOT / "README.md").read_text().splitlines() if x.split(" | ")[0].strip("| ") in script["NOT_BUILT"]]

@@ -370,3 +370,31 @@ def test_late_poll_keeps_newer_status(spark):
     late = spark.createDataFrame([(2, "lever", "acme", "timeout", "", 500)], schema)
     r = SP.merge_status(state, late).collect()[0]
     assert (r.status, r.last_checked_ts, r.last_ok_ts, r.last_error_ts) == ("ok", 1000, 1000, 500)
+
+
+def test_throttle_of_a_posting_seen_a_million_times(spark):
+    """W6 and W5 stream a hot posting's times; contents alternate, a second holds two contents, batches split a group."""
+    n = 1_000_000
+    hot = spark.range(n).select(F.col("id").alias("seq"), F.lit("lever").alias("provider"), F.lit("hot").alias("external_job_id"), F.lit("co").alias("company"),
+                                F.when(F.col("id") < 1000, F.lit("old")).otherwise(F.lit("new")).alias("title"), F.lit("").alias("location"),
+                                F.lit("").alias("url"), F.lit("d").alias("description"), (F.col("id") * 61).alias("observed_ts"), F.lit("{}").alias("raw_json"))
+    start = last = 1000 * 61
+    while (nxt := -(-(last + 21600) // 61) * 61) < n * 61:
+        last = nxt
+    got = S.upsert(hot).collect()
+    assert [(r.title, r.first_seen_ts, r.last_seen_ts) for r in got] == [("new", 0, last)] and start < last
+
+
+def test_upsert_equals_the_change_feed_form(spark):
+    import random
+
+    r = random.Random(5)
+    schema = ("seq long, provider string, external_job_id string, company string, title string, location string, "
+              "url string, description string, observed_ts long, raw_json string")
+    rows = [(i, "lever", f"p{r.randrange(12)}", "co", r.choice("ab"), "", "", f"d{r.randrange(2)}", r.choice([0, 7, 30000, 60000, r.randrange(200000)]), f"{{{i}}}") for i in range(400)]
+    df = spark.createDataFrame(rows, schema)
+    assert S.upsert(df).exceptAll(S.upsert(df, bucket_seconds=None)).count() == 0 and S.upsert(df).count() == 12
+    state = S.upsert(df.where("seq < 200"))
+    a, b = (S.upsert(df.where("seq >= 200"), state, bucket_seconds=x) for x in (None, S.BUCKET_SECONDS))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert S.upsert(df.limit(0)).count() == 0 and S.upsert(df.limit(0), state).exceptAll(state).count() == 0
