@@ -71,6 +71,10 @@ FIRST_SQL = (f"SELECT provider AS service, company AS source, {PR.EXT_ID} AS ext
              f"SELECT *, row_number() OVER (PARTITION BY provider, company, doc_id ORDER BY seq) AS _first FROM okp WHERE {PR._MATCH_SQL}) x WHERE _first = 1")
 
 
+#: ids of all providers meet here, so only numeric ones are ordered as numbers
+_INGEST_LINES_SQL = PA._MSG_LINES_SQL.replace("CAST(external_job_id AS BIGINT)", "TRY_CAST(external_job_id AS BIGINT)")
+
+
 def _ingest(spark, sf):
     """All landed responses in three micro-batches."""
     landed = L.landed_responses(spark, sf)
@@ -83,7 +87,7 @@ def _okp_sql(body: str, *more) -> str:
 
 
 @register("stream_ingest", ids="R1 S14 W12 W13", sql=lambda: _okp_sql(f"""SELECT service, source, cycle_ts, generate_subscripts(chunks, 1) AS chunk_no, unnest(chunks) AS text
-    FROM (SELECT service, source, cycle_ts, {PA._chunk_sql('lines')} AS chunks FROM ({PA._MSG_LINES_SQL}) y) x""", ("fa", FIRST_SQL)))
+    FROM (SELECT service, source, cycle_ts, {PA._chunk_sql('lines')} AS chunks FROM ({_INGEST_LINES_SQL}) y) x""", ("fa", FIRST_SQL)))
 def stream_ingest(spark, sf):
     """Alert messages of the whole stream."""
     return _ingest(spark, sf).read("alerts")
