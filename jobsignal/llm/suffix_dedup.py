@@ -50,7 +50,9 @@ BLOCK = 2 << 20
 LAST = (1 << 63) - 1
 BYTE = mix64(np.arange(1, 257))
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Low bits of a gram's hash that hold its place in a slice, and the strings of a slice.
 PLACE = np.uint64((1 << 24) - 1)
+SLICE = 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -68,6 +70,10 @@ class Hashes:
         power, self.inverse = _powers(n)
         self.sums = np.append(np.zeros(1, np.uint64), np.cumsum(BYTE[raw] * power[: len(raw)], dtype=np.uint64))
 
+    def grams(self, a: int, n: int) -> np.ndarray:
+        """Hashes of the n grams from place a on."""
+        return mix64((self.sums[a + GRAM:a + GRAM + n] - self.sums[a:a + n]) * self.inverse[a:a + n] + np.uint64(GRAM))
+
     def spans(self, a: np.ndarray, e: np.ndarray) -> np.ndarray:
         return mix64((self.sums[e] - self.sums[a]) * self.inverse[a] + (e - a).astype(np.uint64))
 
@@ -79,22 +85,24 @@ def segments(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none, hashes
-    place = np.arange(len(raw) - GRAM + 1)
-    low = (hashes.spans(place, place + GRAM) & ~PLACE) | (place.astype(np.uint64) & PLACE)
-    width, want = 1, LENGTH - GRAM + 1
-    while width < want:
-        step = min(width, want - width)
-        low = np.minimum(low[:-step], low[step:])
-        width += step
-    start = np.arange(n)
-    anchor = start + (((low & PLACE).astype(np.int64) - start) & int(PLACE))  # the place is kept modulo 2 ** 24
+    anchor = np.empty(n, np.int64)
+    reach = min(SLICE, int(PLACE) + 1 - LENGTH)  # places inside a slice never wrap, and its arrays stay in the cache
+    for s in range(0, n, reach):
+        m = min(reach, n - s)
+        low = (hashes.grams(s, m + LENGTH - GRAM) & ~PLACE) | np.arange(m + LENGTH - GRAM, dtype=np.uint64)
+        width, want = 1, LENGTH - GRAM + 1
+        while width < want:
+            step = min(width, want - width)
+            low = np.minimum(low[:-step], low[step:])
+            width += step
+        anchor[s:s + m] = (low & PLACE).astype(np.int64) + s
     text = np.repeat(np.arange(len(size)), size)
     whole = text[:n] == text[LENGTH - 1:]
     new = np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:n] != text[: n - 1]) | ~whole[:-1]]
     first = np.flatnonzero(new & whole)
     edge = np.append(np.flatnonzero(new), n)
     last = edge[np.searchsorted(edge, first, side="right")] - 1
-    last = np.where(whole[last], last, np.maximum.accumulate(np.where(whole, start, -1))[last])
+    last = np.where(whole[last], last, np.maximum.accumulate(np.where(whole, np.arange(n), -1))[last])
     return text[first], first, last + LENGTH, anchor[first], hashes
 
 

@@ -99,3 +99,35 @@ def test_suffix_array_cut_at_depth():
 
 def test_empty_table(spark):
     assert S.dedup(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_anchors_do_not_depend_on_slices(monkeypatch):
+    """Equal grams stand in one string across the end of a slice, and beyond the largest place that a hash can hold."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    gram = bytes(r.integers(97, 101, 32, dtype=np.uint8))
+    raw = np.frombuffer(b"".join((gram + bytes(r.integers(97, 99, 9, dtype=np.uint8))) for _ in range(300)) + b"a" * 5000, np.uint8)
+    size = np.array([len(raw) - 700, 700])
+
+    def anchors():
+        text, first, end, anchor, _ = S.segments(raw, size)
+        return list(zip(text.tolist(), first.tolist(), end.tolist(), anchor.tolist()))
+
+    want = anchors()
+    plain = S.Hashes(raw)
+    h = plain.grams(0, len(raw) - 31) & ~S.PLACE
+    for _, first, end, anchor in want:
+        for start in range(first, end - 99):
+            assert anchor == start + int(np.argmin(h[start:start + 69]))
+    monkeypatch.setattr(S, "SLICE", 150)
+    assert anchors() == want
+
+
+def test_repeat_behind_sixteen_mebibytes(spark):
+    r = random.Random(4)
+    hot = "ab" * 50  # all its grams are equal by twos, so place decides between them
+    long = "".join(r.choices("cdefghijklmnop", k=(1 << 24) - 40)) + hot + "z" * 10
+    docs = spark.createDataFrame([(1, "x" + hot + "y"), (2, long)], "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in S.dedup(spark, docs).collect()}
+    assert got == {1: (102, 0, 0), 2: (len(long), 100, 1)}
