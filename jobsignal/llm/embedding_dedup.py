@@ -5,12 +5,12 @@ node draws a random direction, takes the median of the projections of a bounded
 sample of its members, and sends members left or right; those within ``SPILL`` of
 the median (as a share of the sample) go both ways.  Nodes are split in rounds,
 ``LEVELS`` levels at a time, while any holds more than ``LEAF`` members; samples
-are fitted, and members routed, by Spark tasks.  A node in whose sample at least
-``DENSE`` of the pairs are linked (a large group of near copies, which every split
-would part) is not split: its members are dealt into blocks of about ``LEAF``, and
-all pairs of blocks are compared, each by its own task, so the work stays in
-proportion to the links.  Inside a leaf all members are compared exactly in double
-precision, and the links of all trees are united.
+are fitted, and members routed, by Spark tasks.  A split is judged by the linked pairs
+of its sample: of up to ``TRIES`` directions the first is taken that parts at most
+``PARTED`` of them.  A node that every direction would part (a large group of near
+copies, tight or loose) is not split: its members are dealt into blocks of about
+``LEAF``, and all pairs of blocks are compared, each by its own task.  Inside a leaf all
+members are compared exactly in double precision, and the links of all trees are united.
 Links are never wrong; some can be missed where every tree parts a pair.
 
 Defined cases: null, empty, zero vectors and vectors with null or non-finite
@@ -40,9 +40,12 @@ SAMPLE = 2000
 #: Levels fitted in one round (a node's subtree is 2 ** LEVELS - 1 pairs of bounds).
 LEVELS = 4
 SPILL = 0.06
-#: Share of linked pairs from which a node is compared whole, and members of its sample that the share is taken from.
-DENSE = 0.1
-PAIRED = 500
+#: A split may part this share of its sample's linked pairs, taken from so many members; fewer than ``JUDGED`` linked pairs tell nothing.
+PARTED = 0.05
+PAIRED = 700
+JUDGED = 12
+#: Directions that a node tries.
+TRIES = 12
 
 
 def _matrix(raw: list[bytes], dim: int) -> np.ndarray:
@@ -51,35 +54,41 @@ def _matrix(raw: list[bytes], dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _direction(tree: int, leaf: int, node: int, dim: int) -> np.ndarray:
-    return np.random.default_rng([tree, leaf % (1 << 62), node]).normal(size=dim)
+def _direction(tree: int, leaf: int, node: int, attempt: int, dim: int) -> np.ndarray:
+    return np.random.default_rng([tree, leaf % (1 << 62), node, attempt]).normal(size=dim)
 
 
-def linked_share(x: np.ndarray, threshold: float) -> float:
-    """Share of the pairs of some members of a sample whose cosine reaches the threshold."""
-    some = x[:: -(-len(x) // PAIRED)]
-    return ((some @ some.T >= threshold).sum() - len(some)) / (len(some) * (len(some) - 1))
+def linked_pairs(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the linked pairs among some members of a sample."""
+    some = np.arange(0, len(x), -(-len(x) // PAIRED))
+    a, b = np.nonzero(np.triu(x[some] @ x[some].T >= threshold, 1))
+    return some[a], some[b]
 
 
 def fit_subtree(x: np.ndarray, tree: int, leaf: int, total: int, threshold: float, most: int) -> np.ndarray:
-    """(low, high, blocks) of each node, in heap order.
+    """(low, high, blocks, attempt) of each node, in heap order.
 
-    Nodes of at most about ``most`` members don't split (low above high); dense ones
-    don't either, and ``blocks`` is the number of blocks their members are dealt into.
+    Nodes of at most about ``most`` members don't split (low above high); those that
+    every direction would part don't either, and ``blocks`` is the number of blocks
+    their members are dealt into.
     """
-    bounds = np.tile([np.inf, -np.inf, 0], ((1 << LEVELS) - 1, 1))
+    bounds = np.tile([np.inf, -np.inf, 0, 0], ((1 << LEVELS) - 1, 1))
     inside = {0: np.arange(len(x))}
     for node in range(len(bounds)):
         rows = inside.pop(node, np.zeros(0, np.int64))
         if len(rows) < 8 or len(rows) * total <= most * len(x):
             continue
-        if linked_share(x[rows], threshold) >= DENSE:
+        a, b = linked_pairs(x[rows], threshold)
+        for attempt in range(TRIES):
+            at = x[rows] @ _direction(tree, leaf, node, attempt, x.shape[1])
+            low, high = np.quantile(at, [0.5 - SPILL, 0.5 + SPILL])
+            left, right = at < low, at > high
+            if len(a) < JUDGED or ((left[a] & right[b]) | (right[a] & left[b])).mean() <= PARTED:
+                bounds[node] = low, high, 0, attempt
+                inside[2 * node + 1], inside[2 * node + 2] = rows[~right], rows[~left]
+                break
+        else:
             bounds[node, 2] = -(-len(rows) * total // (most * len(x)))
-            continue
-        at = x[rows] @ _direction(tree, leaf, node, x.shape[1])
-        low, high = np.quantile(at, [0.5 - SPILL, 0.5 + SPILL])
-        bounds[node, :2] = low, high
-        inside[2 * node + 1], inside[2 * node + 2] = rows[at <= high], rows[at >= low]
     return bounds
 
 
@@ -88,17 +97,17 @@ def route(x: np.ndarray, tree: int, leaf: int, bounds: np.ndarray) -> list[tuple
     out, open_ = [], [(0, np.arange(len(x)))]
     while open_:
         node, rows = open_.pop()
-        low, high, blocks = bounds[node] if node < len(bounds) else (np.inf, -np.inf, 0)
+        low, high, blocks, attempt = bounds[node] if node < len(bounds) else (np.inf, -np.inf, 0, 0)
         if low > high:
             out.append((rows, leaf * (2 << LEVELS) + node + 1, int(blocks)))
             continue
-        at = x[rows] @ _direction(tree, leaf, node, x.shape[1])
+        at = x[rows] @ _direction(tree, leaf, node, int(attempt), x.shape[1])
         open_ += [(2 * node + 1, rows[at <= high]), (2 * node + 2, rows[at >= low])]
     return [o for o in out if len(o[0])]
 
 
 def forest(tables: Tables, vectors: DataFrame, threshold: float) -> DataFrame:
-    """(tree, dim, leaf, node, raw, blocks) rows, in which only dense leaves (blocks above 0) hold more than ``LEAF`` members."""
+    """(tree, dim, leaf, node, raw, blocks) rows, in which only unsplit groups (blocks above 0) hold more than ``LEAF`` members."""
     schema = "tree int, dim int, leaf long, node long, raw binary, blocks int"
     most = LEAF
     open_ = vectors.select(F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("tree"), "dim", F.lit(1).cast("long").alias("leaf"), "node", "raw", F.lit(0).alias("blocks"))
@@ -114,7 +123,7 @@ def forest(tables: Tables, vectors: DataFrame, threshold: float) -> DataFrame:
             pdf = batch.to_pandas()
             for (tree, dim, leaf), g in pdf.groupby(["tree", "dim", "leaf"], sort=False):
                 raw, node = g.raw.to_numpy(), g.node.to_numpy()
-                bounds = np.frombuffer(g.bounds.iloc[0], np.float64).reshape(-1, 3)
+                bounds = np.frombuffer(g.bounds.iloc[0], np.float64).reshape(-1, 4)
                 for rows, new, blocks in route(_matrix(raw.tolist(), dim), tree, leaf, bounds):
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tree), pa.int32()), pa.array(np.full(n, dim), pa.int32()), pa.array(np.full(n, new), pa.int64()),
@@ -139,7 +148,7 @@ def forest(tables: Tables, vectors: DataFrame, threshold: float) -> DataFrame:
 def links(leaves: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, of leaf members whose cosine reaches the threshold.
 
-    A dense leaf is compared per pair of its blocks (p <= q): every member goes to all pairs that hold its block.
+    An unsplit group is compared per pair of its blocks (p <= q): every member goes to all pairs that hold its block.
     """
     at = F.pmod(F.xxhash64("node", "leaf"), F.greatest("blocks", F.lit(1))).cast("int")
     pairs = leaves.withColumn("own", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1)))

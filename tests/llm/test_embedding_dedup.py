@@ -78,3 +78,28 @@ def test_defined_cases(spark):
     lone = [(i, 0, i, True) for i in (4, 5, 6, 7, 8, 9, 10)]
     assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (3, 2, 1, False), (11, 1, 11, True), (12, 1, 11, False), (None, 0, None, False), *lone], key=repr)
     assert E.near_duplicates(spark, table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.30, 0.34, 0.38, 0.42, 0.46])
+def test_recall_in_groups_of_many_leaves(spread):
+    """Groups in which few or many pairs are linked, beside unrelated vectors; all trees, without Spark."""
+    r = np.random.default_rng(int(spread * 100))
+    most, n = 250, 4000
+    x = np.concatenate([r.normal(size=64) + r.normal(size=(n, 64)) * spread, r.normal(size=(400, 64))])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    linked = np.triu(x @ x.T >= 0.9, 1)
+    share = linked[:n, :n].sum() / (n * (n - 1) / 2)
+    found = np.zeros_like(linked)
+    for tree in range(E.TREES):
+        todo = [(1, np.arange(len(x)))]
+        while todo:
+            leaf, rows = todo.pop()
+            taught = rows[r.permutation(len(rows))[: E.SAMPLE]]
+            for part, new, blocks in E.route(x[rows], tree, leaf, E.fit_subtree(x[taught], tree, leaf, len(rows), 0.9, most)):
+                if len(part) > most and not blocks and len(part) < len(rows):
+                    todo.append((new, rows[part]))
+                else:
+                    found[np.ix_(rows[part], rows[part])] = True
+    recall = (linked & found).sum() / linked.sum()
+    print(spread, round(share, 4), round(recall, 4))
+    assert recall >= 0.95
