@@ -19,7 +19,7 @@ Tokens are the words of a text (A-Z lower-cased, maximal runs other than
    where one unknown word per class has c = 0; so the probabilities of all known
    words, the end and the unknown ones sum to 1.
 
-Counts of the ``FREQUENT`` most frequent words go to the workers (words longer than
+Counts of at most ``FREQUENT`` of the most frequent words go to the workers (words longer than
 64 bytes are keyed by their SHA-256, so that table is bounded by bytes); all other
 words of a document join the count table by a shuffle, each distinct word of a
 document once.  A word of that shuffle is by rank beyond ``FREQUENT``, so none is hot.
@@ -259,7 +259,14 @@ def counted(teaching: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """What the workers need of the counts: at most ``FREQUENT`` keys of 65 bytes and one sum per class reach the driver."""
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("key") == END, F.col("c"))).alias("ends")).first()
-    top = counts.where(F.col("key") != END).orderBy(F.desc("c"), "key").limit(FREQUENT).collect()
+    # the words above a bound on their count; the bound comes from a histogram of fixed size, so no task or driver sorts the vocabulary
+    size = F.floor(F.log2("c") * 32).cast("int")
+    words, top = counts.where(F.col("key") != END), []
+    histogram = sorted(((r["b"], r["n"]) for r in words.groupBy(size.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    fits = np.cumsum([n for _, n in histogram]) <= FREQUENT
+    if fits.any():
+        top = words.where(size >= histogram[int(fits.sum()) - 1][0]).collect()
+        top.sort(key=lambda r: (-r["c"], r["key"]))
     out = Vocabulary(pa.array([r["key"] for r in top], pa.string()), np.array([r["c"] for r in top], np.int64), total["ends"] or 0, total["n"] or 0, total["v"], np.zeros(0))
     own = [r["key"] for r in top[: out.own]]
 
