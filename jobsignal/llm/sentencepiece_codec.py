@@ -91,29 +91,45 @@ class Vocabulary:
     # -- the lattice ------------------------------------------------------
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, index of piece) of every occurrence of every longer piece, by position."""
-        sa, _ = suffix_array(codes, self.longest)
-        padded = np.concatenate([codes, np.full(self.longest, -1, np.int64)])
-        span = np.arange(self.longest)
-        used = span[None, :] < self.length[:, None]
-
-        def bound(upper: bool) -> np.ndarray:
-            lo, hi = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), len(sa), np.int64)
-            while (open_ := lo < hi).any():
-                k = np.flatnonzero(open_)
-                mid = (lo[k] + hi[k]) >> 1
-                there, piece = padded[sa[mid][:, None] + span], self.codes[k]
-                differs = (there != piece) & used[k]
-                first = differs.argmax(1)
-                row = np.arange(len(k))
-                any_ = differs[row, first]
-                less = np.where(any_, there[row, first] < piece[row, first], upper)
-                lo[k] = np.where(less, mid + 1, lo[k])
-                hi[k] = np.where(less, hi[k], mid)
-            return lo
-
-        low = bound(False)
-        count = bound(True) - low
+        """(position, index of piece) of every occurrence of every longer piece, by position.
+
+        Characters are numbered among those of the text, so that one number holds several of
+        them and a step of the binary search compares one number; a piece is searched by its
+        first number among all suffixes, then by its next one within the range found.
+        """
+        n = len(codes)
+        if not n or not len(self.ids):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        symbol = np.zeros(0x110000, np.int64)
+        symbol[codes] = 1
+        symbol = np.where(symbol, np.cumsum(symbol), 0)
+        text = np.concatenate([symbol[codes], np.zeros(2 * self.longest, np.int64)])
+        bits = int(symbol.max()).bit_length()
+        few = max(1, min(self.longest, (63 - n.bit_length()) // bits))
+        sa, _ = suffix_array(_packed(text, few, bits)[:n], self.longest, few)
+
+        wide = min(self.longest, 63 // bits)
+        words = -(-self.longest // wide)
+        key = _packed(text, wide, bits)
+        of_piece = np.zeros((len(self.ids), words * wide), np.int64)
+        of_piece[:, : self.longest] = symbol[self.codes]
+        beyond = np.arange(words * wide)[None, :] >= self.length[:, None]
+        of_piece[beyond] = 0
+        lowest, highest = of_piece, np.where(beyond, (1 << bits) - 1, of_piece)
+        lo, hi = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
+        here = np.flatnonzero(((of_piece > 0) | beyond).all(1))
+        for w in range(words):
+            if not len(here):
+                break
+            low, high = (_packed(side[here, w * wide:(w + 1) * wide].ravel(), wide, bits)[::wide] for side in (lowest, highest))
+            if w == 0:
+                first = key[sa]
+                lo[here], hi[here] = np.searchsorted(first, low, "left"), np.searchsorted(first, high, "right")
+            else:
+                at = sa + w * wide
+                lo[here], hi[here] = (_bisect(key, at, lo[here], hi[here], low, False), _bisect(key, at, lo[here], hi[here], high, True))
+            here = here[(hi[here] > lo[here]) & (self.length[here] > (w + 1) * wide)]
+        low, count = lo, hi - lo
         piece = np.repeat(np.arange(len(self.ids)), count)
         at = sa[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
         order = argsort(at)
@@ -260,6 +276,28 @@ class Vocabulary:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def _packed(symbols: np.ndarray, wide: int, bits: int) -> np.ndarray:
+    """At every place the ``wide`` symbols from there on in one number (0 past the end)."""
+    n = len(symbols)
+    out = np.zeros(n, np.int64)
+    for k in range(wide):
+        out <<= bits
+        out[: max(n - k, 0)] |= symbols[k:]
+    return out
+
+
+def _bisect(key: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray, upper: bool) -> np.ndarray:
+    """Per range [lo, hi) of ``at`` the first place whose key is not below (``upper``: is above) the value."""
+    lo, hi = lo.copy(), hi.copy()
+    while len(k := np.flatnonzero(lo < hi)):
+        mid = (lo[k] + hi[k]) >> 1
+        there = key[at[mid]]
+        less = there <= value[k] if upper else there < value[k]
+        lo[k] = np.where(less, mid + 1, lo[k])
+        hi[k] = np.where(less, hi[k], mid)
+    return lo
+
+
 def _ragged(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(r) for r in rows], np.int64)
     return np.fromiter((x for r in rows for x in r), np.int32, int(size.sum())), size
@@ -271,6 +309,36 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)
 
 
+def _with_runs(which: np.ndarray, chunks: list[str], size: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Words split at single spaces -> chunks: empty words, one per further space, become marks of the next word."""
+    empty = next((k for k, c in enumerate(chunks) if c == MARK), -1)
+    gap = which == empty
+    if not gap.any():
+        return which, chunks, size
+    last = np.zeros(len(which), bool)
+    last[np.cumsum(size) - 1] = True
+    text = np.repeat(np.arange(len(size)), size)
+    stays = ~gap | last
+    at = np.flatnonzero(stays)
+    before = np.diff(np.append(-1, at)) - 1
+    odd = np.flatnonzero((before > 0) | gap[at])
+    out = which[at]
+    kinds, new = np.unique(before[odd] * len(chunks) + out[odd], return_inverse=True)
+    out[odd] = len(chunks) + new
+    more = [MARK * int(k // len(chunks)) + chunks[k % len(chunks)] for k in kinds]
+    return out, chunks + more, np.bincount(text[at], minlength=len(size))
+
+
+def _runs(chunks: list[str], size: int) -> Iterator[list[str]]:
+    """The chunks in runs of at most ``size`` characters (one chunk at least), whatever one text holds."""
+    ends = np.cumsum([len(c) + 1 for c in chunks])
+    a = 0
+    while a < len(chunks):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield chunks[a:b]
+        a = b
+
+
 class Encoder:
     """Ids of texts, with the ids of recent chunks remembered."""
 
@@ -283,18 +351,20 @@ class Encoder:
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _chunks(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """(chunk number of every chunk, the chunks, chunks of each text); Arrow splits texts whose spaces are all single."""
+        """(chunk number of every chunk, the chunks, chunks of each text); Arrow splits texts without marks of their own at spaces."""
         n = len(texts)
         plain = np.zeros(n, bool)
         if self.v.prefix and self.v.by_word:
-            odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)), pc.or_(pc.starts_with(texts, " "), pc.equal(texts, "")))
+            odd = pc.or_(pc.match_substring(texts, MARK), pc.equal(texts, ""))
             plain = ~odd.to_numpy(zero_copy_only=False).astype(bool)
         words = pc.split_pattern(texts.filter(pa.array(plain)), " ")
         coded = words.flatten().dictionary_encode()
         chunks = [MARK + w for w in coded.dictionary.to_pylist()]
-        count = np.zeros(n, np.int64)
-        count[plain] = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        which, chunks, size = _with_runs(which, chunks, size)
+        count = np.zeros(n, np.int64)
+        count[plain] = size
         if plain.all():
             return which, chunks, count
         rest = [self.v.chunk.findall(self.v.normalise(t)) if t else [] for t in texts.filter(pa.array(~plain)).to_pylist()]
@@ -313,7 +383,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.forget()
         new = sorted(set(chunks).difference(self.known), key=lambda c: len(c) > TOGETHER)
-        if new:
+        for new in _runs(new, BLOCK):
             flat, size = self.v.encode_chunks(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)

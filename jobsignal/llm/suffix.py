@@ -34,10 +34,13 @@ def _after(rank: np.ndarray, h: int) -> np.ndarray:
     return out
 
 
-def suffix_ranks(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of all suffixes by their first ``depth`` symbols (prefix doubling); equal prefixes share a rank."""
+def suffix_ranks(codes: np.ndarray, depth: int, held: int = 1) -> np.ndarray:
+    """Ranks of all suffixes by their first ``depth`` symbols (prefix doubling); equal prefixes share a rank.
+
+    Each code stands for the ``held`` symbols from its place on, so doubling starts there.
+    """
     n = len(codes)
-    rank, h = dense(codes), 1
+    rank, h = dense(codes), held
     while h < depth and n:
         step = min(h, depth - h)
         rank = dense(rank * (n + 1) + _after(rank, step))
@@ -45,7 +48,7 @@ def suffix_ranks(codes: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(codes: np.ndarray, depth: int, held: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(positions in suffix order, ranks); ties at ``depth`` stand by position."""
-    rank = suffix_ranks(codes, depth)
+    rank = suffix_ranks(codes, depth, held)
     return argsort(rank), rank

@@ -58,3 +58,23 @@ def test_unigram_takes_the_best_path():
 
         assert sum(score[i] for i in ids.tolist()) == pytest.approx(best(0))
         assert "".join(v.text_of[i] for i in ids.tolist()) == full
+
+
+def test_gaps_of_spaces_in_one_batch(lib):
+    texts = ["".join(t) for k in range(6) for t in itertools.product("a b", repeat=k)] + ["é  ", "  é", "▁  a"]
+    ids, n = S.Encoder(S.Vocabulary.load(open(S.MODEL, "rb").read())).encode(pa.array(texts))
+    at = 0
+    for t, k in zip(texts, n.tolist()):
+        assert ids[at:at + k].tolist() == lib.encode(t), t
+        at += k
+
+
+def test_one_text_of_many_blocks(lib, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 2_000)
+    text = " ".join(f"word{i * 7919} naïve{i}  Ünï🙂{i % 977}" for i in range(6_000)) + "tail" * 1_500
+    sizes = []
+    chunks = S.Vocabulary.encode_chunks
+    monkeypatch.setattr(S.Vocabulary, "encode_chunks", lambda self, c: sizes.append(sum(map(len, c))) or chunks(self, c))
+    ids, n = S.Encoder(S.Vocabulary.load(open(S.MODEL, "rb").read())).encode(pa.array([text]))
+    assert ids.tolist() == lib.encode(text) and len(sizes) > 50
+    assert all(s <= 2_000 for s in sizes[:-1])
