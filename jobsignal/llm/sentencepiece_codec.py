@@ -325,8 +325,9 @@ def _with_runs(which: np.ndarray, chunks: list[str], size: np.ndarray) -> tuple[
     out = which[at]
     kinds, new = np.unique(before[odd] * len(chunks) + out[odd], return_inverse=True)
     out[odd] = len(chunks) + new
-    more = [MARK * int(k // len(chunks)) + chunks[k % len(chunks)] for k in kinds]
-    return out, chunks + more, np.bincount(text[at], minlength=len(size))
+    chunks = chunks + [MARK * int(k // len(chunks)) + chunks[k % len(chunks)] for k in kinds]
+    used = np.bincount(out, minlength=len(chunks)) > 0
+    return (np.cumsum(used) - 1)[out], [chunks[k] for k in np.flatnonzero(used)], np.bincount(text[at], minlength=len(size))
 
 
 def _runs(chunks: list[str], size: int) -> Iterator[list[str]]:
@@ -383,7 +384,7 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.forget()
         new = sorted(set(chunks).difference(self.known), key=lambda c: len(c) > TOGETHER)
-        for new in _runs(new, BLOCK):
+        for new in _runs(new, BLOCK // 4):
             flat, size = self.v.encode_chunks(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
