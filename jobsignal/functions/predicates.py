@@ -93,6 +93,22 @@ def valid_classification(family, rtype, seniority, fit, reason, score, confidenc
     )
 
 
+def classification_problem(family, rtype, seniority, fit, reason, score, confidence) -> Column:
+    """what the first failed check says; null where the classification is valid."""
+    names = (("role_family", family, R.ROLE_FAMILIES), ("role_type", rtype, R.ROLE_TYPES),
+             ("seniority", seniority, R.SENIORITIES), ("location_fit", fit, R.LOCATION_FITS))
+    checks = []
+    for name, value, allowed in names:
+        given = X.strip_ws(F.coalesce(value, F.lit("")))
+        checks.append(F.when(~given.isin(*allowed), F.concat(F.lit(f"invalid {name}: "), given)))
+    return F.coalesce(
+        *checks,
+        F.when(F.length(X.strip_ws(F.coalesce(reason, F.lit("")))) == 0, F.lit("missing reason")),
+        F.when(score.isNull(), F.lit("missing relevance_score")), F.when(confidence.isNull(), F.lit("missing confidence")),
+        F.when(~score.between(0, 100), F.lit("relevance_score must be between 0 and 100")),
+        F.when(~confidence.between(0.0, 1.0), F.lit("confidence must be between 0 and 1")))
+
+
 def _in_list(values) -> str:
     return ", ".join(q(v) for v in values)
 
@@ -137,6 +153,19 @@ class sql:  # noqa: N801
     def required_present(*cols: str) -> str:
         return "(" + " AND ".join(f"length({X.sql.clean(c)}) > 0" for c in cols) + ")"
 
+    @staticmethod
+    def classification_problem(family, rtype, seniority, fit, reason, score, confidence) -> str:
+        def given(e):
+            return X.sql.strip_ws(f"coalesce({e}, '')")
+
+        names = (("role_family", family, R.ROLE_FAMILIES), ("role_type", rtype, R.ROLE_TYPES),
+                 ("seniority", seniority, R.SENIORITIES), ("location_fit", fit, R.LOCATION_FITS))
+        return ("(CASE " + " ".join(f"WHEN {given(e)} NOT IN ({_in_list(allowed)}) THEN 'invalid {n}: ' || {given(e)}" for n, e, allowed in names)
+                + f" WHEN length({given(reason)}) = 0 THEN 'missing reason' WHEN {score} IS NULL THEN 'missing relevance_score' "
+                f"WHEN {confidence} IS NULL THEN 'missing confidence' "
+                f"WHEN {score} NOT BETWEEN 0 AND 100 THEN 'relevance_score must be between 0 and 100' "
+                f"WHEN {confidence} NOT BETWEEN 0.0 AND 1.0 THEN 'confidence must be between 0 and 1' END)")
+
     @staticmethod
     def valid_classification(family, rtype, seniority, fit, reason, score, confidence) -> str:
         s = X.sql.strip_ws

@@ -138,6 +138,20 @@ def chunks(messages: DataFrame) -> DataFrame:
         "service", "source", "cycle_ts", (F.col("pos") + 1).cast("long").alias("chunk_no"), "text")
 
 
+def classified_messages(entries: DataFrame, n: int) -> DataFrame:
+    """P17 + T10: one message per (provider, company): the board's header, then its ``n`` best jobs."""
+    board = ["provider", "company"]
+    top = top_n(entries, board, [F.desc("relevance_score"), F.col("doc_id")], n)
+    shown = classified_entry_lines(*[F.col(c) for c in ("relevance_score", "company", "company", "title", "role_type",
+                                                         "seniority", "location_fit", "location", "reason", "url")])
+    of_board = top.select(*board, "rank", shown.alias("ls")).groupBy(*board).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "ls"))).alias("_e"))   # at most n entries
+    body = F.flatten(F.transform("_e", lambda e: e["ls"]))
+    header = alert_header(F.col("provider"), F.col("company"))
+    return of_board.select(F.col("provider").alias("service"), F.col("company").alias("source"),
+                           F.array_join(F.concat(F.array(header), body), "\n").alias("message"))
+
+
 def classified_entry_lines(score: Column, company: Column, source: Column, title: Column, role_type: Column,
                            seniority: Column, fit: Column, location: Column, reason: Column, url: Column) -> Column:
     """The 3-4 lines of one classified job, with the display defaults."""

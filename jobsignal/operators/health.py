@@ -160,6 +160,12 @@ def cycle_rollup(cycles: DataFrame) -> DataFrame:
     )
 
 
+def summary_entries(history: DataFrame) -> DataFrame:
+    """Stored summaries decoded again, one row per (service, cycle, status); a summary that isn't JSON gives no row."""
+    decoded = F.from_json("summary_json", "map<string,bigint>")
+    return history.select("service", F.col("last_cycle_ts").alias("cycle_ts"), F.explode(decoded).alias("status", "boards"))
+
+
 def latest_cycle(history: DataFrame) -> DataFrame:
     """W9 (S11): latest cycle per service."""
     g = history.groupBy("service").agg(F.max_by(F.struct(*[c for c in history.columns if c != "service"]), "last_cycle_ts").alias("_c"))

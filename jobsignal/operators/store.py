@@ -273,6 +273,14 @@ def classify_if_needed(batch: DataFrame, cache: DataFrame, rules: R.Rules = R.DE
     return cached.select(*CLASS_COLUMNS, "cache_hit").unionByName(fresh.select(*CLASS_COLUMNS, "cache_hit"))
 
 
+def split_classifications(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid rows, their reason cut; rejected rows with ``problem``).  Nothing is lost: a row is in one of the two."""
+    judged = rows.withColumn("problem", P.classification_problem(*[F.col(c) for c in (
+        "role_family", "role_type", "seniority", "location_fit", "reason", "relevance_score", "confidence")]))
+    valid = judged.where(F.col("problem").isNull()).drop("problem")
+    return valid.withColumn("reason", F.substring(X.strip_ws(F.col("reason")), 1, R.REASON_LIMIT)), judged.where(F.col("problem").isNotNull())
+
+
 def classification_upsert(state: DataFrame, new: DataFrame) -> DataFrame:
     """One row per (key, hash, model); the new row overwrites every value."""
     tagged = state.select(*CLASS_COLUMNS, F.lit(0).alias("_src")).unionByName(new.select(*CLASS_COLUMNS, F.lit(1).alias("_src")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from jobsignal import rules as R
@@ -241,3 +243,27 @@ def classified_alert_lines(spark, sf):
     lines = F.flatten(F.transform(F.col("_e"), lambda e: e["ls"]))
     header = F.concat(F.lit("["), F.col("company"), F.lit("]"))
     return g.select(F.col("company").alias("source"), F.array_join(F.concat(F.array(header), lines), "\n").alias("message"))
+
+
+@register("deterministic_candidates", ids="F16 F6",
+          sql=lambda: with_views(["v_postings"], f"SELECT doc_id, company FROM v_postings WHERE {MATCH}"))
+def deterministic_candidates(spark, sf):
+    """The alert path where classification is switched off."""
+    return alert_candidates(spark, sf, replace(R.DEFAULT_RULES, classification_enabled=False)).select("doc_id", "company")
+
+
+_BOARD_SQL = _HEADER_SQL.replace("CASE service", "CASE provider").replace("source", "company")
+
+
+@register("classified_board_messages", ids="P17 T10",
+          sql=lambda: with_views(["v_postings"], f"""SELECT provider AS service, company AS source, {_BOARD_SQL} || chr(10) ||
+              string_agg(line, chr(10) ORDER BY rank) AS message FROM (
+                SELECT provider, company, rank, CAST(relevance_score AS VARCHAR) || '/100 | ' || company || ' | ' || title || chr(10) ||
+                       role_type || ' | ' || seniority || ' | ' || location_fit || ' | ' ||
+                       CASE WHEN location = '' THEN 'Unknown location' ELSE location END || chr(10) || 'Why: ' || reason || chr(10) || url AS line
+                FROM (SELECT *, row_number() OVER (PARTITION BY provider, company ORDER BY relevance_score DESC, doc_id) AS rank
+                      FROM ({_CLS()}) c WHERE relevance_score >= {TH}) r WHERE rank <= {R.ALERT_LIMIT_BOARD}) y
+              GROUP BY provider, company"""))
+def classified_board_messages(spark, sf):
+    c = C.classify(v_postings(spark, sf)).withColumn("_ok", F.col("relevance_score") >= TH).where("_ok")
+    return A.classified_messages(c, R.ALERT_LIMIT_BOARD)

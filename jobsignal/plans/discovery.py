@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from jobsignal import rules as R
 from jobsignal.functions import text as X
 from jobsignal.operators import discover as D
 from jobsignal.plans.registry import register
+from jobsignal.session import state_root
 from jobsignal.sources.testdata import table, v_search_hits, with_views
 
 N_QUERIES = 3
@@ -169,3 +172,14 @@ def board_limit(spark, sf):
     for p in ("greenhouse", "lever"):
         out = out.unionByName(D.board_list(lines, p, 10))
     return out
+
+
+@register("known_boards", ids="S6 J5",
+          sql=lambda: with_views(["v_search_hits"], "SELECT DISTINCT platform, base FROM (" + HB + ") h WHERE base IS NOT NULL"))
+def known_boards(spark, sf):
+    """Two harvests append what the known-board table lacks; the table is read back after both."""
+    path = f"{state_root(spark)}/known-boards-{uuid.uuid4().hex}"
+    hits = D.with_slug(_hits(spark, sf)).where(F.col("base").isNotNull())
+    for harvest in (hits.where(F.col("pos") == 0), hits):
+        D.append_boards(D.new_boards(harvest, D.read_known_boards(spark, path)), path)
+    return D.read_known_boards(spark, path)

@@ -320,3 +320,10 @@ def sink_metrics(spark, sf):
 def metric_lines(spark, sf):
     s = sink_metrics(spark, sf)
     return M.lines(s)
+
+
+@register("cycle_summary_entries", ids="X19 A7",
+          sql=lambda: with_views(["v_cycles"], "SELECT service, cycle_ts, status, CAST(sum(n) AS BIGINT) AS boards FROM v_cycles GROUP BY ALL"))
+def cycle_summary_entries(spark, sf):
+    """Decoded from the stored text; the SQL counts the cycles anew."""
+    return H.summary_entries(_history(spark, sf))

@@ -8,6 +8,7 @@ from jobsignal import rules as R
 from jobsignal.functions import predicates as P
 from jobsignal.functions import text as X
 from jobsignal.operators import classify as C
+from jobsignal.operators import store as S
 from jobsignal.plans.registry import register
 from jobsignal.sources.testdata import v_postings, with_views
 
@@ -215,3 +216,43 @@ def posting_url(spark, sf):
     p = _p(spark, sf)
     apply_url = F.when(F.col("doc_id") % 2 == 0, F.col("url"))
     return p.select("doc_id", url_of(F.col("provider"), F.col("company"), F.col("external_job_id"), apply_url).alias("posting_url"))
+
+
+# --- F9: payloads of an outside classifier, some of them damaged ------------------------------------
+
+_PAYLOAD = {  # column -> (doc_id divisor, what stands there instead)
+    "role_family": (23, "wizard"), "role_type": (29, ""), "seniority": (31, " lead "), "location_fit": (37, None),
+    "reason": (19, "  "), "relevance_score": (17, 140), "confidence": (13, -0.5),
+}
+
+
+def classifier_payloads(spark, sf):
+    c = C.classify(_p(spark, sf))
+    damaged = [F.when(F.col("doc_id") % d == 0, F.lit(v)).otherwise(F.col(n)).alias(n) for n, (d, v) in _PAYLOAD.items()]
+    return c.select("doc_id", *damaged)
+
+
+def _payload_sql(body: str) -> str:
+    def literal(v):
+        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+
+    cols = ", ".join(f"CASE WHEN doc_id % {d} = 0 THEN {literal(v)} ELSE {n} END AS {n}" for n, (d, v) in _PAYLOAD.items())
+    return with_views(["v_postings"], body, [("payload", f"SELECT doc_id, {cols} FROM ({C.sql_classify('v_postings')}) c")])
+
+
+_PROBLEM = P.sql.classification_problem("role_family", "role_type", "seniority", "location_fit", "reason", "relevance_score", "confidence")
+
+
+@register("classification_rejects", ids="F9",
+          sql=lambda: _payload_sql(f"SELECT doc_id, problem FROM (SELECT doc_id, {_PROBLEM} AS problem FROM payload) p WHERE problem IS NOT NULL"))
+def classification_rejects(spark, sf):
+    _, rejected = S.split_classifications(classifier_payloads(spark, sf))
+    return rejected.select("doc_id", "problem")
+
+
+@register("accepted_classifications", ids="F9",
+          sql=lambda: _payload_sql(f"SELECT doc_id, role_family, role_type, seniority, location_fit, relevance_score, substring({X.sql.strip_ws('reason')}, 1, {R.REASON_LIMIT}) AS reason "
+                                   f"FROM payload WHERE {_PROBLEM} IS NULL"))
+def accepted_classifications(spark, sf):
+    valid, _ = S.split_classifications(classifier_payloads(spark, sf))
+    return valid.select("doc_id", "role_family", "role_type", "seniority", "location_fit", "relevance_score", "reason")
