@@ -5,8 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobsignal import rules as R
+from jobsignal.functions import text as X
 from jobsignal.functions.text import q
+from jobsignal.operators import health as H
 from jobsignal.operators import metrics as M
+from jobsignal.operators import snapshot as SN
 from jobsignal.plans import alerts as PA
 from jobsignal.plans import health as PH
 from jobsignal.plans import sources as PSRC
@@ -132,6 +136,64 @@ def sink_snapshot_json(spark, sf):
     return doc.select(F.to_json(F.struct(*[F.col(c) for c in doc.columns])).alias("snapshot"))
 
 
+# --- S15 / A20 / A21 in long form: every entry of every section a row -----------------------------------
+
+_JSON = {n: "json_object(" + ", ".join(f"'{f}', {f}" for f in fields) + ")" for n, fields in SN.FIELDS.items()}
+
+
+def _section_sql(name: str, rows: str, part: str, order_1: str, order_2: str, section: str = "") -> str:
+    return (f"SELECT '{section or name}' AS section, {part} AS part, CAST({order_1} AS BIGINT) AS order_1, {order_2} AS order_2, "
+            f"CAST({_JSON[name]} AS VARCHAR) AS row FROM ({rows}) r")
+
+
+def _dashboard_sql() -> str:
+    err = f"SELECT *, {X.sql.format_ts('last_error_ts')} AS last_error_display FROM st WHERE is_error = 1"
+    cycle = f"{X.sql.format_ts('last_cycle_ts')} AS last_cycle_display"
+    return PH.hsql(" UNION ALL ".join([
+        _section_sql("services", f"SELECT *, CAST(summary_json AS JSON) AS summary, {cycle} FROM latest", "service", "0", "''"),
+        *[_section_sql("active_errors", err, "service", "-last_error_ts", "source", s) for s in ("active_errors", "error_groups")],
+        _section_sql("history_by_service", f"SELECT *, {cycle}, {X.sql.short_ts('last_cycle_ts')} AS last_cycle_short FROM win", "service", "last_cycle_ts", "''"),
+        _section_sql("recent_events", f"SELECT *, seq AS id, {X.sql.format_ts('created_ts')} AS created_display FROM "
+                                      f"(SELECT * FROM ev ORDER BY seq DESC LIMIT {R.RECENT_EVENTS}) e", "''", "-seq", "''"),
+        _section_sql("latest_sources", "SELECT * FROM st", "service", "0", "source"),
+    ]), "latest", "st", "win", "ev")
+
+
+@register("dashboard_sections", ids="A21 S15", sql=_dashboard_sql)
+def dashboard_sections(spark, sf):
+    """Six sections of the dashboard document; the seventh is ``intelligence_sections``."""
+    status = PH._status(spark, sf)
+    cycles = PH._history(spark, sf)
+    return SN.union([SN.services(H.latest_cycle(cycles)), SN.active_errors(H.active_errors(status)), SN.history(H.history_window(cycles)),
+                     SN.recent_events(QUERIES["recent_events"].build(spark, sf)), SN.latest_sources(status)])
+
+
+def _intelligence_sql() -> str:
+    def total(name: str, rows: str) -> str:
+        return f"SELECT 'intelligence' AS section, '{name}' AS part, CAST(0 AS BIGINT) AS order_1, '' AS order_2, CAST(({rows}) AS VARCHAR) AS row"
+
+    def labels(label: str) -> str:
+        return (f"SELECT 'intelligence', '{label}_distribution', CAST(-n AS BIGINT), {label}, CAST(json_object('{label}', {label}, 'count', n) AS VARCHAR) "
+                f"FROM (SELECT {label}, count(*) AS n FROM cur GROUP BY {label}) d")
+
+    top = (f"SELECT provider, company, title, job_location AS location, url, role_type, seniority, location_fit, relevance_score, confidence, reason, "
+           f"classified_ts FROM cur WHERE relevance_score >= {PS.TH} ORDER BY classified_ts DESC, relevance_score DESC, provider, external_job_id "
+           f"LIMIT {R.LATEST_HIGH_RELEVANCE}")
+    body = " UNION ALL ".join([
+        total("total_jobs", "SELECT count(*) FROM jobs"),
+        total("classified_jobs", "SELECT count(*) FROM (SELECT DISTINCT provider, external_job_id FROM cls) d"),
+        total("high_relevance_jobs", f"SELECT count(*) FROM cur WHERE relevance_score >= {PS.TH}"),
+        _section_sql("latest_high_relevance_jobs", top, "'latest_high_relevance_jobs'", "-classified_ts",
+                     "lpad(CAST(100 - relevance_score AS VARCHAR), 3, '0') || provider", "intelligence"),
+        labels("role_type"), labels("seniority")])
+    return with_views(["v_versions"], body, [*PS.store_ctes(with_cls=True), ("cur", PS._CUR)])
+
+
+@register("intelligence_sections", ids="A20 A21 S15", sql=_intelligence_sql)
+def intelligence_sections(spark, sf):
+    return SN.intelligence(PS._classifications(spark, sf), PS._current(spark, sf), PS._jobs(spark, sf), PS.TH, R.LATEST_HIGH_RELEVANCE)
+
+
 # --- R3: classify new/changed content inside the stream ------------------------------------------------
 
 
