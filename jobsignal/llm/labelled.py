@@ -18,7 +18,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int,
     """(text, label) of at most ``per_class[c]`` labelled rows of each class c, chosen by a hash of the id.
 
     A document labelled twice counts with its larger label; null labels teach
-    nothing.  The row bound times ``LONGEST_TAUGHT`` bounds what the driver gets.
+    nothing; of several texts under one id the one with the smallest hash teaches,
+    however the rows are split.  The row bound times ``LONGEST_TAUGHT`` bounds what the driver gets.
     """
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(~held_out())
              .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
@@ -27,5 +28,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int,
         part = known.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         ids = part if ids is None else ids.union(part)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text").between(1, LONGEST_TAUGHT))
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect()
+    hashed = F.struct(F.xxhash64("text"), "text")
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", hashed).alias("text")).collect()
     return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
