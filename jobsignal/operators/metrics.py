@@ -1,8 +1,8 @@
 """Metric samples and exposition lines.
 
 Samples are long-form rows ``(metric, labels, value, value_text)``; ``labels``
-is the rendered, key-sorted label text.  Every section is a projection or a
-small aggregate of the health tables, unioned — no driver-side loops.
+is the rendered, key-sorted label text.  A scrape reads each health table once:
+samples of one row are stacked, coarser grains are grouping sets.
 """
 
 from __future__ import annotations
@@ -47,60 +47,82 @@ def labels_text(pairs: list[tuple[str, Column]]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def _sample(df: DataFrame, name: str, labels: list[tuple[str, Column]], value: Column, integral: bool = True) -> DataFrame:
+def _sample(name: str, labels: list[tuple[str, Column]], value: Column, integral: bool = True, when: Column | None = None) -> Column:
+    """One sample as a struct; where ``when`` doesn't hold its metric is null and ``_stack`` leaves it out."""
     text = value.cast("long").cast("string") if integral else value.cast("double").cast("string")
-    return df.select(F.lit(PREFIX + name).alias("metric"), labels_text(labels).alias("labels"),
-                     value.cast("double").alias("value"), text.alias("value_text"))
+    metric = F.lit(PREFIX + name)
+    return F.struct((metric if when is None else F.when(when, metric)).alias("metric"), labels_text(labels).alias("labels"),
+                    value.cast("double").alias("value"), text.alias("value_text"))
 
 
-def source_samples(status: DataFrame) -> DataFrame:
-    """Per-source gauges; the last-error gauge only when a last error exists."""
+def _stack(df: DataFrame, samples: Column) -> DataFrame:
+    """The samples of every row below each other: one pass over ``df``, whatever their number."""
+    return df.select(F.inline(F.filter(samples, lambda s: s["metric"].isNotNull())))
+
+
+def _board_samples(when: Column | None = None) -> list[Column]:
     lab = [("service", F.col("service")), ("source", F.col("source")), ("status", F.col("status"))]
-    parts = [
-        _sample(status, "source_error_state", lab, F.col("is_error")),
-        _sample(status, "source_consecutive_errors", lab, F.coalesce(F.col("consecutive_errors"), F.lit(0))),
-        _sample(status, "source_last_checked_timestamp_seconds", lab, F.coalesce(F.col("last_checked_ts"), F.lit(0))),
-        _sample(status.where(F.coalesce(F.col("last_error_ts"), F.lit(0)) != 0), "source_last_error_timestamp_seconds",
-                lab, F.col("last_error_ts")),
+    once = F.coalesce(F.col("last_error_ts"), F.lit(0)) != 0
+    return [
+        _sample("source_error_state", lab, F.col("is_error"), when=when),
+        _sample("source_consecutive_errors", lab, F.coalesce(F.col("consecutive_errors"), F.lit(0)), when=when),
+        _sample("source_last_checked_timestamp_seconds", lab, F.coalesce(F.col("last_checked_ts"), F.lit(0)), when=when),
+        _sample("source_last_error_timestamp_seconds", lab, F.col("last_error_ts"), when=once if when is None else when & once),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
 
-def all_samples(status: DataFrame, latest: DataFrame, cycles: DataFrame, retained_events: DataFrame,
-                log: DataFrame) -> DataFrame:
-    """Every sample of one scrape.  The scrape time is the newest check in the data."""
-    one = log.agg(F.max("checked_ts").alias("ts"))
+def source_samples(status: DataFrame) -> DataFrame:
+    """Per-source gauges; the last-error gauge only when a last error exists."""
+    return _stack(status, F.array(*_board_samples()))
+
+
+def status_samples(status: DataFrame) -> DataFrame:
+    """Samples of boards, services and the scrape (its time is the newest check): the three grains are
+    grouping sets of one aggregate, so ``status`` is computed once and only its partial sums of the
+    coarse grains travel.  A row that counts nothing keeps the scrape's samples where there is no board."""
+    nothing = status.sparkSession.range(1).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in status.schema if f.name not in ("is_error", "_real")], F.lit(0).alias("is_error"), F.lit(0).alias("_real"))
+    rows = status.withColumn("_real", F.lit(1)).unionByName(nothing)
+    keys = [F.col("service"), F.col("source"), F.col("status")]
+    grains = rows.groupingSets([keys, keys[:1], []], *keys).agg(
+        F.grouping_id().alias("_grain"), F.sum("_real").alias("_boards"), F.sum("is_error").alias("is_error"),
+        *[F.max(c).alias(c) for c in ("consecutive_errors", "last_checked_ts", "last_error_ts")])
+    some = F.col("_boards") > 0
+    board, service, scrape = (F.col("_grain") == 0) & some, (F.col("_grain") == 3) & some, F.col("_grain") == 7
     svc = [("service", F.col("service"))]
-    ratio = status.groupBy("service").agg(F.count(F.lit(1)).alias("total"), F.sum("is_error").alias("errors"))
-    latest_src = cycles.join(latest.select("service", F.col("last_cycle_ts").alias("cycle_ts")), ["service", "cycle_ts"]) \
-        .groupBy("service", "status").agg(F.sum("n").alias("n"))
-    err = P.is_error_status(F.col("status"))
-    split = latest_src.groupBy("service").agg(
-        F.sum(F.when(err, F.col("n")).otherwise(0)).alias("e"), F.sum(F.when(~err, F.col("n")).otherwise(0)).alias("o"))
-    rec = retained_events.where(F.col("is_error") == 1).groupBy("service", "status").agg(F.count(F.lit(1)).alias("n"))
-    parts = [
-        _sample(one, "exporter_up", [], F.lit(1)),
-        _sample(one, "status_db_last_scrape_timestamp_seconds", [], F.col("ts")),
-        _sample(one, "status_db_readable", [], F.lit(1)),
-        _sample(ratio, "sources_total", svc, F.col("total")),
-        _sample(ratio, "source_errors", svc, F.col("errors")),
-        _sample(ratio, "source_error_ratio", svc, F.col("errors") / F.col("total"), integral=False),
-        source_samples(status),
-        _sample(latest, "service_cycle_duration_seconds", svc, F.coalesce(F.col("cycle_duration_ms"), F.lit(0)) / 1000, integral=False),
-        _sample(latest, "service_last_cycle_timestamp_seconds", svc, F.coalesce(F.col("last_cycle_ts"), F.lit(0))),
-        _sample(latest, "service_cycle_status", svc + [("status", F.col("status"))], F.lit(1)),
-        _sample(latest_src, "service_cycle_sources", svc + [("source_status", F.col("status"))], F.col("n")),
-        _sample(split, "service_cycle_error_sources", svc, F.col("e")),
-        _sample(split, "service_cycle_ok_sources", svc, F.col("o")),
-        _sample(rec, "recent_error_events", svc + [("status", F.col("status"))], F.col("n")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _stack(grains, F.array(
+        _sample("exporter_up", [], F.lit(1), when=scrape),
+        _sample("status_db_last_scrape_timestamp_seconds", [], F.col("last_checked_ts"), when=scrape),
+        _sample("status_db_readable", [], F.lit(1), when=scrape),
+        _sample("sources_total", svc, F.col("_boards"), when=service),
+        _sample("source_errors", svc, F.col("is_error"), when=service),
+        _sample("source_error_ratio", svc, F.try_divide(F.col("is_error"), F.col("_boards")), integral=False, when=service),
+        *_board_samples(board)))
+
+
+def cycle_samples(latest: DataFrame) -> DataFrame:
+    """Samples of each service's latest cycle; those by status are decoded from its stored summary."""
+    svc = [("service", F.col("service"))]
+    own = F.array(
+        _sample("service_cycle_duration_seconds", svc, F.coalesce(F.col("cycle_duration_ms"), F.lit(0)) / 1000, integral=False),
+        _sample("service_last_cycle_timestamp_seconds", svc, F.coalesce(F.col("last_cycle_ts"), F.lit(0))),
+        _sample("service_cycle_status", svc + [("status", F.col("status"))], F.lit(1)),
+        _sample("service_cycle_error_sources", svc, F.col("error_count")),
+        _sample("service_cycle_ok_sources", svc, F.col("ok_count")))
+    summary = F.map_entries(F.from_json("summary_json", "map<string,bigint>"))
+    by_status = F.transform(summary, lambda e: _sample("service_cycle_sources", svc + [("source_status", e["key"])], e["value"]))
+    return _stack(latest, F.concat(own, F.coalesce(by_status, F.filter(own, lambda s: F.lit(False)))))
+
+
+def event_samples(retained_events: DataFrame) -> DataFrame:
+    """Retained error events by service and status."""
+    g = retained_events.where(F.col("is_error") == 1).groupBy("service", "status").agg(F.count(F.lit(1)).alias("n"))
+    return _stack(g, F.array(_sample("recent_error_events", [("service", F.col("service")), ("status", F.col("status"))], F.col("n"))))
+
+
+def all_samples(status: DataFrame, latest: DataFrame, retained_events: DataFrame) -> DataFrame:
+    """Every sample of one scrape; each of the three inputs is computed once."""
+    return status_samples(status).unionByName(cycle_samples(latest)).unionByName(event_samples(retained_events))
 
 
 def lines(samples: DataFrame) -> DataFrame:

@@ -311,8 +311,8 @@ def source_metrics(spark, sf):
 @register("sink_metrics", ids="S16 X17 X18 A6 A10 A11 A24 P18",
           sql=lambda: hsql(M.sql_all_samples(), "st", "latest", "retained"))
 def sink_metrics(spark, sf):
-    return M.all_samples(_status(spark, sf), H.latest_cycle(_history(spark, sf)), v_cycles(spark, sf),
-                         H.newest(_events(spark, sf), R.EVENT_RETENTION, F.desc("seq")), _log(spark, sf))
+    return M.all_samples(_status(spark, sf), H.latest_cycle(_history(spark, sf)),
+                         H.newest(_events(spark, sf), R.EVENT_RETENTION, F.desc("seq")))
 
 
 @register("metric_lines", ids="X17",
