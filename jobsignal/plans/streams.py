@@ -16,6 +16,7 @@ from jobsignal.sources import landed as L
 from jobsignal.sources.testdata import v_status_log, with_views
 from jobsignal.streaming import ingest as I
 from jobsignal.streaming import pipeline as SP
+from jobsignal.streaming import windows as SW
 
 YEAR_CUTS = [820454400, 852076800, 883612800, 915148800, 946684800]   # 1996..2000-01-01
 WEEK_CUTS = [1704067200 + k * 7 * 86400 for k in (1, 2, 3, 4)]        # weekly, January 2024
@@ -57,6 +58,12 @@ def stream_source_events(spark, sf):
     return events
 
 
+@register("stream_event_retention", ids="R6 T8", sql=lambda: QUERIES["event_retention"].oracle())
+def stream_event_retention(spark, sf):
+    """The newest events as the stream leaves them."""
+    return SP.health_state(spark, v_status_log(spark, sf), WEEK_CUTS).read("retained")
+
+
 @register("stream_first_alerts", ids="R4 W12",
           sql=lambda: PA.asql("SELECT service, source, external_job_id, first_alert_ts, seq, title FROM fa", "fa"))
 def stream_first_alerts(spark, sf):
@@ -147,3 +154,42 @@ def stream_cycle_history(spark, sf):
     late = (F.col("checked_ts") < WEEK_CUTS[0]) & (F.col("seq") % 50 == 0)
     history = SP.cycle_history_stream(spark, log.where(~late), WEEK_CUTS, log.where(late))
     return history.select("service", "last_cycle_ts", "status")
+
+
+# --- R9/R4: watermark and TTL -------------------------------------------------------------------
+
+DAY = 86400
+
+
+def _late_polls():
+    """Every 50th poll of the first week, landing after all others."""
+    return (F.col("checked_ts") < WEEK_CUTS[0]) & (F.col("seq") % 50 == 0)
+
+
+_LATE_SQL = f"checked_ts < {WEEK_CUTS[0]} AND seq % 50 = 0"
+_CLOSED_SQL = f"(SELECT max(checked_ts) FROM v_status_log WHERE NOT ({_LATE_SQL})) - {DAY}"
+
+
+@register("stream_poll_windows", ids="R9", sql=lambda: with_views(["v_status_log"], f"""SELECT service, status, checked_ts - checked_ts % 3600 AS window_start, count(*) AS polls
+    FROM v_status_log WHERE NOT ({_LATE_SQL}) AND checked_ts - checked_ts % 3600 + 3600 <= {_CLOSED_SQL} GROUP BY ALL"""))
+def stream_poll_windows(spark, sf):
+    """Polls per service, status and closed hour; what comes behind the watermark of a day changes nothing."""
+    log = v_status_log(spark, sf)
+    return SW.poll_windows_stream(spark, log.where(~_late_polls()), WEEK_CUTS, log.where(_late_polls()))[0]
+
+
+@register("stream_late_polls", ids="R9", sql=lambda: with_views(["v_status_log"], f"""SELECT seq, service, source, checked_ts, {len(WEEK_CUTS) + 1} AS batch
+    FROM v_status_log WHERE {_LATE_SQL} AND checked_ts - checked_ts % 3600 + 3600 <= {_CLOSED_SQL}"""))
+def stream_late_polls(spark, sf):
+    """The polls behind the watermark, with the micro-batch that brought them."""
+    log = v_status_log(spark, sf)
+    late = SW.poll_windows_stream(spark, log.where(~_late_polls()), WEEK_CUTS, log.where(_late_polls()))[1]
+    return late.select("seq", "service", "source", "checked_ts", "batch")
+
+
+@register("stream_alerts_ttl", ids="R4 W12",
+          sql=lambda: PA.asql("SELECT service, source, external_job_id, first_alert_ts, seq, title FROM fa", "fa"))
+def stream_alerts_ttl(spark, sf):
+    """Alerts once per ten years, longer than the tables reach, so as if once for ever."""
+    out = SW.alerts_ttl_stream(spark, PA.observations(spark, sf), YEAR_CUTS, 3650 * DAY)
+    return out.select("service", "source", "external_job_id", "first_alert_ts", "seq", "title")

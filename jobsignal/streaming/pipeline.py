@@ -43,8 +43,8 @@ def land_slices(df: DataFrame, landing: str, ts: str, cuts: list[int]) -> None:
         part.write.mode("overwrite").parquet(f"{landing}/slice={i:04d}")
 
 
-def _run(spark: SparkSession, schema, landing: str, chk: str, fn) -> None:
-    """One micro-batch per landed slice, in the slices' order: the file source lists what
+def _run(spark: SparkSession, schema, landing: str, chk: str, fn, plan=lambda rows: rows) -> None:
+    """``fn`` on the micro-batches of ``plan``, one per landed slice, in the slices' order: the file source lists what
     has landed up to a slice, skips what its checkpoint has already taken, and takes the
     rest of the slice's files together."""
     fs, p = _fs(spark, landing)
@@ -52,7 +52,7 @@ def _run(spark: SparkSession, schema, landing: str, chk: str, fn) -> None:
     for k in range(len(names)):
         upto = "{" + ",".join(names[: k + 1]) + "}"
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{landing}/{upto}")
-        q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", chk)
+        q = (plan(stream).writeStream.foreachBatch(fn).option("checkpointLocation", chk)
              .trigger(availableNow=True).start())
         q.awaitTermination()
 
@@ -136,22 +136,35 @@ def events_with_state(state: DataFrame | None, batch: DataFrame) -> DataFrame:
     return H.change_events(both).where(F.col("seq") != -1)
 
 
-def health_stream(spark: SparkSession, log: DataFrame, cuts: list[int], root: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Status table and change-event log maintained over micro-batches; returns both."""
+def health_state(spark: SparkSession, log: DataFrame, cuts: list[int], root: str | None = None, keep: int = R.EVENT_RETENTION) -> State:
+    """Tables ``status``, ``events`` (all changes) and ``retained`` (the newest ``keep`` of
+    them, T8) maintained over micro-batches.  Newest by seq is a top-N of top-Ns, so any split into
+    batches keeps the same events and a batch reads ``keep`` rows, not the log."""
     root = root or _scratch(spark, "health")
     landing = f"{root}/landing"
     land_slices(log, landing, "checked_ts", cuts)
-    state = State(spark, root, {"status": H.BOARD})
+    state = State(spark, root, {"status": H.BOARD, "retained": ["seq"]})
+    every = list(range(state.buckets))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         if b := state.begin(batch_id):
             touched = b.touched("status", batch)
             before = b.read("status", touched)
-            b.append("events", events_with_state(before, batch))
+            events = b.stage("new-events", events_with_state(before, batch))
+            b.append("events", events)
+            kept = b.read("retained", every)
+            newest = H.newest(events, keep, F.desc("seq"))
+            b.write("retained", newest if kept is None else H.newest(kept.select(*events.columns).unionByName(newest), keep, F.desc("seq")), every)
             b.write("status", merge_status(before, batch), touched)
             b.commit()
 
     _run(spark, log.schema, landing, f"{root}/chk", apply)
+    return state
+
+
+def health_stream(spark: SparkSession, log: DataFrame, cuts: list[int], root: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Status table and change-event log after the whole stream."""
+    state = health_state(spark, log, cuts, root)
     return state.read("status"), state.read("events")
 
 
