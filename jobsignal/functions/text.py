@@ -70,19 +70,63 @@ def truncate(c: Column, n: int) -> Column:
     return F.substring(F.coalesce(c.cast("string"), F.lit("")), 1, n)
 
 
+#: Characters that stand for themselves in a JSON string of plain ASCII; the rest is escaped one by one.
+JSON_PLAIN = r" !#-\[\]-~"
+
+
+def _unicode_escape(ch: Column) -> Column:
+    """JSON escape of one character; beyond U+FFFF the pair of surrogates."""
+    n = F.ascii(ch)
+    high = F.lit(0xD800) + F.shiftright(n - 0x10000, 10)
+    low = F.lit(0xDC00) + (n - 0x10000).bitwiseAND(F.lit(0x3FF))
+    return F.when(n < 0x10000, F.format_string("\\u%04x", n)).otherwise(F.format_string("\\u%04x\\u%04x", high, low))
+
+
+def json_string(c: Column) -> Column:
+    """A text as JSON string of plain ASCII; only texts that need escapes are taken apart."""
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def escape(t: Column) -> Column:
+        out = F.when(t.rlike(f"^[{JSON_PLAIN}]"), t)
+        for k, v in short.items():
+            out = out.when(t == F.lit(k), F.lit(v))
+        return out.otherwise(_unicode_escape(t))
+
+    parts = F.regexp_extract_all(c, F.lit(f"([{JSON_PLAIN}]+|[^{JSON_PLAIN}])"), F.lit(1))
+    body = F.when(c.rlike(f"[^{JSON_PLAIN}]"), F.array_join(F.transform(parts, escape), "")).otherwise(c)
+    return F.concat(F.lit('"'), body, F.lit('"'))
+
+
+def canonical_json(compact: Column) -> Column:
+    """Compact JSON with sorted keys (``to_json`` of a VARIANT) as plain ASCII with ``", "`` and ``": "``.
+
+    Escaped backslashes and quotes become U+0001 and U+0002, which no JSON text holds, so
+    splitting at quotes gives structure and string contents in turn, at any depth.  Numbers
+    stay as VARIANT writes them; keys are in VARIANT's order (UTF-16).  Null stays null."""
+    marked = F.replace(F.replace(compact, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+
+    def escape(t: Column) -> Column:
+        return (F.when(t.rlike(r"^\\u"), F.lower(t)).when(t.rlike("^[ -~\x01\x02]"), t).otherwise(_unicode_escape(t)))
+
+    def content(x: Column) -> Column:
+        parts = F.regexp_extract_all(x, F.lit("(\\\\u[0-9A-Fa-f]{4}|\\\\[^u]|[ -\\[\\]-~\x01\x02]+|[^ -~\x01\x02])"), F.lit(1))
+        return F.when(x.rlike("[^ -~\x01\x02]|\\\\u"), F.array_join(F.transform(parts, escape), "")).otherwise(x)
+
+    def piece(x: Column, i: Column) -> Column:
+        return F.when(i % 2 == 0, F.replace(F.replace(x, F.lit(","), F.lit(", ")), F.lit(":"), F.lit(": "))).otherwise(content(x))
+
+    text = F.array_join(F.transform(F.split(marked, '"', -1), piece), '"')
+    return F.replace(F.replace(text, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+
+
 def content_hash(company: Column, title: Column, location: Column, url: Column, description: Column, cleaned: bool = False) -> Column:
-    """SHA-256 of the compact JSON object with sorted keys (``cleaned``: the fields are clean already)."""
+    """SHA-256 of the compact ASCII JSON object with sorted keys (``cleaned``: the fields are clean already)."""
     fix = (lambda c: c) if cleaned else clean
-    blob = F.to_json(
-        F.struct(
-            fix(company).alias("company"),
-            fix(description).alias("description"),
-            fix(location).alias("location"),
-            fix(title).alias("title"),
-            fix(url).alias("url"),
-        )
-    )
-    return F.sha2(blob, 256)
+    fields = {"company": company, "description": description, "location": location, "title": title, "url": url}
+    parts = []
+    for k, v in fields.items():
+        parts += [F.lit(("," if parts else "{") + f'"{k}":'), json_string(fix(v))]
+    return F.sha2(F.concat(*parts, F.lit("}")), 256)
 
 
 def work_type(c: Column) -> Column:
@@ -285,13 +329,22 @@ class sql:  # noqa: N801 - namespace
     def truncate(e: str, n: int) -> str:
         return f"substring(coalesce(CAST({e} AS VARCHAR), ''), 1, {n})"
 
+    @staticmethod
+    def json_string(e: str) -> str:
+        escaped = " ".join(f"WHEN {k} THEN '{v}'" for k, v in (("'\"'", '\\"'), ("'\\'", "\\\\"), ("chr(10)", "\\n"), ("chr(13)", "\\r"),
+                                                               ("chr(9)", "\\t"), ("chr(8)", "\\b"), ("chr(12)", "\\f")))
+        code = (f"CASE WHEN unicode(t) < 65536 THEN printf('\\u%04x', unicode(t)) "
+                f"ELSE printf('\\u%04x\\u%04x', 55296 + (unicode(t) - 65536) // 1024, 56320 + (unicode(t) - 65536) % 1024) END")
+        token = f"CASE WHEN regexp_matches(t, '^[{JSON_PLAIN}]') THEN t ELSE CASE t {escaped} ELSE {code} END END"
+        parts = f"regexp_extract_all({e}, '[{JSON_PLAIN}]+|[^{JSON_PLAIN}]')"
+        return (f"""('"' || CASE WHEN regexp_matches({e}, '[^{JSON_PLAIN}]') THEN array_to_string(list_transform({parts}, lambda t: {token}), '') """
+                f"""ELSE {e} END || '"')""")
+
     @staticmethod
     def content_hash(company: str, title: str, location: str, url: str, description: str) -> str:
-        obj = (
-            f"json_object('company', {sql.clean(company)}, 'description', {sql.clean(description)}, "
-            f"'location', {sql.clean(location)}, 'title', {sql.clean(title)}, 'url', {sql.clean(url)})"
-        )
-        return f"sha256(CAST({obj} AS VARCHAR))"
+        fields = {"company": company, "description": description, "location": location, "title": title, "url": url}
+        parts = [f"""'"{k}":' || {sql.json_string(sql.clean(v))}""" for k, v in fields.items()]
+        return "sha256('{' || " + " || ',' || ".join(parts) + " || '}')"
 
     @staticmethod
     def work_type(e: str) -> str:

@@ -216,3 +216,41 @@ def strip_html(spark, sf):
           sql=lambda: with_views(["v_html"], "SELECT page_id, " + S.join_text("string_split(html, '<')", " | ") + " AS joined FROM v_html"))
 def join_text(spark, sf):
     return v_html(spark, sf).select("page_id", X.join_text(F.split(F.col("html"), "<", -1), " | ").alias("joined"))
+
+
+# --- X20: landed postings in canonical form ---------------------------------------------------
+
+
+def _members(*members: tuple[str, str]) -> str:
+    """JSON object of (key, rendered value or NULL), keys given in order."""
+    return "'{' || concat_ws(', ', " + ", ".join(f"""'"{k}": ' || {v}""" for k, v in members) + ") || '}'"
+
+
+def _canonical_sql() -> str:
+    js, num = X.sql.json_string, "CAST(doc_id{} AS VARCHAR)".format
+    link = f"CASE WHEN doc_id % 4 <> 0 THEN {js('url')} END"
+    place = _members(("name", js("location")))
+    dept = "'[' || " + _members(("name", js("('Dept ' || CAST(doc_id % 3 AS VARCHAR))"))) + " || ']'"
+    office = "'[' || " + _members(("name", js("('Office ' || company)"))) + " || ']'"
+    greenhouse = _members(("absolute_url", link), ("content", js("('<p>' || description || '</p>')")),
+                          ("departments", dept), ("id", num("")),
+                          ("location", f"CASE WHEN doc_id % 2 = 0 THEN {place} ELSE {js('location')} END"),
+                          ("offices", office),
+                          ("title", js("title")), ("updated_at", js("('u' || CAST(doc_id AS VARCHAR))")))
+    lever = _members(("applyUrl", link),
+                     ("categories", _members(("commitment", js("'Full-time'")), ("location", js("location")), ("team", js("('Team ' || CAST(doc_id % 5 AS VARCHAR))")))),
+                     ("descriptionPlain", js("description")), ("id", js("('L' || CAST(doc_id AS VARCHAR))")),
+                     ("lists", "'[' || " + _members(("content", js("('<li>' || title || '</li>')")), ("text", js("'Requirements'"))) + " || ']'"),
+                     ("text", js("title")), ("updatedAt", num(" * 1000")), ("workplaceType", js(f"({WT})")))
+    ashby = _members(("descriptionPlain", js("description")), ("employmentType", js("'FullTime'")), ("id", js("('A' || CAST(doc_id AS VARCHAR))")),
+                     ("locationName", js("location")), ("title", js("title")),
+                     ("workplaceType", js("(CASE doc_id % 4 WHEN 0 THEN 'Remote' WHEN 1 THEN 'OnSite' END)")))
+    return (f"SELECT seq, pos, provider AS service, company AS source, CASE provider WHEN 'greenhouse' THEN {greenhouse} "
+            f"WHEN 'lever' THEN {lever} ELSE {ashby} END AS raw_json FROM okp")
+
+
+@register("canonical_json", ids="X20", sql=lambda: psql(_canonical_sql()))
+def canonical_json(spark, sf):
+    """Every landed posting as it is stored: whole member, sorted keys, plain ASCII."""
+    return L.explode_postings(L.landed_responses(spark, sf)).select(
+        "seq", "pos", "service", "source", X.canonical_json(F.to_json("p")).alias("raw_json"))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from jobsignal import rules as R
 from jobsignal.functions import predicates as P
+from jobsignal.functions import text as X
 from jobsignal.operators import alerts as A
 from jobsignal.operators import classify as C
 from jobsignal.operators import normalize as N
@@ -102,7 +103,7 @@ def ingest_batch(b: Batch, responses: DataFrame, rules: R.Rules = R.DEFAULT_RULE
     postings = b.stage("postings", N.normalize(parsed).select("*", order))
     matches = b.stage("matches", N.posting_matches(parsed).select("*", order))
     versions = A.response_dedupe(postings.withColumn("service", F.col("provider")), ["seq"], "pos").select(
-        F.col("order").alias("seq"), *S.KEY, *S.ATTRS, F.col("raw").alias("raw_json"), F.col("fetched_ts").alias("observed_ts"))
+        F.col("order").alias("seq"), *S.KEY, *S.ATTRS, X.canonical_json(F.col("raw")).alias("raw_json"), F.col("fetched_ts").alias("observed_ts"))
     accepted, rejected = S.split_required(versions)
     b.append("rejects", rejected)
     touched = upsert_jobs(b, accepted, rules)
