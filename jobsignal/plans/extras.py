@@ -191,7 +191,8 @@ def _intelligence_sql() -> str:
 
 @register("intelligence_sections", ids="A20 A21 S15", sql=_intelligence_sql)
 def intelligence_sections(spark, sf):
-    return SN.intelligence(PS._classifications(spark, sf), PS._current(spark, sf), PS._jobs(spark, sf), PS.TH, R.LATEST_HIGH_RELEVANCE)
+    current, jobs = PS._current(spark, sf)
+    return SN.intelligence(PS._classifications(spark, sf), PS._saved(current), jobs, PS.TH, R.LATEST_HIGH_RELEVANCE)
 
 
 # --- R3: classify new/changed content inside the stream ------------------------------------------------
