@@ -140,11 +140,11 @@ def poll_status(resp: DataFrame) -> DataFrame:
                     F.when(F.col("v").isNotNull(), fingerprint(svc, F.col("v"))).alias("fingerprint"), "etag", "last_modified")
 
 
-def board_parts(resp: DataFrame) -> DataFrame:
-    """J6 of these responses alone: ``_s`` is the poll state of the last successful one (null without one).
+def board_parts(status: DataFrame) -> DataFrame:
+    """J6 of the responses of these outcomes (:func:`poll_status`): ``_s`` is the poll state of the last successful one (null without one).
 
     A lost task (R12) has saved nothing, so it moves nothing."""
-    s = poll_status(resp).where(~F.col("status").startswith(TASK_LOST))
+    s = status.where(~F.col("status").startswith(TASK_LOST))
     ok = F.col("status") == "ok"
     return s.groupBy("service", "source").agg(
         F.max_by(F.struct("etag", "last_modified", "fingerprint"), F.when(ok, F.col("seq"))).alias("_s"),
@@ -159,7 +159,7 @@ def board_columns(parts: DataFrame) -> DataFrame:
 def board_state(resp: DataFrame) -> DataFrame:
     """Per board, the last successful response sets etag/last_modified/fingerprint
     (null included); any outcome moves last_seen_ts."""
-    return board_columns(board_parts(resp))
+    return board_columns(board_parts(poll_status(resp)))
 
 
 def skip_unchanged(resp: DataFrame) -> DataFrame:

@@ -51,6 +51,8 @@ def upsert_jobs(b: Batch, versions: DataFrame, rules: R.Rules = R.DEFAULT_RULES)
     jobs = b.read("jobs", touched)
     now, late = split_late(versions, jobs)
     if late is not None:
+        tagged = b.stage("dealt", now.withColumn("_late", F.lit(False)).unionByName(late.withColumn("_late", F.lit(True))))
+        now, late = (tagged.where(F.col("_late") == x).drop("_late") for x in (False, True))
         b.append("late", late)
     b.write("jobs", S.upsert(now, jobs, rules), touched)
     return touched
@@ -59,15 +61,14 @@ def upsert_jobs(b: Batch, versions: DataFrame, rules: R.Rules = R.DEFAULT_RULES)
 def classify_new(b: Batch, versions: DataFrame, touched: list[int], rules: R.Rules = R.DEFAULT_RULES) -> None:
     """Contents of the batch, and of the stored jobs in its buckets, that this model has not classified."""
     keys = S.KEY + ["content_hash"]
-    rows = S.with_hash(versions).select(*keys, *S.ATTRS, F.col("observed_ts").alias("ts"), "seq")
+    rows = S.with_hash(versions).select(*keys, *S.ATTRS, F.col("observed_ts").alias("ts"))
     jobs = b.read("jobs", touched)
     if jobs is not None:
-        rows = rows.unionByName(jobs.select(*keys, *S.ATTRS, F.col("last_seen_ts").alias("ts"), F.lit(-1).cast("long").alias("seq")))
-    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*S.ATTRS, "ts"), F.struct("ts", "seq")).alias("_a"))
-    flat = first.select(*keys, *[F.col(f"_a.{c}").alias(c) for c in S.ATTRS], F.col("_a.ts").alias("classified_ts"))
+        rows = rows.unionByName(jobs.select(*keys, *S.ATTRS, F.col("last_seen_ts").alias("ts")))
     done = b.read("classifications", touched)
-    if done is not None:
-        flat = flat.join(done.where(F.col("model") == rules.model).select(*keys), keys, "left_anti")
+    if done is not None:  # before anything wide is grouped
+        rows = rows.join(done.where(F.col("model") == rules.model).select(*keys), keys, "left_anti")
+    flat = rows.groupBy(*keys, *S.ATTRS).agg(F.min("ts").alias("classified_ts"))  # rows of one hash hold the same fields
     rows = S.to_classification_rows(C.classify(flat, rules), rules)
     valid = P.valid_classification(*[F.col(c) for c in ("role_family", "role_type", "seniority", "location_fit", "reason", "relevance_score", "confidence")])
     b.write("classifications", union([rows.where(valid), done]), touched)
@@ -85,10 +86,10 @@ def alert_once(b: Batch, matches: DataFrame) -> DataFrame:
     return firsts
 
 
-def update_boards(b: Batch, responses: DataFrame) -> None:
+def update_boards(b: Batch, status: DataFrame) -> None:
     """A successful response replaces a board's poll state, any outcome moves its time."""
-    touched = b.touched("board_state", responses)
-    new = N.board_parts(responses)
+    touched = b.touched("board_state", status)
+    new = N.board_parts(status)
     old = b.read("board_state", touched)
     if old is not None:
         kept = old.select(*A.BOARD, F.struct("etag", "last_modified", "fingerprint").alias("_old"), F.col("last_seen_ts").alias("_old_ts"))
@@ -104,17 +105,18 @@ def ingest_batch(b: Batch, responses: DataFrame, rules: R.Rules = R.DEFAULT_RULE
     matches = b.stage("matches", N.posting_matches(parsed).select("*", order))
     versions = A.response_dedupe(postings.withColumn("service", F.col("provider")), ["seq"], "pos").select(
         F.col("order").alias("seq"), *S.KEY, *S.ATTRS, X.canonical_json(F.col("raw")).alias("raw_json"), F.col("fetched_ts").alias("observed_ts"))
-    accepted, rejected = S.split_required(versions)
+    accepted, rejected = S.split_required(b.stage("versions", versions))
     b.append("rejects", rejected)
     touched = upsert_jobs(b, accepted, rules)
     classify_new(b, accepted, touched, rules)
     firsts = alert_once(b, matches.select(*A.ID, F.col("order").alias("seq"), F.col("seq").alias("response"), F.col("fetched_ts").alias("observed_ts"),
                                           "title", F.col("apply_url").alias("url"), "updated_ms"))
     b.append("alerts", A.chunks(A.message_lines(firsts)))
-    update_boards(b, responses)
+    status = b.stage("status", N.poll_status(responses))
+    update_boards(b, status)
     counts = postings.groupBy("seq").agg(F.count(F.lit(1)).alias("postings"))
     new = firsts.groupBy(F.col("response").alias("seq")).agg(F.count(F.lit(1)).alias("new_matches"))
-    b.append("outcomes", N.outcomes(N.poll_status(responses), counts, new).select(*OUTCOME))
+    b.append("outcomes", N.outcomes(status, counts, new).select(*OUTCOME))
 
 
 def failure(e: Exception) -> str:
