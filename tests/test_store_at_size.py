@@ -1,7 +1,10 @@
 """Steps of the store queries that grew faster than they need: passes over the history, work done twice."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from jobsignal import rules as R
+from jobsignal.operators import classify as C
 from jobsignal.operators import store as S
 from jobsignal.plans import store as PS
 from tests.test_shared_scans import SF, static
@@ -57,3 +60,16 @@ def test_recorded_across_batches(spark):
 @pytest.mark.parametrize("query", [PS.top_role_types, PS.role_type_distribution, PS.seniority_distribution, PS.latest_high_relevance])
 def test_reports_read_the_history_only_for_the_jobs(spark, query):
     assert static(spark, lambda: query(spark, SF)).count("orders.parquet") == 0
+
+
+def test_snapshot_reads_the_history_once_after_the_jobs(spark):
+    assert static(spark, lambda: PS._current(spark, SF)[0]).count("orders.parquet") == 0
+    assert static(spark, lambda: PS.intelligence_snapshot(spark, SF)).count("orders.parquet") == 1
+
+
+def test_title_is_searched_for_what_the_text_holds(spark):
+    df = spark.createDataFrame([("Backend Engineer, backend", "platform engineer"), ("Chef", "api engineer backend"), ("", "")], "title string, description string")
+    texts = df.select(F.concat(F.lit(" "), F.lower(F.regexp_replace("title", ",", "")), F.lit(" ")).alias("pt"), "description").withColumn("full", F.concat("pt", "description", F.lit(" ")))
+    score = C._label_score(F.col("pt"), F.col("full"), R.ROLE_FAMILY_PATTERNS["software_engineering"])
+    assert [r[0] for r in texts.select(score).collect()] == [4 + 1, 2, 0]
+    assert "filter(" not in str(score)
