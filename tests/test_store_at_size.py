@@ -67,6 +67,10 @@ def test_snapshot_reads_the_history_once_after_the_jobs(spark):
     assert static(spark, lambda: PS.intelligence_snapshot(spark, SF)).count("orders.parquet") == 1
 
 
+def test_cache_is_classified_once(spark):
+    assert static(spark, lambda: PS.classify_if_needed(spark, SF)).count("Generate inline") <= 1
+
+
 def test_title_is_searched_for_what_the_text_holds(spark):
     df = spark.createDataFrame([("Backend Engineer, backend", "platform engineer"), ("Chef", "api engineer backend"), ("", "")], "title string, description string")
     texts = df.select(F.concat(F.lit(" "), F.lower(F.regexp_replace("title", ",", "")), F.lit(" ")).alias("pt"), "description").withColumn("full", F.concat("pt", "description", F.lit(" ")))
