@@ -178,8 +178,13 @@ def signatures(s: np.ndarray, levels: np.ndarray, light: int, num: int, den: int
     return np.concatenate(sigs).view(np.int64), np.concatenate(room)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sets reach the threshold, judged on whole texts."""
+def _verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose sets reach the threshold, judged on whole texts.
+
+    ``pairs`` is a written table: its size is known when the query is planned, so where its
+    ids are few, ``docs`` are read where they are and only texts of pairs are dealt."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = docs.join(ids, "doc_id", "left_semi")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -244,20 +249,19 @@ def components(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80,
     def close(x: str, y: str, rx: str, ry: str) -> str:
         return f"{num} * greatest({x}, {y}) <= {den} * least({x}, {y}) and {num + den} * least({rx}, {ry}) >= {num} * ({x} + {y})"
 
-    star = (members.where("node <> pivot").where(close("n", "pivot_n", "room", "pivot_room"))
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-    texts = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    links = tables.save(_verify(star, texts, n, num, den))
+    star = tables.save(members.where("node <> pivot").where(close("n", "pivot_n", "room", "pivot_room"))
+                       .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
+    links = tables.save(_verify(star, docs, n, num, den))
     first = connected_components(tables, links)
     placed = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
     rest = tables.save(placed.where("node <> pivot").join(mixed, "sig", "left_semi").select("sig", "node", "n", "room", "component").distinct())
     other = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("room").alias("broom"), F.col("component").alias("bc"))
-    more = (rest.join(other, "sig").where("node < b and component <> bc").where(close("n", "bn", "room", "broom"))
-            .select(F.col("node").alias("a"), "b").distinct())
-    found = tables.save(_verify(more, texts, n, num, den))
+    more = tables.save(rest.join(other, "sig").where("node < b and component <> bc").where(close("n", "bn", "room", "broom"))
+                       .select(F.col("node").alias("a"), "b").distinct())
+    found = tables.save(_verify(more, docs, n, num, den))
     nodes = connected_components(tables, links.union(found))
-    tables.drop(links, found, rest, members)
+    tables.drop(links, found, rest, members, star, more)
     named = classes.join(nodes, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (sets.select("doc_id", "n", "digest").join(named, "digest", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
@@ -266,5 +270,6 @@ def components(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80,
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without all but the document that names its component (rows without an id stay)."""
-    gone = components(spark, docs, n, num, den).where("doc_id <> component_id").select("doc_id").distinct()
+    # written first: its size is then known when the join is planned, and whole texts are dealt only where it is large
+    gone = Tables(spark, "join-gone").save(components(spark, docs, n, num, den).where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

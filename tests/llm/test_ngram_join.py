@@ -88,3 +88,13 @@ def test_missing_and_repeated_ids(spark):
 
 def test_empty_table(spark):
     assert N.components(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_few_copies_do_not_deal_every_text(spark):
+    """The texts that are compared, and those that stay, are found by a known small table: no shuffle of all texts."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(60)] +
+                                 [(100 + i, " ".join(f"w{i}x{j}" for j in range(29)) + " other") for i in range(5)], "doc_id long, text string")
+    kept = N.keep_one(spark, docs, 5, 80, 100)
+    static = kept._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in static and "SortMergeJoin" not in static
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
