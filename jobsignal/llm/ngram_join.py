@@ -22,6 +22,14 @@ the member with the most room; verified links give components.  Then, in
 buckets that still hold several components, all remaining pairs of different
 components are compared.  So every pair that could join two components has been
 compared, while a group of near copies costs rows in proportion to its size.
+Postings are dealt once, by bucket, and no table of buckets is built beside them.
+
+*Comparison.*  Every set has an odd sketch: for each of as many bits as it has
+shingles, whether an odd number of them falls there.  Two sets differ by at least
+the bits in which their sketches differ, so a pair whose sketches differ too much
+cannot reach the threshold.  Buckets grow with the table, and with them the pairs
+that share a bucket by chance; the sketches refuse these, and whole texts are
+fetched only for the pairs that are left.
 
 Defined cases: null, empty or wordless text -> empty set, linked with nothing;
 fewer words than ``n`` -> the whole sequence is the one shingle; rows sharing a
@@ -38,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobsignal.llm.common import Tables, blocks, connected_components, mix64
@@ -97,6 +105,22 @@ def size_of(b: np.ndarray) -> np.ndarray:
     return np.where(b <= EXACT_SIZES, b, EXACT_SIZES * 2.0 ** ((b - EXACT_SIZES) / 8)).astype(np.int64)
 
 
+def odd_sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of hashes at each bit, for a power of two bits, 64 or as many as there are hashes at least."""
+    bits = max(64, 1 << max(0, len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound, by their odd sketches, of the number of elements that only one of two sets holds."""
+    x, y = sorted((x, y), key=len)
+    small, large, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(y)
+    while bits > 8 * len(x):  # halves laid on each other: the sketch of half as many bits
+        bits //= 2
+        large = (large >> bits) ^ (large & ((1 << bits) - 1))
+    return (small ^ large).bit_count()
+
+
 def _texts(part: pa.RecordBatch, column: str = "text") -> pa.Array:
     return part.column(part.schema.get_field_index(column))
 
@@ -178,15 +202,31 @@ def signatures(s: np.ndarray, levels: np.ndarray, light: int, num: int, den: int
     return np.concatenate(sigs).view(np.int64), np.concatenate(room)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sets reach the threshold, judged on whole texts.
+def _beside(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` (a, b) with ``columns`` of the rows of ``table`` that have these ids as doc_id, named by a and b.
 
     ``pairs`` is a written table: its size is known when the query is planned, so where its
-    ids are few, ``docs`` are read where they are and only texts of pairs are dealt."""
+    ids are few, ``table`` is read where it is and only rows of pairs are dealt."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    rows = table.select("doc_id", *columns).join(ids, "doc_id", "left_semi")
+    a, b = (rows.select(F.col("doc_id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)) for end in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", *(f"{c}_{end}" for c in columns for end in "ab"))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``pairs`` without those whose odd sketches rule out that they reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            n_a, n_b, x, y = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b"))
+            ok = [(num + den) * least_difference(p, q) <= (den - num) * (i + j) for i, j, p, q in zip(n_a, n_b, x, y)]
+            yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return _beside(pairs, sets.where("sketch is not null"), ["n", "sketch"]).mapInArrow(run, "a long, b long").distinct()
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), a written table, whose sets reach the threshold, judged on whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -205,8 +245,21 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> Da
                     ok.append(den * both >= num * (len(y) + len(z) - both))
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long")
+    return _beside(pairs, docs, ["text"]).mapInArrow(run, "a long, b long")
+
+
+def _grouped(postings: DataFrame) -> DataFrame:
+    """The rows of every bucket but its pivot's, with the pivot's, and whether the bucket holds others beside the two (``more``).
+
+    The pivot has the most room: of near copies, the one with the fewest shingles of its own."""
+    draw = F.shiftleft(-F.col("room"), 32) + F.pmod(F.xxhash64("node", "sig"), F.lit(1 << 32))
+    w = Window.partitionBy("sig").orderBy("draw", "node", "n")
+    first = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (postings.withColumn("draw", draw)
+            .select("sig", "node", "n", "room", *(F.first(c).over(first).alias(f"pivot{x}") for c, x in (("node", ""), ("n", "_n"), ("room", "_room"))),
+                    F.row_number().over(w).alias("place"), F.lead("node").over(w).alias("next"))
+            .where("place > 1 and (node <> pivot or n <> pivot_n)")
+            .withColumn("more", F.expr("place > 2 or next is not null")).drop("place", "next"))
 
 
 def components(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -221,47 +274,47 @@ def components(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80,
         order = sent.value
         for batch in batches:
             for part in blocks(batch, "text"):
-                size, digest, sigs, room = [], [], [], []
+                size, digest, sigs, room, sketch = [], [], [], [], []
                 for s in shingle_sets(_texts(part), n):
                     size.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     own = signatures(s, order, light, num, den)
                     sigs.append(own[0])
                     room.append(own[1])
+                    sketch.append(odd_sketch(s) if len(own[0]) else None)
                 offsets = pa.array(np.append(0, np.cumsum([len(x) for x in sigs])).astype(np.int32))
                 sigs, room = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int64())) for x in (sigs, room))
-                yield pa.RecordBatch.from_arrays([_texts(part, "doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), sigs, room],
-                                                 names=["doc_id", "n", "digest", "sigs", "room"])
+                yield pa.RecordBatch.from_arrays([_texts(part, "doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), sigs, room,
+                                                  pa.array(sketch, pa.binary())], names=["doc_id", "n", "digest", "sigs", "room", "sketch"])
 
-    sets = tables.save(docs.mapInArrow(describe, "doc_id long, n long, digest binary, sigs array<long>, room array<long>"))
+    sets = tables.save(docs.mapInArrow(describe, "doc_id long, n long, digest binary, sigs array<long>, room array<long>, sketch binary"))
     classes = tables.save(sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node")))
     # one posting per class and bucket: only the row that names the class has postings
     postings = (sets.where("digest is not null and size(sigs) > 0").select("doc_id", "n", "digest", "sigs", "room")
                 .join(classes.withColumnRenamed("node", "doc_id"), ["digest", "doc_id"], "left_semi")
                 .select(F.col("doc_id").alias("node"), "n", F.inline(F.arrays_zip(F.col("sigs").alias("sig"), F.col("room").alias("room")))))
-    # the pivot has the most room: of near copies, the one with the fewest shingles of its own
-    draw = F.shiftleft(-F.col("room"), 32) + F.pmod(F.xxhash64("node", "sig"), F.lit(1 << 32))
-    pivots = (postings.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", draw).alias("pivot"), F.min_by("n", draw).alias("pivot_n"),
-                                          F.min_by("room", draw).alias("pivot_room"))
-              .where("m > 1").drop("m"))
-    members = tables.save(postings.join(pivots, "sig"))
 
     def close(x: str, y: str, rx: str, ry: str) -> str:
         return f"{num} * greatest({x}, {y}) <= {den} * least({x}, {y}) and {num + den} * least({rx}, {ry}) >= {num} * ({x} + {y})"
 
-    star = tables.save(members.where("node <> pivot").where(close("n", "pivot_n", "room", "pivot_room"))
-                       .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-    links = tables.save(_verify(star, docs, n, num, den))
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = tables.save(pairs.distinct())
+        possible = tables.save(_possible(near, sets, num, den))
+        out = tables.save(_verify(possible, docs, n, num, den))
+        tables.drop(near, possible)
+        return out
+
+    members = tables.save(_grouped(postings).withColumn("star", F.expr(f"node <> pivot and {close('n', 'pivot_n', 'room', 'pivot_room')}")).where("star or more"))
+    links = linked(members.where("star").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
     first = connected_components(tables, links)
-    placed = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    rest = tables.save(placed.where("node <> pivot").join(mixed, "sig", "left_semi").select("sig", "node", "n", "room", "component").distinct())
+    placed = members.where("more").select("sig", "node", "n", "room").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    bucket = Window.partitionBy("sig")
+    rest = (placed.withColumn("lo", F.min("component").over(bucket)).withColumn("hi", F.max("component").over(bucket)).where("lo < hi")
+            .select("sig", "node", "n", "room", "component").distinct())
     other = rest.select("sig", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("room").alias("broom"), F.col("component").alias("bc"))
-    more = tables.save(rest.join(other, "sig").where("node < b and component <> bc").where(close("n", "bn", "room", "broom"))
-                       .select(F.col("node").alias("a"), "b").distinct())
-    found = tables.save(_verify(more, docs, n, num, den))
+    found = linked(rest.join(other, "sig").where("node < b and component <> bc").where(close("n", "bn", "room", "broom")).select(F.col("node").alias("a"), "b"))
     nodes = connected_components(tables, links.union(found))
-    tables.drop(links, found, rest, members, star, more)
+    tables.drop(links, found, members)
     named = classes.join(nodes, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (sets.select("doc_id", "n", "digest").join(named, "digest", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),

@@ -98,3 +98,44 @@ def test_few_copies_do_not_deal_every_text(spark):
     static = kept._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in static and "SortMergeJoin" not in static
     assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+
+
+def test_sketches_bound_the_difference():
+    """Sketches never claim more than the sets differ by, also of unlike sizes; unrelated sets are told apart."""
+    r = np.random.default_rng(7)
+    for n in (1, 2, 60, 64, 65, 127, 128, 129, 500, 1030, 5000):
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        for b in (a, a[: n - n // 20], np.append(a, r.integers(0, 1 << 63, n // 10 + 1).astype(np.uint64)), r.integers(0, 1 << 63, n + n // 9).astype(np.uint64)):
+            low = N.least_difference(N.odd_sketch(a), N.odd_sketch(np.unique(b)))
+            assert low == N.least_difference(N.odd_sketch(np.unique(b)), N.odd_sketch(a))
+            assert low <= len(np.setxor1d(a, b))
+            if n > 50 and not len(np.intersect1d(a, b)):
+                assert 180 * low > 20 * (len(a) + len(b))
+
+
+def test_texts_of_chance_pairs_are_not_fetched(spark, monkeypatch):
+    """Sets that share a bucket but half of their shingles at most are refused before their texts are compared."""
+    passage = " ".join(f"p{j}" for j in range(30))
+    rows = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(3)]
+    compared, verify = [], N._verify
+
+    def counted(pairs, *rest):
+        compared.extend((r.a, r.b) for r in pairs.collect())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(N, "_verify", counted)
+    monkeypatch.setattr(N, "shingle_order", lambda docs, n: (np.zeros(1 << N.SKETCH_BITS, np.uint8), np.bincount([58, 59], minlength=N.SLICE)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.components(spark, docs, 3, 90, 100).collect()}
+    assert got == brute(rows, 3, 90, 100)
+    assert sorted(set(compared)) == [(0, 100), (1, 101), (2, 102)]
+
+
+def test_postings_are_dealt_once(spark):
+    """One exchange gives every bucket's pivot and its other members; a repeated row is no member beside its pivot."""
+    rows = [(1, 10, 50, 40), (1, 11, 50, 45), (1, 12, 50, 41), (2, 10, 50, 40), (2, 11, 50, 42), (3, 10, 50, 40), (4, 10, 50, 40), (4, 10, 50, 40), (5, 10, 50, 40), (5, 10, 40, 30)]
+    df = N._grouped(spark.createDataFrame(rows, "sig long, node long, n long, room long").repartition(3))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = sorted((r.sig, r.node, r.n, r.room, r.pivot, r.pivot_n, r.pivot_room, r.more) for r in df.collect())
+    assert got == [(1, 10, 50, 40, 11, 50, 45, True), (1, 12, 50, 41, 11, 50, 45, True), (2, 10, 50, 40, 11, 50, 42, False), (5, 10, 40, 30, 10, 50, 40, False)]
