@@ -59,7 +59,8 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs = docs.withColumn("salt", F.when(F.col("doc_id").isNull(), F.xxhash64("digest")).otherwise(F.pmod(F.xxhash64("digest"), F.lit(SALTS))))
     known = (labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
              .agg(*(F.coalesce(F.max((F.col(c) == 1).cast("int")), F.lit(0)).alias(n) for c, n in (("quality", "good"), ("toxic", "toxic")))))
-    known = known.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    # labels are dealt, whatever the size of their file: Spark does not count what they hold SALTS times over, and would send it all through the driver
+    known = known.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")).hint("merge")
     # rows of one document and text, then those of one text and part: only a part's rows of a text, never its documents, meet in a window
     rows = (docs.join(known, ["doc_id", "salt"], "left").groupBy("doc_id", "salt", "digest", "mask", "part")
             .agg(F.count("*").alias("n"), F.max(F.coalesce("good", F.lit(0))).alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")))

@@ -73,3 +73,11 @@ def test_text_longer_than_a_page_and_no_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert sorted(tuple(r) for r in X.audit(docs, labels).collect()) == plain([(1, text, "en"), (2, text, "en")], [])
     assert X.audit(docs.limit(0), labels).collect() == []
+
+
+def test_labels_of_a_small_file_do_not_pass_through_the_driver(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i}", "en") for i in range(40)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(0, 40, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels")
+    out = X.audit(spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/labels"))
+    assert len(out.collect()) == 600
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
