@@ -34,6 +34,8 @@ KEYS = {"jobs": S.KEY, "classifications": S.KEY, "notified": A.ID, "board_state"
 OUTCOME = ["seq", "service", "source", "fetched_ts", "status", "postings", "new_matches", "detail"]
 #: A response holds fewer postings than this; posting order inside the stream is response number times this plus position.
 PER_RESPONSE = 1 << 20
+#: Keys of late rows that may be sent to all tasks.
+FEW = 100_000
 
 
 def split_late(versions: DataFrame, jobs: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
@@ -46,15 +48,37 @@ def split_late(versions: DataFrame, jobs: DataFrame | None) -> tuple[DataFrame,
 
 
 def upsert_jobs(b: Batch, versions: DataFrame, rules: R.Rules = R.DEFAULT_RULES) -> list[int]:
-    """R2: new versions into the touched buckets of ``jobs``; late rows are kept apart."""
+    """R2: new versions into the touched buckets of ``jobs``; late rows go to a table of their own.
+
+    Stored jobs are read and rewritten without their wide fields: these are written once, when a row starts
+    a content, and all anew only where most of those on disk are of contents that are gone."""
     touched = b.touched("jobs", versions)
-    jobs = b.read("jobs", touched)
-    now, late = split_late(versions, jobs)
-    if late is not None:
-        tagged = b.stage("dealt", now.withColumn("_late", F.lit(False)).unionByName(late.withColumn("_late", F.lit(True))))
-        now, late = (tagged.where(F.col("_late") == x).drop("_late") for x in (False, True))
+    anew = b.mostly_dead("jobs")
+    written = list(range(b.state.buckets)) if anew else touched
+    jobs = b.narrow("jobs", written)
+    if jobs is not None:
+        seen = versions.select(*S.KEY, "observed_ts").join(jobs.select(*S.KEY, "last_seen_ts"), S.KEY)
+        seen = b.stage("late-keys", seen.where("observed_ts < last_seen_ts").select(*S.KEY, "last_seen_ts").distinct())
+        n = seen.count()
+        if n:
+            versions, late = split_late(versions, seen if n < FEW else seen.hint("merge"))
+        else:
+            late = versions.select(*S.KEY, *[c for c in versions.columns if c not in S.KEY]).where(F.lit(False))
         b.append("late", late)
-    b.write("jobs", S.upsert(now, jobs, rules), touched)
+    runs, begun = S.upsert_apart(versions, jobs, rules)
+    runs = b.stage("runs", runs)
+    content, old = [*S.KEY, "content_hash"], F.col("_v") == 0
+    wide = begun(runs)
+    if anew:
+        stay = b.whole("jobs", jobs).join(runs.where(old).select(*content), content, "left_semi")
+        wide = wide.unionByName(stay.select(*wide.columns))
+    b.write_apart("jobs", wide, S.JOB_COLUMNS, anew)
+    now = F.lit(b.number).cast("long")
+    if jobs is None or anew:
+        runs = runs.withColumn("_held", now)
+    else:
+        runs = runs.join(jobs.select(*content, "_held"), content, "left").withColumn("_held", F.when(old, F.col("_held")).otherwise(now))
+    b.write("jobs", runs.select(*content, "first_seen_ts", "last_seen_ts", "_held"), written)
     return touched
 
 
@@ -62,16 +86,20 @@ def classify_new(b: Batch, versions: DataFrame, touched: list[int], rules: R.Rul
     """Contents of the batch, and of the stored jobs in its buckets, that this model has not classified."""
     keys = S.KEY + ["content_hash"]
     rows = S.with_hash(versions).select(*keys, *S.ATTRS, F.col("observed_ts").alias("ts"))
-    jobs = b.read("jobs", touched)
-    if jobs is not None:
-        rows = rows.unionByName(jobs.select(*keys, *S.ATTRS, F.col("last_seen_ts").alias("ts")))
     done = b.read("classifications", touched)
-    if done is not None:  # before anything wide is grouped
-        rows = rows.join(done.where(F.col("model") == rules.model).select(*keys), keys, "left_anti")
+    known = None if done is None else done.where(F.col("model") == rules.model).select(*keys)
+    jobs = b.narrow("jobs", touched)
+    if jobs is not None:  # keys alone tell whether any stored text is needed
+        lack = jobs if known is None else jobs.join(known, keys, "left_anti")
+        if lack.limit(1).count():
+            rows = rows.unionByName(b.whole("jobs", lack).select(*keys, *S.ATTRS, F.col("last_seen_ts").alias("ts")))
+    if known is not None:  # before anything wide is grouped
+        rows = rows.join(known, keys, "left_anti")
     flat = rows.groupBy(*keys, *S.ATTRS).agg(F.min("ts").alias("classified_ts"))  # rows of one hash hold the same fields
     rows = S.to_classification_rows(C.classify(flat, rules), rules)
     valid = P.valid_classification(*[F.col(c) for c in ("role_family", "role_type", "seniority", "location_fit", "reason", "relevance_score", "confidence")])
-    b.write("classifications", union([rows.where(valid), done]), touched)
+    fresh = b.stage("classified", rows.where(valid))  # so that the texts' shuffle has ended when the results are dealt
+    b.write("classifications", union([fresh, done]), touched)
 
 
 def alert_once(b: Batch, matches: DataFrame) -> DataFrame:
@@ -105,16 +133,19 @@ def ingest_batch(b: Batch, responses: DataFrame, rules: R.Rules = R.DEFAULT_RULE
     matches = b.stage("matches", N.posting_matches(parsed).select("*", order))
     versions = A.response_dedupe(postings.withColumn("service", F.col("provider")), ["seq"], "pos").select(
         F.col("order").alias("seq"), *S.KEY, *S.ATTRS, X.canonical_json(F.col("raw")).alias("raw_json"), F.col("fetched_ts").alias("observed_ts"))
-    accepted, rejected = S.split_required(b.stage("versions", versions))
+    versions = b.stage("versions", versions)
+    counts = b.stage("counts", postings.groupBy("seq").agg(F.count(F.lit(1)).alias("postings")))
+    b.unstage("postings")
+    accepted, rejected = S.split_required(versions)
     b.append("rejects", rejected)
     touched = upsert_jobs(b, accepted, rules)
     classify_new(b, accepted, touched, rules)
+    b.unstage("versions")
     firsts = alert_once(b, matches.select(*A.ID, F.col("order").alias("seq"), F.col("seq").alias("response"), F.col("fetched_ts").alias("observed_ts"),
                                           "title", F.col("apply_url").alias("url"), "updated_ms"))
     b.append("alerts", A.chunks(A.message_lines(firsts)))
     status = b.stage("status", N.poll_status(responses))
     update_boards(b, status)
-    counts = postings.groupBy("seq").agg(F.count(F.lit(1)).alias("postings"))
     new = firsts.groupBy(F.col("response").alias("seq")).agg(F.count(F.lit(1)).alias("new_matches"))
     b.append("outcomes", N.outcomes(status, counts, new).select(*OUTCOME))
 

@@ -10,6 +10,10 @@ written tables cut lineage, and an executor loss only re-runs tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +23,21 @@ from jobsignal.operators import health as H
 from jobsignal.operators import store as S
 from jobsignal.session import state_root
 from jobsignal.streaming import ingest as I
-from jobsignal.streaming.state import State
+from jobsignal.streaming.state import CODEC, State
+
+#: Spark deletes a statement's shuffle files when it ends; without it they stay until the driver collects its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of finished statements go at once (each reads written tables only)."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -36,7 +54,8 @@ def land_slices(df: DataFrame, landing: str, ts: str, cuts: list[int]) -> None:
     # one pass over ``df``: a row's slice is the number of cuts that it has reached
     reached = sum((F.when(F.col(ts) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     rows = df.where(F.col(ts).isNotNull()) if cuts else df
-    rows.withColumn("slice", F.format_string("%04d", reached)).write.mode("overwrite").partitionBy("slice").parquet(landing)
+    with freed(df.sparkSession):
+        rows.withColumn("slice", F.format_string("%04d", reached)).write.mode("overwrite").option("compression", CODEC).partitionBy("slice").parquet(landing)
     fs, path = _fs(df.sparkSession, landing)
     there = {s.getPath().getName() for s in fs.listStatus(path)}
     for i in range(len(cuts) + 1):
@@ -44,18 +63,22 @@ def land_slices(df: DataFrame, landing: str, ts: str, cuts: list[int]) -> None:
             df.sparkSession.createDataFrame([], df.schema).write.parquet(f"{landing}/slice={i:04d}")
 
 
-def _run(spark: SparkSession, schema, landing: str, chk: str, fn, plan=lambda rows: rows) -> None:
+def _run(spark: SparkSession, schema, landing: str, chk: str, fn, plan=lambda rows: rows, spent: bool = False) -> None:
     """``fn`` on the micro-batches of ``plan``, one per landed slice, in the slices' order: the file source lists what
     has landed up to a slice, skips what its checkpoint has already taken, and takes the
-    rest of the slice's files together."""
+    rest of the slice's files together.  ``spent``: a slice is deleted once its micro-batch is committed (for
+    a landing folder that the stream has to itself)."""
     fs, p = _fs(spark, landing)
     names = sorted(st.getPath().getName() for st in fs.listStatus(p) if st.getPath().getName().startswith("slice="))
     for k in range(len(names)):
         upto = "{" + ",".join(names[: k + 1]) + "}"
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{landing}/{upto}")
-        q = (plan(stream).writeStream.foreachBatch(fn).option("checkpointLocation", chk)
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
+        with freed(spark):
+            q = (plan(stream).writeStream.foreachBatch(fn).option("checkpointLocation", chk)
+                 .trigger(availableNow=True).start())
+            q.awaitTermination()
+        if spent:
+            fs.delete(_fs(spark, f"{landing}/{names[k]}")[1], True)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -86,7 +109,7 @@ def job_upsert_stream(spark: SparkSession, versions: DataFrame, cuts: list[int],
             I.upsert_jobs(b, batch)
             b.commit()
 
-    _run(spark, versions.schema, landing, f"{root}/chk", apply)
+    _run(spark, versions.schema, landing, f"{root}/chk", apply, spent=True)
     return state.read("jobs"), state.read("late")
 
 
@@ -97,7 +120,7 @@ def ingest_stream(spark: SparkSession, responses: DataFrame, cuts: list[int], ro
     """Land the responses as slices cut at ``cuts`` and take them in (:mod:`jobsignal.streaming.ingest`)."""
     root = root or _scratch(spark, "ingest")
     land_slices(responses, f"{root}/landing", "fetched_ts", cuts)
-    return I.ingest(spark, responses.schema, f"{root}/landing", root, _run, **how)
+    return I.ingest(spark, responses.schema, f"{root}/landing", root, partial(_run, spent=True), **how)
 
 
 # --- R5/R6: board health ------------------------------------------------------------------
@@ -248,5 +271,5 @@ def classify_stream(spark: SparkSession, versions: DataFrame, cuts: list[int], r
             I.classify_new(b, batch, touched, rules)
             b.commit()
 
-    _run(spark, versions.schema, landing, f"{root}/chk", apply)
+    _run(spark, versions.schema, landing, f"{root}/chk", apply, spent=True)
     return state.read("classifications")
